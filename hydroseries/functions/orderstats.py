@@ -2,10 +2,13 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 buffer, and a window over a key sorts the whole key in one task.  Here a key is cut
-into value bins first: rows are reduced to (key, value, sums) with map-side
-combine, a bounded quantile sketch supplies bin edges, the bin totals are
-accumulated (at most a few ten thousand rows per key), and only then values are
-ordered, inside a bin.  Edges decide how evenly work is spread, never the result.
+into value bins: rows are reduced to (key, bin, value, sums) with map-side combine,
+the bin totals are accumulated per key (their number is limited by the bins a number
+can fall into, not by the rows), and values are ordered only inside a bin.
+
+A bin is a fixed step of the number line (``BINS_PER_OCTAVE`` equal steps between
+powers of two), so it needs no statistics of the data and the input is read at most
+twice.  Bins decide how work is spread, never the result.
 """
 
 from __future__ import annotations
@@ -15,58 +18,45 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroseries.functions.keyed import attach, col, known, names
+from hydroseries.functions.keyed import col, known, names
 
-VALUES_PER_BIN = 50_000
-KNOTS = 16
-BINS_PER_KNOT = 4096
+BINS_PER_OCTAVE = 4096
 
 
-def _bin(value: Column, distinct: Column, knots: Column) -> Column:
-    """Monotone bin number of a value; a single bin for keys with few values."""
+def _bin(value: Column) -> Column:
+    """Monotone bin number of a value."""
     x = value.cast("double")
-    segment = F.size(F.filter(knots, lambda k: k <= x))
-    low = F.element_at(knots, F.greatest(segment, F.lit(1)))
-    high = F.element_at(knots, F.least(segment + 1, F.size(knots)))
-    parts = F.least(F.lit(BINS_PER_KNOT), F.ceil(distinct / F.lit(VALUES_PER_BIN * KNOTS)))
-    inside = F.when(
-        (segment > 0) & (segment < F.size(knots)) & (high > low),
-        F.least(parts - 1, F.floor((x - low) / (high - low) * parts)),
-    ).otherwise(F.lit(0))
-    return F.when(distinct <= VALUES_PER_BIN, F.lit(0)).otherwise(segment * F.lit(BINS_PER_KNOT) + inside).cast("long")
+    size = F.greatest(F.least(F.abs(x), F.lit(1e300)), F.lit(1e-300))
+    octave = F.floor(F.log2(size))
+    # Scaling by a power of two is exact, so neighbouring octaves meet without a gap or an overlap.
+    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * BINS_PER_OCTAVE)
+    place = (octave + 1100) * BINS_PER_OCTAVE + step
+    return F.when(x == 0, F.lit(0)).when(x > 0, place).otherwise(-place).cast("long")
 
 
 def _per_value(df: DataFrame, keys: list[str], value: str | Column, sums: Mapping[str, Column]) -> DataFrame:
     v = col(value)
     rows = df.where(known(v)).select(*keys, v.alias("_v"), *[e.alias(n) for n, e in sums.items()])
-    return rows.groupBy(*keys, "_v").agg(*[F.sum(n).alias(n) for n in sums])
-
-
-def _with_bins(values: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
-    probs = [i / KNOTS for i in range(KNOTS + 1)]
-    per_key = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_distinct"),
-        F.percentile_approx(F.col("_v").cast("double"), probs, F.lit(1000)).alias("_knots"),
-        *[F.sum(n).alias(f"{n}_total") for n in sums],
-    )
-    joined = attach(values, per_key, keys, "inner" if keys else "left")
-    return joined.withColumn("_bin", _bin(F.col("_v"), F.col("_distinct"), F.col("_knots"))).drop("_distinct", "_knots")
+    return (rows.withColumn("_bin", _bin(F.col("_v"))).groupBy(*keys, "_bin", "_v")
+            .agg(*[F.sum(n).alias(n) for n in sums]))
 
 
-def _bin_offsets(binned: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
+def _bin_offsets(values: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
+    """Per (key, bin): total of the bin, of all smaller bins, and of the key."""
     sums = list(sums)
-    totals = binned.groupBy(*keys, "_bin").agg(
-        *[F.sum(n).alias(f"_{n}_bin") for n in sums], *[F.first(f"{n}_total").alias(f"_{n}_all") for n in sums])
-    before = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select(*keys, "_bin", *[f"_{n}_bin" for n in sums], *[f"_{n}_all" for n in sums],
-                         *[F.coalesce(F.sum(f"_{n}_bin").over(before), F.lit(0)).alias(f"_{n}_off") for n in sums])
+    totals = values.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(f"_{n}_bin") for n in sums])
+    key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin")
+    before = key.rowsBetween(Window.unboundedPreceding, -1)
+    whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return totals.select(*keys, "_bin", *[f"_{n}_bin" for n in sums],
+                         *[F.coalesce(F.sum(f"_{n}_bin").over(before), F.lit(0)).alias(f"_{n}_off") for n in sums],
+                         *[F.sum(f"_{n}_bin").over(whole).alias(f"{n}_total") for n in sums])
 
 
-def _inside(binned: DataFrame, offsets: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
+def _inside(values: DataFrame, offsets: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
     sums = list(sums)
-    joined = binned.join(offsets.select(*keys, "_bin", *[f"_{n}_off" for n in sums]), [*keys, "_bin"], "inner")
-    before = (Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    joined = values.join(offsets.drop(*[f"_{n}_bin" for n in sums]), [*keys, "_bin"], "inner")
+    before = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
         *keys, "_v", *sums, *[f"{n}_total" for n in sums],
         *[(F.col(f"_{n}_off") + F.coalesce(F.sum(n).over(before), F.lit(0))).alias(f"{n}_before") for n in sums])
@@ -80,42 +70,39 @@ def ordered_totals(df: DataFrame, keys, value: str | Column, sums: Mapping[str,
     ``n_before`` (total at smaller values) and ``n_total`` (total of the key).
     """
     keys, sums = names(keys), dict(sums or {"n": F.lit(1)})
-    binned = _with_bins(_per_value(df, keys, value, sums), keys, sums)
-    return _inside(binned, _bin_offsets(binned, keys, sums), keys, sums).withColumnRenamed("_v", name)
+    values = _per_value(df, keys, value, sums)
+    return _inside(values, _bin_offsets(values, keys, sums), keys, sums).withColumnRenamed("_v", name)
 
 
 def quantiles(df: DataFrame, keys, value: str | Column, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of ``probs``.
 
-    Only bins that contain a wanted rank are read again and ordered.
+    Only bins that contain a wanted rank are ordered.
     """
     keys = names(keys)
     sums = {"n": F.lit(1)}
-    binned = _with_bins(_per_value(df, keys, value, sums), keys, sums)
-    offsets = _bin_offsets(binned, keys, sums)
+    values = _per_value(df, keys, value, sums)
+    offsets = _bin_offsets(values, keys, sums)
 
-    def rank(p: float, total: Column, up: bool) -> Column:
-        position = F.lit(float(p)) * (total - 1)
+    def rank(p: float, up: bool) -> Column:
+        position = F.lit(float(p)) * (F.col("n_total") - 1)
         return F.ceil(position) if up else F.floor(position)
 
     start, end = F.col("_n_off"), F.col("_n_off") + F.col("_n_bin")
     wanted = F.lit(False)
-    for p in probs.values():
+    for p in set(probs.values()):
         for up in (False, True):
-            r = rank(p, F.col("_n_all"), up)
-            wanted = wanted | ((r >= start) & (r < end))
-    ordered = _inside(binned, offsets.where(wanted), keys, sums)
+            wanted = wanted | ((rank(p, up) >= start) & (rank(p, up) < end))
+    ordered = _inside(values, offsets.where(wanted), keys, sums)
 
     aggs, outs = [], []
     for name, p in probs.items():
         for side, up in (("lo", False), ("hi", True)):
-            r = rank(p, F.col("n_total"), up)
-            here = (r >= F.col("n_before")) & (r < F.col("n_before") + F.col("n"))
+            here = (rank(p, up) >= F.col("n_before")) & (rank(p, up) < F.col("n_before") + F.col("n"))
             aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
-        fraction = F.lit(float(p)) * (F.col("_total") - 1)
-        fraction = fraction - F.floor(fraction)
+        position = F.lit(float(p)) * (F.col("_total") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((lo + (hi - lo) * fraction).cast("double").alias(name))
+        outs.append((lo + (hi - lo) * (position - F.floor(position))).cast("double").alias(name))
     return ordered.groupBy(*keys).agg(F.max("n_total").alias("_total"), *aggs).select(*keys, *outs)
 
 

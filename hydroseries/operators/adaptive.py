@@ -1,20 +1,24 @@
-"""Self-calibrating level filter: iterate smoothing and outlier rules over all keys at once.
+"""Self-calibrating level filter.
 
-One round is a fixed set of Spark steps for every key that still changes; keys that
-are stable are set aside.  Row-level decisions need only per-key aggregates and the
-day-grain curve, so a key with very many rows is never gathered in one task.
+Calibration, marking and counting are Spark aggregations.  The rounds of a key depend
+on each other, so a key of ordinary size runs through them in one grouped task.  A key
+above ``Config.group_rows`` is never gathered: its rounds are Spark steps over all
+such keys at once, needing only per-key aggregates and the day-grain curve.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydroseries.functions.keyed import attach, cut_lineage, day, holds, known, names
 from hydroseries.functions.orderstats import quantiles
 from hydroseries.operators import thresholds as th
+from hydroseries.operators.adaptive_series import filter_series
 from hydroseries.operators.outliers import drop_in_gaps, ice_outliers
 from hydroseries.operators.smooth import signed_min_abs, smooth
 
@@ -49,6 +53,7 @@ class Config:
     rounds: tuple = (40, 5)
     min_conservative: int = 5
     band: float = 150
+    group_rows: int = 200_000
 
 
 def prepare_adaptive(df: DataFrame, keys, t: str = "date", order=("row_no",)) -> DataFrame:
@@ -77,7 +82,7 @@ def _series_ok(rows: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
 def _clip_and_clean(rows: DataFrame, base: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage: int) -> DataFrame:
     """Smooth ``base``, clip residuals of ``rows``, then ice, fence and median rules."""
     curves = smooth(base, keys, "day", "wse", cfg.method, list(cfg.params), at=rows, order=ids)
-    res = signed_min_abs(curves, rows, keys, "day", "wse")
+    res = cut_lineage(signed_min_abs(curves, rows, keys, "day", "wse"))
     reach = base.groupBy(*keys).agg((F.max("wse") - F.min("wse")).alias("_reach"))
     stats = res.groupBy(*keys).agg(F.avg("residual").alias("_m"), F.stddev_pop("residual").alias("_s"),
                                    F.sum(F.abs("residual")).alias("_a")).join(reach, keys)
@@ -85,12 +90,13 @@ def _clip_and_clean(rows: DataFrame, base: DataFrame, keys: list[str], ids: list
     near = holds(F.abs((F.col("residual") - F.col("_m")) / scale) < cfg.z[stage])
     small = holds(F.abs("residual") / F.nullif(F.col("_reach"), F.lit(0.0)) < cfg.spread[stage])
     out = attach(res, stats, keys, "inner").where(near | small).select(*rows.columns)
-    out = ice_outliers(out, keys, True, False, 0.3, 0, 1, "upper", "both")
-    out = ice_outliers(out, keys, False, False, 0.2, 0, 1, "upper", "wse")
+    out = cut_lineage(ice_outliers(out, keys, True, False, 0.3, 0, 1, "upper", "both"))
+    out = cut_lineage(ice_outliers(out, keys, False, False, 0.2, 0, 1, "upper", "wse"))
     fence = quantiles(out, keys, "wse", {"_lo": 0.1, "_hi": 0.9})
     width = F.col("_hi") - F.col("_lo")
     out = (attach(out, fence, keys).where((F.col("wse") >= F.col("_lo") - 3 * width) & (F.col("wse") <= F.col("_hi") + 3 * width))
            .select(*rows.columns))
+    out = cut_lineage(out)
     mid = quantiles(out, keys, "wse", {"_mid": 0.5})
     return attach(out, mid, keys).where(F.abs(F.col("wse") - F.col("_mid")) <= cfg.band).select(*rows.columns)
 
@@ -102,7 +108,7 @@ def _first_round(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config)
               .where(F.col("day").between(F.col("_t0"), F.col("_t1"))).select(*rows.columns))
     base = inside.where("base_ok")
     if cfg.allow_major_gap:
-        inside = drop_in_gaps(inside, base, keys, "day", cfg.max_gap)
+        inside = cut_lineage(drop_in_gaps(inside, base, keys, "day", cfg.max_gap))
     return _clip_and_clean(inside, base, keys, ids, cfg, 0)
 
 
@@ -161,25 +167,60 @@ def adaptive_filter(df: DataFrame, keys, t: str = "date", order=("row_no",), cfg
                                   F.lit("heuristic baseline").alias("status"))
         return start.select(*keys, *ids, "day", "wse"), status
 
-    one = _iterate(start, keys, lambda r: _first_round(r, keys, ids, cfg), cfg.rounds[0], "n_round1")
-    one = one.join(_series_ok(one, keys, cfg), keys, "left_semi")
-    codes1 = one.groupBy(*keys).agg(F.max("n_round1").alias("n_round1"))
-    result, codes = one, codes1.withColumn("n_round2", F.lit(-2))
-    if cfg.second_round:
-        locked = one.drop("n_round1").withColumn("locked", F.lit(True))
-        extra = (rows.where("good").join(codes1.select(*keys), keys, "left_semi")
-                 .join(one.select(*keys, *ids), [*keys, *ids], "left_anti").withColumn("locked", F.lit(False)))
-        two = _iterate(locked.unionByName(extra), keys, lambda r: _second_round(r, keys, ids, cfg), cfg.rounds[1], "n_round2")
-        result = two.join(_series_ok(two, keys, cfg), keys, "left_semi")
-        codes2 = result.groupBy(*keys).agg(F.max("n_round2").alias("n_round2"))
-        codes = codes1.join(codes2, keys, "left").withColumn("n_round2", F.coalesce("n_round2", F.lit(-1)))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = sizes.where(F.col("_rows") > cfg.group_rows).select(*keys)
+    if large.isEmpty():
+        result, codes = _grouped(rows, keys, ids, cfg)
+    else:
+        result, codes = _grouped(rows.join(large, keys, "left_anti"), keys, ids, cfg)
+        big, big_codes = _distributed(rows.join(large, keys, "left_semi"), keys, ids, cfg)
+        result, codes = result.unionByName(big), codes.unionByName(big_codes)
     last = F.col("n_round2") if cfg.second_round else F.col("n_round1")
     status = (attempted.join(codes, keys, "left")
               .withColumn("n_round1", F.when(F.col("n_level") == 0, -9).otherwise(F.coalesce("n_round1", F.lit(-1))))
               .withColumn("n_round2", F.when(F.col("n_level") == 0, -9).otherwise(F.coalesce("n_round2", F.lit(-2))))
               .select(*keys, "n_round1", "n_round2",
                       F.when(F.col("n_level") == 0, "no data").when(last > 0, "success").otherwise("fail").alias("status")))
-    return result.select(*keys, *ids, "day", "wse"), status
+    return result, status
+
+
+def _grouped(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """All rounds of a key in one task; keys here have at most ``cfg.group_rows`` rows."""
+    need = rows.select(*keys, *ids, "day", F.datediff("day", F.lit("1970-01-01")).alias("n"), "wse", "area_total", "pass_id",
+                       "ice_clim_f", "passes", "base_ok", "good")
+    out = T.StructType([*[f for f in need.schema.fields if f.name in (*keys, *ids, "day", "wse")],
+                        T.StructField("kept", T.BooleanType()), T.StructField("n_round1", T.IntegerType()),
+                        T.StructField("n_round2", T.IntegerType())])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", *ids], kind="stable")
+        kept, one, two = filter_series(frame, cfg)
+        # The first row always travels along, as the carrier of the codes.
+        show = kept.copy()
+        show[0] = True
+        return frame.loc[show, [*keys, *ids, "day", "wse"]].assign(kept=kept[show], n_round1=one, n_round2=two)
+
+    marked = cut_lineage(need.groupBy(*keys).applyInPandas(run, out))
+    codes = marked.groupBy(*keys).agg(F.max("n_round1").alias("n_round1"), F.max("n_round2").alias("n_round2"))
+    return marked.where("kept").select(*keys, *ids, "day", "wse"), codes
+
+
+def _distributed(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """The same rounds as Spark steps over all keys at once."""
+    start = rows if cfg.full_data else rows.where("passes")
+    one = _iterate(start, keys, lambda r: _first_round(r, keys, ids, cfg), cfg.rounds[0], "n_round1")
+    one = cut_lineage(one.join(_series_ok(one, keys, cfg), keys, "left_semi"))
+    codes = one.groupBy(*keys).agg(F.max("n_round1").alias("n_round1")).withColumn("n_round2", F.lit(-2))
+    if not cfg.second_round:
+        return one.select(*keys, *ids, "day", "wse"), codes
+    locked = one.drop("n_round1").withColumn("locked", F.lit(True))
+    extra = (rows.where("good").join(codes.select(*keys), keys, "left_semi")
+             .join(one.select(*keys, *ids), [*keys, *ids], "left_anti").withColumn("locked", F.lit(False)))
+    two = _iterate(locked.unionByName(extra), keys, lambda r: _second_round(r, keys, ids, cfg), cfg.rounds[1], "n_round2")
+    two = cut_lineage(two.join(_series_ok(two, keys, cfg), keys, "left_semi"))
+    codes2 = two.groupBy(*keys).agg(F.max("n_round2").alias("n_round2"))
+    codes = codes.drop("n_round2").join(codes2, keys, "left").withColumn("n_round2", F.coalesce("n_round2", F.lit(-1)))
+    return two.select(*keys, *ids, "day", "wse"), codes
 
 
 def with_adaptive_flag(df: DataFrame, keys, t: str = "date", order=("row_no",), start: str = "2023-07-21",

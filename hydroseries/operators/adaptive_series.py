@@ -1,0 +1,128 @@
+"""The adaptive filter for one series of bounded length (a few hundred thousand rows at most)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+from hydroseries.operators import kernels
+
+
+def _residuals(days, level, rows, base, cfg) -> np.ndarray:
+    """Curve minus observation of smallest magnitude over the parameter sets."""
+    at, place = np.unique(days[rows], return_inverse=True)
+    have, start, count = np.unique(days[base], return_index=True, return_counts=True)
+    y = level[base]
+    mean = np.add.reduceat(y, start) / count
+    lines = kernels.curves(have, y[start], y[start + count - 1], mean, at, cfg.method, list(cfg.params))
+    gaps = np.vstack([line[place] - level[rows] for line in lines])
+    pick = np.argmin(np.where(np.isnan(gaps), np.inf, np.abs(gaps)), axis=0)
+    return gaps[pick, np.arange(len(rows))]
+
+
+def _below(values, limit) -> np.ndarray:
+    return np.isnan(values) | (values <= limit)
+
+
+def _ice_keep(ice, passes, area, level, mult, by_pass, with_area) -> np.ndarray:
+    """Ice-season rows must not exceed the widened maximum of comparable ice-free rows."""
+    free = ice <= 1
+    if not free.any():
+        return np.ones(len(ice), bool)
+    keep = free.copy()
+    season = np.flatnonzero(ice > 1)
+    labels = passes[season] if by_pass else np.zeros(len(season))
+    for label in pd.unique(labels):
+        own = free & (passes == label) if by_pass else free
+        group = own if own.any() else free
+        rows = season[(labels == label) | ((label != label) & (labels != labels))]
+        ok = np.ones(len(rows), bool)
+        for values, used in ((area, with_area), (level, True)):
+            known = values[group & ~np.isnan(values)]
+            if used and len(known) >= 2:
+                ok &= _below(values[rows], known.max() + mult * (known.max() - known.min()))
+        keep[rows] = ok
+    return keep
+
+
+def _clean(s, rows, base, cfg, stage) -> np.ndarray:
+    """One smoothing and clipping step; returns the surviving row numbers."""
+    res = _residuals(s["day"], s["wse"], rows, base, cfg)
+    reach = s["wse"][base].max() - s["wse"][base].min()
+    known = res[~np.isnan(res)]
+    if len(known) == 0:
+        return rows[:0]
+    scale = known.std() if np.abs(known).sum() != 0 else 1.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        near = np.abs((res - known.mean()) / scale) < cfg.z[stage]
+        small = np.abs(res) / reach < cfg.spread[stage]
+    rows = rows[near | small]
+    for mult, by_pass, with_area in ((0.3, True, True), (0.2, False, False)):
+        rows = rows[_ice_keep(s["ice"][rows], s["pass"][rows], s["area"][rows], s["wse"][rows], mult, by_pass, with_area)]
+    if len(rows):
+        lo, hi = np.quantile(s["wse"][rows], [0.1, 0.9])
+        y = s["wse"][rows]
+        rows = rows[(y >= lo - 3 * (hi - lo)) & (y <= hi + 3 * (hi - lo))]
+    if len(rows):
+        rows = rows[np.abs(s["wse"][rows] - np.median(s["wse"][rows])) <= cfg.band]
+    return rows
+
+
+def _usable(days, cfg) -> bool:
+    if len(days) < cfg.min_span / cfg.max_gap + 1:
+        return False
+    if cfg.allow_major_gap:
+        return True
+    return not (np.diff(days) > cfg.max_gap).any() and days[-1] - days[0] >= cfg.min_span
+
+
+def _first_step(s, rows, cfg):
+    base = rows[s["base_ok"][rows]]
+    if not _usable(s["day"][base], cfg):
+        return None
+    days = s["day"][base]
+    rows = rows[(s["day"][rows] >= days[0]) & (s["day"][rows] <= days[-1])]
+    if cfg.allow_major_gap:
+        at = np.searchsorted(days, s["day"][rows], "left")
+        after = days[np.minimum(at, len(days) - 1)]
+        before = days[np.maximum(at - 1, 0)]
+        rows = rows[(after == s["day"][rows]) | (after - before <= cfg.max_gap)]
+    return _clean(s, rows, base, cfg, 0)
+
+
+def _second_step(s, rows, locked, cfg):
+    if not _usable(s["day"][rows], cfg):
+        return None
+    return np.union1d(_clean(s, rows, rows, cfg, 1), locked)
+
+
+def _until_stable(step, rows, limit):
+    n, before = 0, len(rows) + 1
+    while len(rows) < before and n < limit:
+        before = len(rows)
+        rows = step(rows)
+        if rows is None:
+            return np.empty(0, int), -1
+        n += 1
+    return rows, n
+
+
+def filter_series(frame: pd.DataFrame, cfg) -> tuple[np.ndarray, int, int]:
+    """Mask of accepted rows and the two round codes; ``frame`` is sorted by day and row order."""
+    number = lambda c: frame[c].to_numpy(dtype=float, na_value=np.nan)
+    s = {"day": frame["n"].to_numpy(), "wse": number("wse"), "area": number("area_total"), "pass": number("pass_id"),
+         "ice": number("ice_clim_f"), "base_ok": frame["base_ok"].to_numpy(bool)}
+    start = np.arange(len(frame)) if cfg.full_data else np.flatnonzero(frame["passes"].to_numpy(bool))
+    rows, one = _until_stable(lambda r: _first_step(s, r, cfg), start, cfg.rounds[0])
+    if one <= 0 or not _usable(s["day"][rows], cfg):
+        rows, one = rows[:0], -1
+    two = -2
+    if cfg.second_round and one > 0:
+        locked = rows
+        both = np.union1d(locked, np.flatnonzero(frame["good"].to_numpy(bool)))
+        rows, two = _until_stable(lambda r: _second_step(s, r, locked, cfg), both, cfg.rounds[1])
+        if two <= 0 or not _usable(s["day"][rows], cfg):
+            rows, two = rows[:0], -1
+    mask = np.zeros(len(frame), bool)
+    mask[rows] = True
+    return mask, one, two

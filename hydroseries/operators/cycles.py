@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.functions.keyed import attach, day, holds, names
+from hydroseries.functions.keyed import attach, cut_lineage, day, holds, names
 from hydroseries.functions.orderstats import quantiles
 from hydroseries.operators.outliers import tukey
 
@@ -35,18 +35,19 @@ def cycle_adjust(df: DataFrame, keys, level="wse", cycle="cycle_id", passes="pas
     Keys whose cycles agree well keep all their rows unchanged in options 2 and 3.
     """
     keys = names(keys)
-    option1 = cycle_means(df, keys, level, cycle, t)
+    option1 = cut_lineage(cycle_means(df, keys, level, cycle, t))
     verdict = needs_adjustment(option1, keys).select(*keys, "adjust")
     areas = quantiles(df, [*keys, passes], area, {"_area": 0.5})
     best = areas.groupBy(*keys).agg(F.max_by(F.struct(F.col(passes).alias("p")), F.struct(F.col("_area"), -F.col(passes).cast("double"))).alias("_b"))
-    rows = attach(df, verdict.join(best.select(*keys, F.col("_b.p").alias("_best")), keys, "left"), keys)
+    judged = cut_lineage(verdict.join(best.select(*keys, F.col("_b.p").alias("_best")), keys, "left"))
+    rows = attach(df, judged, keys)
     option2 = rows.where(~F.col("adjust") | holds(F.col(passes) == F.col("_best"))).select(*df.columns)
 
     mean = df.groupBy(*keys).agg(F.avg(level).alias("_mean"))
     dep = attach(rows, mean, keys).withColumn("_dep", F.col(level) - F.col("_mean"))
     bias = quantiles(dep, [*keys, passes], "_dep", {"_bias": 0.5})
-    adjusted = dep.join(bias, [*keys, passes], "left").withColumn(
-        "wse_adjusted", F.when(F.col("adjust"), F.col(level) - F.col("_bias")).otherwise(F.col(level)))
+    adjusted = cut_lineage(dep.join(bias, [*keys, passes], "left").withColumn(
+        "wse_adjusted", F.when(F.col("adjust"), F.col(level) - F.col("_bias")).otherwise(F.col(level))))
     changed = tukey(adjusted.where("adjust"), keys, "wse_adjusted", 3, 0.1, 0.9)
     option3 = changed.unionByName(adjusted.where(~F.col("adjust"))).select(*df.columns, "wse_adjusted")
     return option1.select(*keys, cycle, "cycle_level", "mid_day"), option2, option3

@@ -58,7 +58,9 @@ def trim_pct(df: DataFrame, cols: str | Sequence[str], lo: float = 1, hi: float
     """Keep rows between two percentiles; several columns are trimmed one after the other."""
     keys = names(keys)
     out = df
-    for c in names(cols):
+    for i, c in enumerate(names(cols)):
+        if i:
+            out = cut_lineage(out)
         q = quantiles(out, keys, c, {"_p_lo": lo / 100, "_p_hi": hi / 100})
         out = (attach(out.where(known(c)), q, keys, "left")
                .where((F.col(c) >= F.col("_p_lo")) & (F.col(c) <= F.col("_p_hi"))).select(*df.columns))
@@ -152,6 +154,30 @@ def keep_accepted(df: DataFrame, keys, t, **rules) -> DataFrame:
     return df.join(ok, keys, "left_semi")
 
 
+def _ice_free_bounds(free: DataFrame, keys: list[str], grains: dict, measures: list[str], counted: tuple[str, str],
+                     mult: float, lo: float, hi: float) -> DataFrame:
+    """Counts and fences of ice-free rows at every comparison grain, in one pass over the rows."""
+    area, level = counted
+    places = F.array(*[F.struct(F.lit(g).alias("_grain"), p.alias("_p"), c.alias("_c")) for g, (p, c) in grains.items()])
+    rows = free.select(*keys, *dict.fromkeys([area, level]), F.explode(places).alias("_g")).select(*keys, *dict.fromkeys([area, level]), "_g.*")
+    by = [*keys, "_grain", "_p", "_c"]
+    exact = (lo, hi) == (0, 1)
+    ends = [f(F.when(known(m), F.col(m))).cast("double").alias(f"q{side}_{m}")
+            for m in measures for side, f in (("l", F.min), ("h", F.max))] if exact else []
+    out = rows.groupBy(*by).agg(F.count_if(known(area)).alias("na"), F.count_if(known(level)).alias("nl"), *ends)
+    if not exact:
+        long = rows.unpivot(by, measures, "_m", "_x")
+        q = quantiles(long, [*by, "_m"], "_x", {"_l": lo, "_h": hi})
+        wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == m, F.col(f"_{side}"))).alias(f"q{side}_{m}")
+                                    for m in measures for side in ("l", "h")])
+        out = out.join(wide, by, "left")
+    bounds = []
+    for m in measures:
+        width = F.col(f"qh_{m}") - F.col(f"ql_{m}")
+        bounds += [(F.col(f"ql_{m}") - mult * width).alias(f"lb_{m}"), (F.col(f"qh_{m}") + mult * width).alias(f"ub_{m}")]
+    return out.select(*by, "na", "nl", *bounds)
+
+
 def ice_outliers(df: DataFrame, keys, by_pass: bool = True, by_crid: bool = True, mult: float = 3, lo: float = 0.25,
                  hi: float = 0.75, used_q: str = "upper", filter_by: str = "both", ice="ice_clim_f", passes="pass_id",
                  crid="crid_scenario", area="area_total", level="wse") -> DataFrame:
@@ -167,39 +193,27 @@ def ice_outliers(df: DataFrame, keys, by_pass: bool = True, by_crid: bool = True
     free = df.where(holds(F.col(ice) <= 1))
     measures = [m for m, used in ((area, filter_by in ("area", "both")), (level, filter_by in ("wse", "both"))) if used]
 
-    def reference(extra: list[str], tag: str) -> DataFrame:
-        by = [*keys, *extra]
-        out = free.groupBy(*by).agg(F.count_if(known(area)).alias(f"na_{tag}"), F.count_if(known(level)).alias(f"nl_{tag}"),
-                                    *([f(F.when(known(m), F.col(m))).cast("double").alias(f"{side}_{m}") for m in measures
-                                       for side, f in (("q_lo", F.min), ("q_hi", F.max))] if (lo, hi) == (0, 1) else []))
-        if (lo, hi) != (0, 1):
-            for m in measures:
-                out = out.join(quantiles(free, by, m, {f"q_lo_{m}": lo, f"q_hi_{m}": hi}), by, "left")
-        bounds = []
-        for m in measures:
-            width = F.col(f"q_hi_{m}") - F.col(f"q_lo_{m}")
-            bounds += [(F.col(f"q_lo_{m}") - mult * width).alias(f"lb_{m}_{tag}"), (F.col(f"q_hi_{m}") + mult * width).alias(f"ub_{m}_{tag}")]
-        return out.select(*by, f"na_{tag}", f"nl_{tag}", *bounds)
-
-    rows = df.join(reference([], "all"), keys, "left")
-    grains = [("all", F.lit(True))]
-    if by_pass:
-        rows = rows.join(reference([passes], "pass"), [*keys, passes], "left")
-    if by_crid:
-        rows = rows.join(reference([crid], "crid"), [*keys, crid], "left")
+    p, c = (F.coalesce(F.col(x).cast("string"), F.lit("?")) for x in (passes, crid))
+    grains = {"all": (F.lit("*"), F.lit("*")), **({"pass": (p, F.lit("*"))} if by_pass else {}),
+              **({"crid": (F.lit("*"), c)} if by_crid else {}), **({"both": (p, c)} if by_pass and by_crid else {})}
+    table = _ice_free_bounds(free, keys, grains, measures, (area, level), mult, lo, hi)
+    rows = df
+    for tag, (pk, ck) in grains.items():
+        part = table.where(F.col("_grain") == tag).drop("_grain")
+        fields = [f for f in part.columns if f not in (*keys, "_p", "_c")]
+        part = part.select(*keys, "_p", "_c", *[F.col(f).alias(f"{f}_{tag}") for f in fields])
+        rows = rows.withColumns({"_p": pk, "_c": ck}).join(part, [*keys, "_p", "_c"], "left").drop("_p", "_c")
     has_pass = F.col("na_pass").isNotNull() if by_pass else F.lit(False)
     has_crid = F.col("na_crid").isNotNull() if by_crid else F.lit(False)
+    order = [("all", F.lit(True))]
     if by_pass and by_crid:
-        rows = rows.join(reference([passes, crid], "both"), [*keys, passes, crid], "left")
-        grains = [("both", has_pass & has_crid & F.col("na_both").isNotNull()), ("all", has_pass & has_crid)]
-        grains += [("pass", has_pass), ("crid", has_crid), ("all", F.lit(True))]
-    elif by_pass:
-        grains = [("pass", has_pass), ("all", F.lit(True))]
-    elif by_crid:
-        grains = [("crid", has_crid), ("all", F.lit(True))]
+        order = [("both", has_pass & has_crid & F.col("na_both").isNotNull()), ("all", has_pass & has_crid),
+                 ("pass", has_pass), ("crid", has_crid), *order]
+    elif by_pass or by_crid:
+        order = [("pass", has_pass) if by_pass else ("crid", has_crid), *order]
 
     def pick(name: str) -> Column:
-        return F.coalesce(*[F.when(cond, F.struct(F.col(f"{name}_{tag}").alias("x"))) for tag, cond in grains])["x"]
+        return F.coalesce(*[F.when(cond, F.struct(F.col(f"{name}_{tag}").alias("x"))) for tag, cond in order])["x"]
 
     n_area, n_level = pick("na"), pick("nl")
 

@@ -26,7 +26,7 @@ def session(cpus: int = 8):
 
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("hydroseries")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
