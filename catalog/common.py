@@ -59,7 +59,7 @@ OBS_EXPR = {
     "s2_coverage": "l_quantity * 2",
     "ice": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END",
     "adaptive_filter": "CASE WHEN l_linenumber <= 5 THEN 0 ELSE 1 END",
-    "swot_p_ref_area": "CASE WHEN l_linenumber > 2 THEN 50.0 + l_linenumber END",
+    "swot_p_ref_area": "CASE WHEN l_linenumber > 2 THEN CAST(50 AS DOUBLE) + l_linenumber END",
     "flag": "l_returnflag",
     "status": "l_linestatus",
 }
