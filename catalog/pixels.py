@@ -1 +1,104 @@
-"""."""
+"""Pixel operators (M)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.common import query, rounded, shape, table, with_
+from hydroseries.operators import pixels as px
+
+PEXPR = {"lake_id": "l_suppkey", "scene_id": "l_orderkey", "ts": "CAST(CONCAT(CAST(year(l_shipdate) AS VARCHAR(4)), '-0', CAST(1 + l_linenumber AS VARCHAR(4)), '-01') AS TIMESTAMP)", "orbit": "1", "spacecraft": "l_linestatus", "x": "CAST(l_quantity AS INT)", "y": "l_linenumber",
+         "o4": "l_partkey", "b2": "l_quantity * 10", "b3": "CASE WHEN l_returnflag = 'N' THEN 1500 + l_quantity * 20 ELSE 400 + l_quantity * 5 END",
+         "b8": "CASE WHEN l_returnflag = 'N' THEN 300 + l_discount * 3000 ELSE 2000 + l_discount * 4000 END", "b4": "l_extendedprice / 50", "cloud_prob": "l_tax * 1000", "area_m2": "l_quantity * 2",
+         "scene_cloud_pct": "l_discount * 700"}
+PX = "px AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in PEXPR.items()) + " FROM lineitem)"
+MK = "mk AS (SELECT *, CAST(ts AS DATE) AS day, cloud_prob >= 50 AS cloud_mask, cloud_prob < 50 AS clear_mask FROM px)"
+IM = "lake_id, day, orbit, spacecraft"
+KEEP = "lake_id day spacecraft"
+
+
+def pixels(spark, d):
+    return table(spark, d, "lineitem").selectExpr(*[f"{e} AS `{n}`" for n, e in PEXPR.items()])
+
+
+def images(spark, d):
+    return px.masks(pixels(spark, d)).withColumn("day", F.to_date("ts"))
+
+
+@query("m1_scenes", shape(with_(PX) + "\nFINAL SELECT spacecraft, count(*) AS n, avg(b4) AS mean_b4 FROM px WHERE scene_cloud_pct < 50 AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '2000-01-01' AND month(ts) IN (11, 12, 1, 2, 3, 4, 5) GROUP BY spacecraft",
+                          "spacecraft", "n", "mean_b4"))
+def scenes(spark, d):
+    rows = px.scenes(pixels(spark, d), "1996-01-01", "2000-01-01", ice_season=True)
+    return rounded(rows.groupBy("spacecraft").agg(F.count(F.lit(1)).alias("n"), F.avg("b4").alias("mean_b4")))
+
+
+@query("m2_join_cloud", shape(with_(PX, "cl AS (SELECT scene_id, x, y, cloud_prob, o4 FROM px WHERE spacecraft = 'O')", "f AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY scene_id, x, y ORDER BY o4, cloud_prob) = 1)") + """
+FINAL SELECT lake_id, count(*) AS n, avg(f.cloud_prob) AS mean_prob FROM px JOIN f ON px.scene_id = f.scene_id AND px.x = f.x AND px.y = f.y GROUP BY lake_id""", "lake_id", "n", "mean_prob"))
+def join_cloud(spark, d):
+    p = pixels(spark, d)
+    rows = px.join_cloud(p, p.where("spacecraft = 'O'").select("scene_id", "x", "y", "cloud_prob", "o4"), order=("o4", "cloud_prob"))
+    return rounded(rows.groupBy("lake_id").agg(F.count(F.lit(1)).alias("n"), F.avg("cloud_prob").alias("mean_prob")))
+
+
+@query("m3_masks", shape(with_(PX, MK) + "\nFINAL SELECT lake_id, count(*) FILTER (WHERE cloud_mask) AS n_cloud, count(*) FILTER (WHERE clear_mask) AS n_clear FROM mk GROUP BY lake_id", "lake_id", "n_cloud n_clear"))
+def masks(spark, d):
+    return rounded(images(spark, d).groupBy("lake_id").agg(F.count_if("cloud_mask").alias("n_cloud"), F.count_if("clear_mask").alias("n_clear")))
+
+
+@query("m4_mosaic", shape(with_(PX, MK, f"mo AS (SELECT * FROM mk QUALIFY row_number() OVER (PARTITION BY {IM}, x, y ORDER BY scene_id DESC, o4 DESC, b4 DESC) = 1)") + f"\nFINAL SELECT {IM}, count(*) AS n, avg(b4) AS mean_b4 FROM mo GROUP BY {IM}",
+                          KEEP, "orbit n", "mean_b4"))
+def mosaic(spark, d):
+    rows = px.mosaic(px.masks(pixels(spark, d)), order=("scene_id", "o4", "b4"))
+    return rounded(rows.groupBy(*px.IMAGE).agg(F.count(F.lit(1)).alias("n"), F.avg("b4").alias("mean_b4")))
+
+
+_COV = f"cv AS (SELECT {IM}, round(count(*) FILTER (WHERE clear_mask) / count(*) * 100) AS coverage FROM mk GROUP BY {IM})"
+
+
+@query("m5_coverage", shape(with_(PX, MK, _COV) + "\nFINAL SELECT * FROM cv WHERE coverage > 5", KEEP, "orbit", "coverage"))
+def coverage(spark, d):
+    return rounded(px.coverage(images(spark, d)).where("coverage > 5"))
+
+
+_ND = "nd AS (SELECT *, CASE WHEN b3 + b8 <> 0 THEN (b3 - b8) / (b3 + b8) * 1000 END AS v FROM mk)"
+
+
+@query("m6_m7_ndwi_mean", shape(with_(PX, MK, _ND) + f"\nFINAL SELECT {IM}, avg(v) AS ndwi_mean FROM nd WHERE clear_mask GROUP BY {IM}", KEEP, "orbit", "ndwi_mean"))
+def ndwi_mean(spark, d):
+    return rounded(px.ndwi_mean(images(spark, d)))
+
+
+_OTSU = f"""bn AS (SELECT {IM}, floor(v / 10) AS bin, count(*) AS n, sum(v) AS s FROM nd WHERE clear_mask AND v IS NOT NULL GROUP BY {IM}, bin),
+ac AS (SELECT *, s / n AS m, sum(n) OVER w AS an, sum(s) OVER w AS asum, sum(n) OVER z AS tn, sum(s) OVER z AS ts FROM bn WINDOW w AS (PARTITION BY {IM} ORDER BY bin), z AS (PARTITION BY {IM})),
+sc AS (SELECT *, an * (asum / an - ts / tn) ** 2 + CASE WHEN tn > an THEN (tn - an) * ((ts - asum) / (tn - an) - ts / tn) ** 2 ELSE 0 END AS bss FROM ac),
+ot AS (SELECT {IM}, m AS threshold FROM sc QUALIFY row_number() OVER (PARTITION BY {IM} ORDER BY round(bss, 3) DESC, m DESC) = 1)"""
+
+
+@query("m8_otsu", shape(with_(PX, MK, _ND, _OTSU) + "\nFINAL SELECT * FROM ot", KEEP, "orbit", "threshold"))
+def otsu(spark, d):
+    return rounded(px.otsu(images(spark, d)))
+
+
+@query("m9_water_levels")
+def water_levels(spark, d):
+    return rounded(px.water_levels(images(spark, d)))
+
+
+@query("m10_water_area", shape(with_(PX, MK) + f"""
+FINAL SELECT {IM}, coalesce(sum(area_m2) FILTER (WHERE b4 >= 500), -999) AS water_area_25, coalesce(sum(area_m2) FILTER (WHERE b4 >= 1900), -999) AS water_area_50, coalesce(sum(area_m2) FILTER (WHERE cloud_mask), -999) AS cloud_area,
+ coalesce(sum(area_m2) FILTER (WHERE clear_mask), -999) AS clear_area FROM mk GROUP BY {IM}""", KEEP, "orbit", "water_area_25 water_area_50 cloud_area clear_area"))
+def water_area(spark, d):
+    rows = images(spark, d).withColumns({"water_25": F.col("b4") >= 500, "water_50": F.col("b4") >= 1900})
+    return rounded(px.water_area(rows))
+
+
+@query("m10_m12_water_series")
+def water_series(spark, d):
+    return rounded(px.water_series(images(spark, d)))
+
+
+@query("m11_m12_ice_series", shape(with_(PX, MK, _COV) + f"""
+FINAL SELECT {IM}, i AS ice_pixels, w AS water_pixels, CASE WHEN i + w > 0 THEN round(i / (i + w) * 100) END AS ice_pct, coverage FROM (SELECT {IM}, count(*) FILTER (WHERE clear_mask AND b4 >= 975) AS i,
+ count(*) FILTER (WHERE clear_mask AND b4 < 975) AS w FROM mk GROUP BY {IM}) JOIN cv USING ({IM}) WHERE coverage > 0""", KEEP, "orbit ice_pixels water_pixels", "ice_pct coverage"))
+def ice_series(spark, d):
+    return rounded(px.ice_series(images(spark, d)))
