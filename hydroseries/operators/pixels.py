@@ -82,28 +82,36 @@ def otsu(images: DataFrame, image=IMAGE, width: float = 10) -> DataFrame:
 def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
     """Index values that stand for no and full water, from the peaks on both sides of the threshold.
 
-    Works on one 200-element histogram per image.
+    Works on a histogram of 200 fixed bins per image.  On each side the level is the
+    first bin whose count is nearest to one tenth of the way from the count at the
+    threshold up to the peak; places are counted from the peak (land) and from the
+    threshold (water).
     """
     image = names(image)
     thr = otsu(images, image).select(*image, (F.round(F.col("threshold") / 10) * 10).alias("threshold"))
+    thr = thr.withColumn("k", ((F.col("threshold") + 1000) / 10).cast("int")).where("k >= 1 AND k < 198")
     inside = images.select(*image, ndwi().alias("_v")).where("_v >= -1000 AND _v <= 1000")
-    bins = inside.groupBy(*image, F.least(F.floor((F.col("_v") + 1000) / 10), F.lit(199)).cast("int").alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    hist = bins.groupBy(*image).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_m"))
-    c = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    rows = hist.join(thr, image).select(*image, "threshold", c.alias("c"), ((F.col("threshold") + 1000) / 10).cast("int").alias("k"))
-    rows = rows.where("k >= 1 AND k < 198")
-    rows = rows.withColumns({"land": F.slice("c", F.lit(1), F.col("k")), "water": F.slice("c", F.col("k") + 2, F.lit(198) - F.col("k")),
-                             "at": F.element_at("c", F.col("k") + 1)})
-    rows = rows.withColumns({"lm": F.array_max("land"), "wm": F.array_max("water")})
-    rows = rows.withColumns({"li": (F.array_position("land", F.col("lm")) - 1).cast("int"), "wi": (F.array_position("water", F.col("wm")) - 1).cast("int"),
-                             "lt": F.col("lm") - (F.col("lm") - F.col("at")) * 0.9, "wt": F.col("wm") - (F.col("wm") - F.col("at")) * 0.9})
-    start = F.greatest(F.col("li") - 1, F.lit(1))
-    land2 = F.transform(F.slice("land", start + 1, F.greatest(F.col("k") - 1 - start, F.lit(0))), lambda x: F.abs(x - F.col("lt")))
-    water2 = F.transform(F.slice("water", F.lit(1), F.least(F.col("wi") + 1, F.lit(199))), lambda x: F.abs(x - F.col("wt")))
-    rows = rows.withColumns({"l2": land2, "w2": water2}).where("size(l2) > 0 AND size(w2) > 0")
-    li = F.array_position("l2", F.array_min("l2")) - 1 + F.col("li")
-    wi = F.array_position("w2", F.array_min("w2")) - 1 + F.col("k")
-    return rows.select(*image, "threshold", (li * 10 - 1000 + 5).cast("double").alias("land_level"), (wi * 10 - 1000 + 5).cast("double").alias("water_level"))
+    bins = inside.groupBy(*image, F.least(F.floor((F.col("_v") + 1000) / 10), F.lit(199)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    grid = thr.select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).join(bins, [*image, "b"], "left")
+    grid = grid.withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
+    one = Window.partitionBy(*image)
+    k, n, b = F.col("k"), F.col("n"), F.col("b")
+    land, water = b < k, (b > k) & (b <= 198)
+
+    def peak(side: Column) -> Column:
+        return F.min(F.when(side, F.struct((-n).alias("m"), b.alias("b")))).over(one)
+    rows = grid.select("*", peak(land).alias("_l"), peak(water).alias("_w"), F.max(F.when(b == k, n)).over(one).alias("_at"))
+    low = lambda top: top - (top - F.col("_at")) * 0.9
+    start = F.greatest(F.col("_l.b") - 1, F.lit(1))
+    end = F.least(F.col("_w.b") + 1, F.lit(198))
+    near_land = F.when(land & (b >= start) & (b <= k - 2), F.struct(F.abs(n - low(-F.col("_l.m"))).alias("d"), b.alias("b")))
+    near_water = F.when(water & (b < end), F.struct(F.abs(n - low(-F.col("_w.m"))).alias("d"), b.alias("b")))
+    out = rows.groupBy(*image).agg(F.first("threshold").alias("threshold"), F.first("k").alias("k"), F.first(F.col("_l.b")).alias("_peak"),
+                                   F.first(start).alias("_start"), F.min(near_land).alias("_nl"), F.min(near_water).alias("_nw"))
+    li = F.col("_nl.b") - F.col("_start") + F.col("_peak")
+    wi = F.col("_nw.b") - 1
+    return (out.where("_nl IS NOT NULL AND _nw IS NOT NULL")
+            .select(*image, "threshold", (li * 10 - 1000 + 5).cast("double").alias("land_level"), (wi * 10 - 1000 + 5).cast("double").alias("water_level")))
 
 
 def water_fraction(images: DataFrame, image=IMAGE, cuts=(25, 50, 60, 75)) -> DataFrame:
