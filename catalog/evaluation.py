@@ -24,7 +24,10 @@ VEXPR = {
     "s2_storage_anomaly": f"{B} + l_partkey * 100",
 }
 VOBS = "vo AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in VEXPR.items()) + " FROM lineitem)"
-MASK = {"opt": F.col("acc_opt"), "filt": F.col("acc_filt")}
+
+
+def masks():
+    return {"opt": F.col("acc_opt"), "filt": F.col("acc_filt")}
 
 
 def vobs(spark, d):
@@ -43,7 +46,7 @@ PK = f"pk AS (SELECT lake, {_V}, {MET} FROM (SELECT *, observed AS o, predicted
 
 
 def _per_key(spark, d, norm=False):
-    return ev.evaluate_variants(ev.variant_pairs(vobs(spark, d), "lake", MASK), "lake", norm)
+    return ev.evaluate_variants(ev.variant_pairs(vobs(spark, d), "lake", masks()), "lake", norm)
 
 
 @query("j1_metrics_by_capacity", shape(with_(VOBS, f"c AS (SELECT lake, max(storage) - min(storage) AS cap FROM vo GROUP BY lake)", f"m AS (SELECT lake, {MET} FROM (SELECT lake, storage_anomaly / 1000 AS o, swot_storage_anomaly / 1000 AS p FROM vo) GROUP BY lake)") + """
@@ -93,7 +96,7 @@ _POOL = ("variant model filter_type temporal_type", "n_keys n_obs n_robust", "ma
 
 @query("j5_pooled_km3", shape(with_(VOBS, PAIRS, _pool_sql("SELECT *, predicted - observed AS e FROM vp")) + "\nFINAL SELECT * FROM po", *_POOL))
 def pooled(spark, d):
-    return rounded(ev.pooled_metrics(ev.variant_pairs(vobs(spark, d), "lake", MASK), "lake"))
+    return rounded(ev.pooled_metrics(ev.variant_pairs(vobs(spark, d), "lake", masks()), "lake"))
 
 
 _RG = "rg AS (" + " UNION ALL ".join(f"SELECT lake, '{k}' AS filter_type, (quantile_cont(storage_anomaly_{k}, 0.99) - quantile_cont(storage_anomaly_{k}, 0.01)) * 1233.48 / 1e9 AS w FROM vo GROUP BY lake HAVING count(*) >= 10" for k in ("opt", "filt")) + ")"
@@ -103,7 +106,7 @@ _RG = "rg AS (" + " UNION ALL ".join(f"SELECT lake, '{k}' AS filter_type, (quant
 def pooled_norm(spark, d):
     v = vobs(spark, d)
     parts = [ev.gauge_range(v.withColumn("_r", F.col(f"storage_anomaly_{k}") * 1233.48 / 1e9), "lake", "_r").withColumn("filter_type", F.lit(k)) for k in ("opt", "filt")]
-    return rounded(ev.pooled_metrics(ev.variant_pairs(v, "lake", MASK), "lake", parts[0].unionByName(parts[1])), 5)
+    return rounded(ev.pooled_metrics(ev.variant_pairs(v, "lake", masks()), "lake", parts[0].unionByName(parts[1])), 5)
 
 
 _CMP = {"swot": "swot_storage_anomaly", "swot_s2": "swots2_storage_anomaly", "static_area": "static_area_storage_anomaly"}
