@@ -85,3 +85,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_groups(df: DataFrame, keys) -> DataFrame:
+    """Hash partitions by key in the session's full number, ahead of grouped Python work.
+
+    Adaptive coalescing goes by bytes and would put small but costly groups into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *names(keys))

@@ -6,38 +6,40 @@ into value bins: rows are reduced to (key, bin, value, sums) with map-side combi
 the bin totals are accumulated per key (their number is limited by the bins a number
 can fall into, not by the rows), and values are ordered only inside a bin.
 
-A bin is a fixed step of the number line (``BINS_PER_OCTAVE`` equal steps between
-powers of two), so it needs no statistics of the data and the input is read at most
-twice.  Bins decide how work is spread, never the result.
+A bin is a fixed step of the number line (equal steps between powers of two), so it
+needs no statistics of the data and the input is read at most twice.  Quantiles use
+wide bins first and cut only the bins that contain a wanted rank into narrow ones.
+Bins decide how work is spread, never the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroseries.functions.keyed import col, known, names
 
-BINS_PER_OCTAVE = 4096
+WIDE, MIDDLE, NARROW = 64, 4096, 1 << 18
 
 
-def _bin(value: Column) -> Column:
-    """Monotone bin number of a value."""
+def _bin(value: Column, steps: int) -> Column:
+    """Monotone bin number of a value, with ``steps`` bins between powers of two."""
     x = value.cast("double")
     size = F.greatest(F.least(F.abs(x), F.lit(1e300)), F.lit(1e-300))
     octave = F.floor(F.log2(size))
     # Scaling by a power of two is exact, so neighbouring octaves meet without a gap or an overlap.
-    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * BINS_PER_OCTAVE)
-    place = (octave + 1100) * BINS_PER_OCTAVE + step
-    return F.when(x == 0, F.lit(0)).when(x > 0, place).otherwise(-place).cast("long")
+    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * steps)
+    place = (octave + 1100) * steps + step
+    # Never NULL, so that both readers of the reduced rows get one and the same plan and share its shuffle.
+    return F.coalesce(F.when(x == 0, F.lit(0)).when(x > 0, place).otherwise(-place).cast("long"), F.lit(0).cast("long"))
 
 
-def _per_value(df: DataFrame, keys: list[str], value: str | Column, sums: Mapping[str, Column]) -> DataFrame:
+def _per_value(df: DataFrame, keys: list[str], value: str | Column, sums: Mapping[str, Column], steps: int) -> DataFrame:
     v = col(value)
     rows = df.where(known(v)).select(*keys, v.alias("_v"), *[e.alias(n) for n, e in sums.items()])
-    return (rows.withColumn("_bin", _bin(F.col("_v"))).groupBy(*keys, "_bin", "_v")
+    return (rows.withColumn("_bin", _bin(F.col("_v"), steps)).groupBy(*keys, "_bin", "_v")
             .agg(*[F.sum(n).alias(n) for n in sums]))
 
 
@@ -63,37 +65,54 @@ def _inside(values: DataFrame, offsets: DataFrame, keys: list[str], sums: Iterab
 
 
 def ordered_totals(df: DataFrame, keys, value: str | Column, sums: Mapping[str, Column] | None = None,
-                   name: str = "value") -> DataFrame:
+                   name: str = "value", only: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """One row per (key, distinct value) with running totals in value order.
 
     For every entry ``n`` of ``sums`` the result has ``n`` (total at this value),
-    ``n_before`` (total at smaller values) and ``n_total`` (total of the key).
+    ``n_before`` (total at smaller values) and ``n_total`` (total of the key).  ``only``
+    gets the total before a bin, the total of the bin and the total of the key (of the
+    first entry) and says which bins are needed; the others are not ordered.
     """
     keys, sums = names(keys), dict(sums or {"n": F.lit(1)})
-    values = _per_value(df, keys, value, sums)
-    return _inside(values, _bin_offsets(values, keys, sums), keys, sums).withColumnRenamed("_v", name)
+    values = _per_value(df, keys, value, sums, MIDDLE)
+    offsets = _bin_offsets(values, keys, sums)
+    if only is not None:
+        first = next(iter(sums))
+        offsets = offsets.where(only(F.col(f"_{first}_off"), F.col(f"_{first}_bin"), F.col(f"{first}_total")))
+    return _inside(values, offsets, keys, sums).withColumnRenamed("_v", name)
 
 
 def quantiles(df: DataFrame, keys, value: str | Column, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of ``probs``.
 
-    Only bins that contain a wanted rank are ordered.
+    Only narrow bins that contain a wanted rank are ordered.
     """
     keys = names(keys)
     sums = {"n": F.lit(1)}
-    values = _per_value(df, keys, value, sums)
-    offsets = _bin_offsets(values, keys, sums)
+    values = _per_value(df, keys, value, sums, WIDE)
+    wide = _bin_offsets(values, keys, sums)
 
     def rank(p: float, up: bool) -> Column:
         position = F.lit(float(p)) * (F.col("n_total") - 1)
         return F.ceil(position) if up else F.floor(position)
 
-    start, end = F.col("_n_off"), F.col("_n_off") + F.col("_n_bin")
-    wanted = F.lit(False)
-    for p in set(probs.values()):
-        for up in (False, True):
-            wanted = wanted | ((rank(p, up) >= start) & (rank(p, up) < end))
-    ordered = _inside(values, offsets.where(wanted), keys, sums)
+    def wanted(start: Column, n: Column) -> Column:
+        hit = F.lit(False)
+        for p in set(probs.values()):
+            for up in (False, True):
+                hit = hit | ((rank(p, up) >= start) & (rank(p, up) < start + n))
+        return hit
+
+    near = wide.where(wanted(F.col("_n_off"), F.col("_n_bin"))).drop("_n_bin")
+    near = values.join(near, [*keys, "_bin"], "inner").withColumn("_sub", _bin(F.col("_v"), NARROW))
+    by = [*keys, "_bin", "_sub"]
+    cut = near.groupBy(*by).agg(F.sum("n").alias("_m"), F.first("_n_off").alias("_n_off"), F.first("n_total").alias("n_total"))
+    before = Window.partitionBy(*keys, "_bin").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_start", F.col("_n_off") + F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    cut = cut.where(wanted(F.col("_start"), F.col("_m"))).select(*by, "_start")
+    inside = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = near.join(cut, by, "inner").select(
+        *keys, "_v", "n", "n_total", (F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("n_before"))
 
     aggs, outs = [], []
     for name, p in probs.items():

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroseries.functions.keyed import attach, cut_lineage, day, holds, known, names
+from hydroseries.functions.keyed import attach, cut_lineage, day, holds, known, names, spread_groups
 from hydroseries.functions.orderstats import quantiles
 from hydroseries.operators import thresholds as th
 from hydroseries.operators.adaptive_series import filter_series
@@ -200,7 +200,7 @@ def _grouped(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> t
         show[0] = True
         return frame.loc[show, [*keys, *ids, "day", "wse"]].assign(kept=kept[show], n_round1=one, n_round2=two)
 
-    marked = cut_lineage(need.groupBy(*keys).applyInPandas(run, out))
+    marked = cut_lineage(spread_groups(need, keys).groupBy(*keys).applyInPandas(run, out))
     codes = marked.groupBy(*keys).agg(F.max("n_round1").alias("n_round1"), F.max("n_round2").alias("n_round2"))
     return marked.where("kept").select(*keys, *ids, "day", "wse"), codes
 
