@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import query, rounded, shape, table, with_
+from hydroseries.functions.keyed import spread_rows
 from hydroseries.operators import accuracy as acc
 from hydroseries.operators import evaluate as ev
 from hydroseries.operators import significance as sg
@@ -31,7 +32,7 @@ def masks():
 
 
 def vobs(spark, d):
-    return table(spark, d, "lineitem").selectExpr(*[f"{e} AS `{n}`" for n, e in VEXPR.items()])
+    return spread_rows(table(spark, d, "lineitem")).selectExpr(*[f"{e} AS `{n}`" for n, e in VEXPR.items()])
 
 
 PAIRS = "vp AS (" + " UNION ALL ".join(

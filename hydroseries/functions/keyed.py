@@ -94,3 +94,13 @@ def spread_groups(df: DataFrame, keys) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *names(keys))
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer files than there are cores.
+
+    Meant for inputs that are multiplied per row afterwards.  A table of many files is
+    left as it is, so nothing is shuffled at scale.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
