@@ -106,10 +106,10 @@ def quantiles(df: DataFrame, keys, value: str | Column, probs: Mapping[str, floa
     near = wide.where(wanted(F.col("_n_off"), F.col("_n_bin"))).drop("_n_bin")
     near = values.join(near, [*keys, "_bin"], "inner").withColumn("_sub", _bin(F.col("_v"), NARROW))
     by = [*keys, "_bin", "_sub"]
-    cut = near.groupBy(*by).agg(F.sum("n").alias("_m"), F.first("_n_off").alias("_n_off"), F.first("n_total").alias("n_total"))
+    cut = near.groupBy(*by).agg(F.sum("n").alias("_sub_n"), F.first("_n_off").alias("_n_off"), F.first("n_total").alias("n_total"))
     before = Window.partitionBy(*keys, "_bin").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_start", F.col("_n_off") + F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    cut = cut.where(wanted(F.col("_start"), F.col("_m"))).select(*by, "_start")
+    cut = cut.withColumn("_start", F.col("_n_off") + F.coalesce(F.sum("_sub_n").over(before), F.lit(0)))
+    cut = cut.where(wanted(F.col("_start"), F.col("_sub_n"))).select(*by, "_start")
     inside = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ordered = near.join(cut, by, "inner").select(
         *keys, "_v", "n", "n_total", (F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("n_before"))

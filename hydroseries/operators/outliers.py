@@ -166,9 +166,9 @@ def _ice_free_bounds(free: DataFrame, keys: list[str], grains: dict, measures: l
             for m in measures for side, f in (("l", F.min), ("h", F.max))] if exact else []
     out = rows.groupBy(*by).agg(F.count_if(known(area)).alias("na"), F.count_if(known(level)).alias("nl"), *ends)
     if not exact:
-        long = rows.unpivot(by, measures, "_m", "_x")
-        q = quantiles(long, [*by, "_m"], "_x", {"_l": lo, "_h": hi})
-        wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == m, F.col(f"_{side}"))).alias(f"q{side}_{m}")
+        long = rows.unpivot(by, measures, "_measure", "_x")
+        q = quantiles(long, [*by, "_measure"], "_x", {"_l": lo, "_h": hi})
+        wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("_measure") == m, F.col(f"_{side}"))).alias(f"q{side}_{m}")
                                     for m in measures for side in ("l", "h")])
         out = out.join(wide, by, "left")
     bounds = []
