@@ -6,21 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroseries.llm import near_dups
+from hydroseries.llm import decontaminate, licenses, near_dups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op7_minhash_near_dedup,
+    op1_license_scan, op2_benchmark_decontamination, op7_minhash_near_dedup,
 )}
 
 ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.PLAIN_SQL,
     "op7_minhash_near_dedup": near_dups.plain_sql(3, 85),
 }
