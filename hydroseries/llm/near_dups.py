@@ -19,7 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.llm.blocks import LOWER, MULTIPLIERS, NOT_SPACE, mix, run_hashes, text_blocks, word_runs
-from hydroseries.llm.store import keep
+from hydroseries.llm.store import Store
+
+
+#: Tokens by which similarity is estimated and deeper nodes branch, as bytes of so many numbers.
+POSITIONS = 64
+BYTES = [f"s{j}" for j in range(POSITIONS // 8)]
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -47,8 +52,10 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.
     return out
 
 
-def _scan(words: int, positions: int, seed: int):
-    multipliers = np.random.default_rng(seed).integers(1, 2**63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _scan(words: int, roots: int, seed: int):
+    """Minwise tokens of each set: ``roots`` of 32 bits for the first level, then POSITIONS of 8 bits, eight to a number."""
+    multipliers = np.random.default_rng(seed).integers(1, 2**63, roots + POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    names = ["doc_id", "n_shingles", "f1", "f2", "roots", *BYTES]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
@@ -58,16 +65,17 @@ def _scan(words: int, positions: int, seed: int):
             flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
             at = np.concatenate(([0], np.cumsum(size[full])[:-1])).astype(np.int64)
             one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            signature = np.zeros((len(sets), positions), np.uint32)
+            token = np.zeros((len(sets), roots + POSITIONS), np.uint32)
             if len(full):
                 one[full] = np.add.reduceat(mix(flat + np.uint64(MULTIPLIERS[0])), at)
                 two[full] = np.add.reduceat(mix(flat ^ np.uint64(MULTIPLIERS[1])), at)
-                for k in range(positions):
-                    signature[full, k] = np.minimum.reduceat(((flat * multipliers[k]) >> np.uint64(32)).astype(np.uint32), at)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * positions), pa.array(signature.view(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
-                                             ["doc_id", "n_shingles", "f1", "f2", "sig"])
-    return scan
+                for k, m in enumerate(multipliers):
+                    token[full, k] = np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), at)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * roots), pa.array(token[:, :roots].copy().view(np.int32).ravel()))
+            packed = mix(token[:, roots:].astype(np.uint64)).astype(np.uint8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists,
+                                              *[pa.array(packed[:, j].copy()) for j in range(len(BYTES))]], names)
+    return scan, "doc_id long, n_shingles long, f1 long, f2 long, roots array<int>, " + ", ".join(f"{b} long" for b in BYTES)
 
 
 def _full_sets(words: int):
@@ -80,12 +88,24 @@ def _full_sets(words: int):
     return sets
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    """Number of positions where two signatures agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _agreement(other: str) -> Column:
+    """Number of positions where the tokens of a row and those of the same row's columns with suffix ``other`` agree."""
+    differ = F.lit(0)
+    for b in BYTES:
+        x = F.col(b).bitwiseXOR(F.col(b + other))
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(POSITIONS) - differ
+
 
+def _byte(position: Column) -> Column:
+    """The 8-bit token at a position from 0."""
+    number = F.get(F.array(*BYTES), F.floor(position / 8).cast("int"))
+    return F.call_function("shiftrightunsigned", number, F.pmod(position, F.lit(8)).cast("int") * 8).bitwiseAND(F.lit(255))
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+
+def components(links: DataFrame, store: Store, start: DataFrame | None = None) -> DataFrame:
     """(rep, comp): the smallest id reachable over links (a, b). ``start`` has labels found so far.
 
     Labels spread to neighbours and then jump to the label of their label, so the rounds grow
@@ -97,26 +117,28 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = labels.withColumn("comp", F.col("rep"))
     else:
         labels = labels.join(start, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-    labels = keep(labels)
-    while True:
+
+    def spread(labels: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("rep").alias("a"), "comp"), "a").groupBy(F.col("b").alias("rep")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "rep").select("rep", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+        return labels.join(near, "rep").select("rep", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+
+    while True:
+        step = store.keep(spread(labels))
         jump = step.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
-        moved = keep(step.join(jump, "comp", "left").select("rep", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "old"))
-        labels = moved.select("rep", "comp")
-        if moved.where("comp < old").isEmpty():
-            return labels
+        labels = step.join(jump, "comp", "left").select("rep", F.least("comp", F.coalesce("next", "comp")).alias("comp"))
+        if step.where("comp < old").isEmpty():
+            return step.select("rep", "comp")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 16,
-                    positions: int = 64, depth: int = 6, slack: float = 0.25, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 128,
+                    depth: int = 4, slack: float = 0.25, seed: int = 7) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked where ``100 * intersection >= percent * union`` of their shingle
     sets. A pair of similarity s meets in one tree with probability 1 - (1 - s)^tokens a level;
     ``trees`` independent trees are built (at 0.85 and the defaults a pair that parts in small
     nodes of the first level is missed once in four million). ``slack`` is how far the estimate
-    from ``positions`` tokens may fall below the limit (over five standard deviations) before a
+    from POSITIONS tokens may fall below the limit (over five standard deviations) before a
     pair is not confirmed on full sets. Nodes that ``depth`` levels have not parted are compared
     exhaustively between their components.
 
@@ -124,21 +146,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     its component_id is null and it is kept. Rows that share a doc_id are linked over any of
     their texts. Other columns are ignored.
     """
-    least = max(1, int(positions * (percent / 100 - slack)))
-    rows = keep(docs.select("doc_id", "text").mapInArrow(
-        _scan(words, positions, seed), "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>"))
-    same = ["n_shingles", "f1", "f2"]
-    classes = keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    signed = classes.select("rep", "sig")
-
-    def paths(frame: DataFrame, level: int) -> DataFrame:
-        if level == 1:
-            places = [(F.lit(k), F.lit(k % positions)) for k in range(trees * tokens)]
-        else:
-            places = [(F.col("node"), F.pmod(F.xxhash64("node", F.lit(j)), F.lit(positions)).cast("int")) for j in range(tokens)]
-        return frame.select("rep", F.explode(F.array(*[F.xxhash64(node, place, F.get("sig", place)) for node, place in places])).alias("node")).distinct()
-
-    frontier, links, comp, sets = keep(paths(signed, 1)), None, None, None
+    store, least = Store(docs), max(1, int(POSITIONS * (percent / 100 - slack)))
+    scan, schema = _scan(words, trees * tokens, seed)
+    rows = store.keep(docs.select("doc_id", "text").mapInArrow(scan, schema))
+    same, carried = ["n_shingles", "f1", "f2"], ["roots", *BYTES]
+    classes = store.keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(
+        F.min("doc_id").alias("rep"), F.first(F.struct(*carried)).alias("of")).select(*same, "rep", "of.*"))
+    signed = classes.select("rep", *BYTES)
+
+    def children(parents: DataFrame) -> DataFrame:
+        """Every member of a node goes to one child for each of the tokens that the node chooses."""
+        places = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(POSITIONS)) for j in range(tokens)]
+        return parents.select("rep", F.explode(F.array(*[F.xxhash64("node", place, _byte(place)) for place in places])).alias("node"))
+
+    frontier = classes.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(k), F.get("roots", F.lit(k))) for k in range(trees * tokens)])).alias("node"))
+    links = comp = sets = tested = None
     for level in count(1):
         if comp is not None:
             frontier = frontier.join(comp, "rep", "left").select("rep", "node", F.coalesce("comp", "rep").alias("comp"))
@@ -147,28 +169,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         nodes = (frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"),
                                               F.min(F.struct(F.xxhash64("rep", "node"), "rep")).alias("leader"))
                  .where("low < high").select("node", "size", F.col("leader.rep").alias("leader")))
-        live = keep(frontier.join(nodes, "node").join(signed, "rep"))
-        few = live.where((F.col("size") <= small) if level <= depth else F.lit(True)).select("node", "rep", "comp", "sig")
-        many = live.where((F.col("size") > small) if level <= depth else F.lit(False))
-        other = few.select("node", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
-        close = few.join(other, "node").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2"))
-                                              & (_agreement(F.col("sig"), F.col("sig2")) >= least)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        lead = many.where("rep = leader").select("node", F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
-        stars = many.join(lead, "node").where((F.col("comp") != F.col("comp2")) & (_agreement(F.col("sig"), F.col("sig2")) >= least)).select(
+        live = store.keep(frontier.join(nodes, "node").join(signed, "rep"))
+        is_small = (F.col("size") <= small) if level <= depth else F.lit(True)
+        few, many = live.where(is_small), live.where(~is_small)
+        renamed = [F.col(b).alias(f"{b}_2") for b in BYTES]
+        other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)
+        close = few.join(other, "node").where((F.col("rep") < F.col("rep_2")) & (F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
+            F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+        lead = many.where("rep = leader").select("node", F.col("comp").alias("comp_2"), *renamed)
+        stars = many.join(lead, "node").where((F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
             F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        pairs = keep(close.union(stars).distinct())
+        pairs = close.union(stars).distinct()
+        pairs = store.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
         if sets is None:
             wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(many.select("rep")).distinct()
-            sets = keep(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_full_sets(words), "rep long, shingles array<long>"))
-        found = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-                 .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-                 .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-                 .where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
-        links = keep(found if links is None else found.union(links))
-        comp = components(links, comp)
+            sets = store.keep(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_full_sets(words), "rep long, shingles array<long>"))
+        found = store.keep(pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+                           .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+                           .withColumn("both", F.size(F.array_intersect("sa", "sb")))
+                           .where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
+        links = found if links is None else links.union(found)
+        if comp is None or not found.isEmpty():
+            comp = components(links, store, comp)
         if many.isEmpty():
             break
-        frontier = keep(paths(many.select("rep", "node", "sig"), level + 1))
+        frontier = children(many)
 
     ends = classes.select(*same, "rep").join(comp, "rep", "left").select(*same, F.coalesce("comp", "rep").alias("component_id"))
     found = rows.select("doc_id", *same).join(ends, same, "left")
