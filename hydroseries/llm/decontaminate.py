@@ -96,21 +96,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents without any hit, all columns as they were."""
-    bad = hits(docs, benchmark, size).where(F.size("places") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    bad = hits(docs, benchmark, size).where(F.size("places") > 0).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_hash")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """All documents; words inside an occurrence, and what stands before each of them, are cut from the text."""
     bad = (hits(docs, benchmark, size).where(F.size("places") > 0)
-           .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), hit_words(F.col("places")).alias("_cut")).distinct())
-    joined = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+           .select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"), hit_words(F.col("places")).alias("__cut")).distinct())
+    joined = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_hash")), "left")
     either = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all("text", F.lit(either), F.lit(0))
     gaps = F.split("text", either)
-    kept = F.transform(pieces, lambda word, i: F.when(~F.array_contains("_cut", (i + F.lit(1)).cast("int")), F.concat(F.get(gaps, i), word)).otherwise(F.lit("")))
+    kept = F.transform(pieces, lambda word, i: F.when(~F.array_contains("__cut", (i + F.lit(1)).cast("int")), F.concat(F.get(gaps, i), word)).otherwise(F.lit("")))
     rest = F.concat(F.array_join(kept, ""), F.get(gaps, F.size(gaps) - F.lit(1)))
-    return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 #: The same in DuckDB, by definition.
