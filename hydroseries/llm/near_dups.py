@@ -3,8 +3,8 @@
 Every document is its set of word shingles; equal sets form one class. Classes walk down
 random trees: a node sends its members on by the values of a few chosen minwise tokens, so
 that similar documents meet and others part. Small nodes are compared exhaustively. In a
-large node a leader is compared with every member, which joins groups of copies without all
-their pairs; the members go on to deeper nodes, and a node stops as soon as all its members
+large node two leaders are compared with every member, which joins groups of copies without
+all their pairs; the members go on to deeper nodes, and a node stops as soon as all its members
 are known to hang together. Every link is confirmed on the full sets.
 """
 
@@ -23,7 +23,7 @@ from hydroseries.llm.store import Store
 
 
 #: Tokens by which similarity is estimated and deeper nodes branch, as bytes of so many numbers.
-POSITIONS = 64
+POSITIONS = 128
 BYTES = [f"s{j}" for j in range(POSITIONS // 8)]
 
 
@@ -130,15 +130,15 @@ def components(links: DataFrame, store: Store, start: DataFrame | None = None) -
             return step.select("rep", "comp")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 128,
-                    depth: int = 4, slack: float = 0.25, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 24,
+                    depth: int = 4, slack: float = 0.12, seed: int = 7) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked where ``100 * intersection >= percent * union`` of their shingle
     sets. A pair of similarity s meets in one tree with probability 1 - (1 - s)^tokens a level;
     ``trees`` independent trees are built (at 0.85 and the defaults a pair that parts in small
     nodes of the first level is missed once in four million). ``slack`` is how far the estimate
-    from POSITIONS tokens may fall below the limit (over five standard deviations) before a
+    from POSITIONS tokens may fall below the limit (nearly four standard deviations) before a
     pair is not confirmed on full sets. Nodes that ``depth`` levels have not parted are compared
     exhaustively between their components.
 
@@ -166,9 +166,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
             frontier = frontier.join(comp, "rep", "left").select("rep", "node", F.coalesce("comp", "rep").alias("comp"))
         else:
             frontier = frontier.withColumn("comp", F.col("rep"))
+        drawn = F.struct(F.xxhash64("rep", "node"), "rep")
         nodes = (frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                              F.min(F.struct(F.xxhash64("rep", "node"), "rep")).alias("leader"))
-                 .where("low < high").select("node", "size", F.col("leader.rep").alias("leader")))
+                                              F.min(drawn).alias("first"), F.max(drawn).alias("last"))
+                 .where("low < high").select("node", "size", F.col("first.rep").alias("first"), F.col("last.rep").alias("last")))
         live = store.keep(frontier.join(nodes, "node").join(signed, "rep"))
         is_small = (F.col("size") <= small) if level <= depth else F.lit(True)
         few, many = live.where(is_small), live.where(~is_small)
@@ -176,9 +177,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)
         close = few.join(other, "node").where((F.col("rep") < F.col("rep_2")) & (F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
             F.col("rep").alias("a"), F.col("rep_2").alias("b"))
-        lead = many.where("rep = leader").select("node", F.col("comp").alias("comp_2"), *renamed)
+        lead = many.where("rep = first OR rep = last").select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)
         stars = many.join(lead, "node").where((F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
-            F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
+            F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
         pairs = close.union(stars).distinct()
         pairs = store.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
