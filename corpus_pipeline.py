@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest doc_id. Rows without doc_id stay."""
-    gone = near_dups.near_duplicates(docs, words=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest doc_id. Rows without doc_id stay, and all rows of a doc_id of which any stays."""
+    found = near_dups.near_duplicates(docs, words=5, percent=80).where(F.col("doc_id").isNotNull())
+    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("__kept")).where("NOT __kept").select("__gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

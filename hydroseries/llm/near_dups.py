@@ -131,20 +131,21 @@ def components(links: DataFrame, store: Store, start: DataFrame | None = None) -
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 24,
-                    depth: int = 4, slack: float = 0.12, seed: int = 7) -> DataFrame:
+                    middle: int = 256, depth: int = 3, slack: float = 0.12, seed: int = 7) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked where ``100 * intersection >= percent * union`` of their shingle
     sets. A pair of similarity s meets in one tree with probability 1 - (1 - s)^tokens a level;
-    ``trees`` independent trees are built (at 0.85 and the defaults a pair that parts in small
+    Nodes of up to ``small`` members are compared exhaustively at the first level, of up to ``middle``
+    below it, where the leaders' links have joined most copies. ``trees`` independent trees are built (at 0.85 and the defaults a pair that parts in small
     nodes of the first level is missed once in four million). ``slack`` is how far the estimate
     from POSITIONS tokens may fall below the limit (nearly four standard deviations) before a
     pair is not confirmed on full sets. Nodes that ``depth`` levels have not parted are compared
     exhaustively between their components.
 
     A null or wordless text has an empty set and no links. A row without doc_id takes no part:
-    its component_id is null and it is kept. Rows that share a doc_id are linked over any of
-    their texts. Other columns are ignored.
+    its component_id is null and it is kept. Rows that share a doc_id are each
+    judged by their own text. Other columns are ignored.
     """
     store, least = Store(docs), max(1, int(POSITIONS * (percent / 100 - slack)))
     scan, schema = _scan(words, trees * tokens, seed)
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
                                               F.min(drawn).alias("first"), F.max(drawn).alias("last"))
                  .where("low < high").select("node", "size", F.col("first.rep").alias("first"), F.col("last.rep").alias("last")))
         live = store.keep(frontier.join(nodes, "node").join(signed, "rep"))
-        is_small = (F.col("size") <= small) if level <= depth else F.lit(True)
+        is_small = (F.col("size") <= (small if level == 1 else middle)) if level <= depth else F.lit(True)
         few, many = live.where(is_small), live.where(~is_small)
         renamed = [F.col(b).alias(f"{b}_2") for b in BYTES]
         other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)

@@ -149,9 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 20_00
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
     if where is not None:
         seen, ids = seen.where(where), ids.where(where)
-    drawn = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)  # few enough to be broadcast
-    positive = seen.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text").collect()
-    unlabelled = seen.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows).select("text").collect()
+    def texts(chosen: DataFrame) -> list:
+        """Ids first; they are few enough to be broadcast, and only their texts are read out."""
+        return seen.join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(rows).collect()
+
+    positive = texts(ids.join(seen.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    unlabelled = texts(seen.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows))
     if len(positive) < 8 or len(unlabelled) < 8:
         return None
     p, u = _flat([r["text"] for r in positive]), _flat([r["text"] for r in unlabelled])

@@ -77,7 +77,7 @@ def _top(value: np.ndarray, of: np.ndarray, rows: int, empty: float) -> np.ndarr
     return np.where(np.isinf(best), empty, best)
 
 
-def train(texts: list[str], y: np.ndarray, dim: int = 8, epochs: int = 40, rate: float = 0.03, least: int = 4, decay: float = 1e-4, seed: int = 5) -> Model:
+def train(texts: list[str], y: np.ndarray, dim: int = 8, epochs: int = 80, rate: float = 0.05, least: int = 3, decay: float = 1e-4, seed: int = 5) -> Model:
     """Vectors and softmax fitted together by Adam; each text learns through its most toxic passage. ``y``: 0 or 1.
 
     Buckets that fewer than ``least`` texts hold stay at nothing, so that no text is learnt by heart.
