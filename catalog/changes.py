@@ -8,7 +8,7 @@ from catalog.common import OBS, obs, query, rounded, shape, with_
 from hydroseries.operators import changes as ch
 from hydroseries.operators import tables as tb
 
-N = 10
+N = 100
 _LEN = ", ".join(f"({x})" for x in ch.LENGTHS)
 WIN = f"""sp AS (SELECT lake, min(date) AS f, date_diff('day', min(date), max(date)) AS span FROM obs GROUP BY lake),
 win AS (SELECT lake, length, sample, f, (7919 * sample + 104729 * length + 1299709 * lake + 42) % (span - length + 1) AS off FROM sp CROSS JOIN (VALUES {_LEN}) v(length)

@@ -210,10 +210,6 @@ def _smoother(name, method, params=None):
 
 
 _smoother("c12_savgol_sets", "savgol")
-_smoother("c14_hampel", "hampel", [{"window": 7}])
-_smoother("c15_lowess", "lowess")
-_smoother("c16_wavelet", "wavelet")
-_smoother("c17_kalman", "kalman")
 
 _CURVES = "cur AS (SELECT lake, date, c, v FROM (SELECT lake, date, min(swot_wsa) AS a, avg(swot_wsa) AS b, max(swot_wsa) AS c0 FROM obs GROUP BY lake, date) UNPIVOT (v FOR c IN (a, b, c0)))"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -74,15 +73,14 @@ def tie(order: Iterable[str]) -> Column:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; survives the loss of executors.
 
-    The folder comes from ``spark.checkpoint.dir``; a folder of our own is set only
-    where the session names none (tests on one machine).
+    The folder is that of ``spark.checkpoint.dir``; without one this is an error.
     """
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -94,13 +92,3 @@ def spread_groups(df: DataFrame, keys) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *names(keys))
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer files than there are cores.
-
-    Meant for inputs that are multiplied per row afterwards.  A table of many files is
-    left as it is, so nothing is shuffled at scale.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df

@@ -67,10 +67,6 @@ def prepare_adaptive(df: DataFrame, keys, t: str = "date", order=("row_no",)) ->
     return (out.where(known("wse")).withColumn("crid_scenario", th.crid_scenario()).withColumn("ice_condition", th.ice_condition()))
 
 
-def _too_short(stats_n: str, cfg: Config) -> Column:
-    return F.col(stats_n) < cfg.min_span / cfg.max_gap + 1
-
-
 def _series_ok(rows: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
     """Keys whose rows are enough (and gap free and long enough when gaps are not allowed)."""
     from hydroseries.operators.outliers import accept_series

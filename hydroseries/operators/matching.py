@@ -91,7 +91,3 @@ def every_combination(df: DataFrame, combos: list[dict]) -> DataFrame:
     """Each row once per configuration; the list is literal, so no join is needed."""
     literal = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in combos])
     return df.select("*", F.explode(literal).alias("_c")).select(*df.columns, "_c.*")
-
-
-def accepted_rows(df: DataFrame, mask: Column) -> DataFrame:
-    return df.where(holds(mask))

@@ -79,14 +79,6 @@ def combo(model: str, swot_filter: str, temporal: str, wse: float, wse_temporal:
             "wse_filt": float(wse_filt), "wsa_pct": float(wsa)}
 
 
-def combos_from_table(table: DataFrame, limit: int = 1000) -> list[dict]:
-    """The hand-made combination table as literals; it is a configuration of a few dozen rows."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} combinations")
-    return [combo(r["model"], r["swot_filter"], r["temporal"], r["wse"], r["wse_temporal"] or 0.0, r["wse_filt"] or 0.0, r["wsa"]) for r in rows]
-
-
 def weighted_stats(df: DataFrame, keys, values: Sequence[str], weight: str | None, digits: int = 4) -> DataFrame:
     """Weighted (or plain) mean and median of several columns, one row per (key, measure)."""
     keys = names(keys)

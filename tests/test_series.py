@@ -32,37 +32,6 @@ def test_running_median_pads_with_zero():
     assert kn.running_median(np.array([5.0, 6, 7, 8, 9]), 3).tolist() == [5, 6, 7, 8, 8]
 
 
-def test_hampel_sees_earlier_replacements():
-    y = np.sin(np.arange(50) / 8)
-    y[20] += 9
-    out = kn.hampel(y, 7)
-    assert abs(out[20] - np.sin(20 / 8)) < 0.2 and out[:3].tolist() == y[:3].tolist()
-
-
-def test_lowess_keeps_a_line_and_ignores_a_spike():
-    x = np.arange(40.0)
-    y = 2 + 0.5 * x
-    np.testing.assert_allclose(kn.lowess(x, y, x, 0.3, 2), y, atol=1e-9)
-    y2 = y.copy()
-    y2[17] += 30
-    assert abs(kn.lowess(x, y2, x, 0.3, 3)[17] - y[17]) < 0.1
-
-
-@pytest.mark.parametrize("name", ["db4", "sym2", "coif1"])
-@pytest.mark.parametrize("n", [31, 64, 101])
-def test_wavelet_steps_are_inverse(name, n):
-    low = np.array(kn.WAVELETS[name])
-    rec = low[::-1]
-    high = np.where(np.arange(len(low)) % 2 == 0, -1.0, 1.0) * rec
-    y = RNG.normal(size=n)
-    a, d = kn._analyse(y, low, high)
-    np.testing.assert_allclose(kn._synthesise(a, d, rec, high[::-1])[:n], y, atol=1e-8)
-
-
-def test_kalman_follows_a_constant():
-    np.testing.assert_allclose(kn.kalman(np.full(30, 4.0)), 4.0, atol=1e-6)
-
-
 def test_smooth_reduces_repeated_days(spark):
     rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=int(i)), float(v), i) for i, v in enumerate(Y)] * 3
     df = spark.createDataFrame(rows, "k string, date date, v double, o int")
