@@ -15,7 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroseries.llm.blocks import LOWER, MULTIPLIERS, NOT_SPACE, mix, run_hashes, text_blocks, word_runs
@@ -174,9 +174,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         live = store.keep(frontier.join(nodes, "node").join(signed, "rep"))
         is_small = (F.col("size") <= (small if level == 1 else middle)) if level <= depth else F.lit(True)
         few, many = live.where(is_small), live.where(~is_small)
+        # A pair that shares several small nodes is compared in the first of them only.
+        few = few.withColumn("homes", F.collect_set("node").over(Window.partitionBy("rep")))
         renamed = [F.col(b).alias(f"{b}_2") for b in BYTES]
-        other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)
-        close = few.join(other, "node").where((F.col("rep") < F.col("rep_2")) & (F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
+        other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), F.col("homes").alias("homes_2"), *renamed)
+        first_home = F.array_min(F.array_intersect("homes", "homes_2"))
+        close = few.join(other, "node").where((F.col("rep") < F.col("rep_2")) & (F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least) & (F.col("node") == first_home)).select(
             F.col("rep").alias("a"), F.col("rep_2").alias("b"))
         lead = many.where("rep = first OR rep = last").select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)
         stars = many.join(lead, "node").where((F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
