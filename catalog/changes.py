@@ -75,9 +75,10 @@ _BIN = [(0, 5, "a"), (5, 20, "b"), (20, 45, "c"), (45, 1e9, "d")]
 
 
 @query("h6_bin_pivot", shape(with_(OBS, WIN, RNG, _PCT, _STATS) + """
-FINAL SELECT CASE WHEN wse_range_mean <= 0 THEN NULL WHEN wse_range_mean <= 5 THEN 'a' WHEN wse_range_mean <= 20 THEN 'b' WHEN wse_range_mean <= 45 THEN 'c' ELSE 'd' END AS row_bin,
+FINAL SELECT f.row_bin,
  avg(percent_storage_mean) FILTER (WHERE length <= 30) AS "short", avg(percent_storage_mean) FILTER (WHERE length > 30 AND length <= 365) AS "mid", avg(percent_storage_mean) FILTER (WHERE length > 365) AS "long"
-FROM rs WHERE percent_storage_mean < 500 AND wse_range_mean > 0 GROUP BY row_bin""", "row_bin", "", "short mid long"))
+FROM (VALUES ('a', 0.0, 5.0), ('b', 5.0, 20.0), ('c', 20.0, 45.0), ('d', 45.0, 1e300)) AS f(row_bin, low, high)
+LEFT JOIN rs ON percent_storage_mean < 500 AND wse_range_mean > f.low AND wse_range_mean <= f.high GROUP BY f.row_bin""", "row_bin", "", "short mid long"))
 def pivot(spark, d):
     table = ch.range_stats(_ranges(spark, d), "lake")
     return rounded(ch.bin_pivot(table, "wse_range_mean", "length", "percent_storage_mean", ([0, 5, 20, 45, float("inf")], ["a", "b", "c", "d"]),

@@ -123,6 +123,8 @@ TIME_BINS = ([0, 7, 14, 30, 60, 90, 180, 365, 1000], ["7", "14", "30", "60", "90
 
 
 def bin_pivot(df: DataFrame, row: str, column: str, value: str, row_bins=WSE_BINS, col_bins=TIME_BINS, cap: float = 500) -> DataFrame:
-    """Mean of ``value`` per cell of two binned columns, as a table with fixed columns."""
+    """Mean of ``value`` per cell of two binned columns, as a table with fixed rows and columns; cells without values are null."""
     cells = df.where(F.col(value) < cap).select(right_closed(row, *row_bins).alias("row_bin"), right_closed(column, *col_bins).alias("_c"), value)
-    return cells.where(F.col("row_bin").isNotNull()).groupBy("row_bin").pivot("_c", list(col_bins[1])).agg(F.avg(value))
+    table = cells.where(F.col("row_bin").isNotNull()).groupBy("row_bin").pivot("_c", list(col_bins[1])).agg(F.avg(value))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(label) for label in row_bins[1]])).alias("row_bin"))
+    return every.join(table, "row_bin", "left")
