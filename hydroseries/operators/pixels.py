@@ -103,7 +103,7 @@ def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
     rows = grid.select("*", peak(land).alias("_l"), peak(water).alias("_w"), F.max(F.when(b == k, n)).over(one).alias("_at"))
     low = lambda top: top - (top - F.col("_at")) * 0.9
     start = F.greatest(F.col("_l.b") - 1, F.lit(1))
-    end = F.least(F.col("_w.b") + 1, F.lit(198))
+    end = F.col("_w.b") + 1
     near_land = F.when(land & (b >= start) & (b <= k - 2), F.struct(F.abs(n - low(-F.col("_l.m"))).alias("d"), b.alias("b")))
     near_water = F.when(water & (b < end), F.struct(F.abs(n - low(-F.col("_w.m"))).alias("d"), b.alias("b")))
     out = rows.groupBy(*image).agg(F.first("threshold").alias("threshold"), F.first("k").alias("k"), F.first(F.col("_l.b")).alias("_peak"),

@@ -72,3 +72,16 @@ def test_water_levels_on_two_peaks(spark):
     assert (row["land_level"], row["water_level"]) == reference_levels([(r[1] - r[2]) / (r[1] + r[2]) * 1000 for r in rows], row["threshold"])
     area = px.water_area(px.water_fraction(df)).first()
     assert 1900 * 100 < area["water_area_50"] < 2100 * 100 and area["cloud_area"] == -999.0
+
+
+def test_water_peak_next_to_the_upper_edge(spark):
+    """A threshold near 970 leaves one bin for water (980 to 990), whose peak must still give a level."""
+    from hydroseries.operators import pixels as px
+    import pandas as pd
+
+    # (g - i) / (g + i) * 1000 = value for g + i = 2000
+    values = [962] * 60 + [964] * 30 + [972] * 10 + [985] * 100
+    df = spark.createDataFrame(pd.DataFrame({"b3": [1000 + v for v in values], "b8": [1000 - v for v in values]})).selectExpr(
+        "'s' AS lake_id", "DATE'2024-01-01' AS day", "b3", "b8", "true AS clear_mask")
+    row = px.water_levels(df, ["lake_id", "day"]).first()
+    assert row is not None and row.threshold == 970
