@@ -2,7 +2,7 @@
 
 A text is scored by passages of a few words, as a few insults get lost in the mean of a long
 text: the score is that of its most toxic passage. Embeddings and softmax are trained jointly
-in NumPy. Since the softmax is linear in the mean, a trained model folds into one number for
+in NumPy, from a start at the log odds of each n-gram. Since the softmax is linear in the mean, a trained model folds into one number for
 each n-gram bucket, and scoring is a sum over the characters of a batch. A misspelt word that
 was never seen shares most of its n-grams with the word that was.
 """
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.blocks import LOWER, byte_set, mix, run_hashes, text_blocks, word_runs
+from hydroseries.llm.blocks import LOWER, MULTIPLIERS, byte_set, mix, run_hashes, text_blocks, word_runs
 from hydroseries.llm.sample import labelled_sample
 
-#: Hash buckets of the vectors, and lengths of n-grams in bytes of UTF-8, with a mark on either side of a word.
-BUCKETS, GRAMS = 1 << 17, (3, 4, 5)
+#: Hash buckets of the vectors, and lengths of n-grams in characters, with a mark on either side of a word.
+BUCKETS, GRAMS = 1 << 18, (4, 5, 6)
 #: Words of a passage, and passages of at most so many words start at every half of it.
-PASSAGE = 4
+PASSAGE = 2
+#: Every labelled text is scored for the calibration by a model learnt from the other parts.
+FOLDS = 4
 _WORD = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 
@@ -35,7 +37,7 @@ class Model(NamedTuple):
 
 
 def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every word and of its n-grams, and the word each belongs to."""
+    """Buckets of every word and of its n-grams, and the word each belongs to. A character of several bytes is one letter of an n-gram."""
     n = ends - starts
     buckets = [(run_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int32)]
     words = [np.arange(len(starts), dtype=np.int32)]
@@ -44,10 +46,17 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     marked = np.full(int(at[-1]), 1, np.uint8)
     within = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
     marked[within + np.repeat(at[:-1] + 1, n)] = data[within + np.repeat(starts, n)]
-    value, word = np.zeros(len(marked), np.uint64), np.repeat(np.arange(len(starts), dtype=np.int32), size)
+    head = np.flatnonzero((marked & 0xC0) != 0x80)  # first bytes of the characters
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), size)[head]
+    letter = marked[head].astype(np.uint64)
+    width = np.diff(head, append=len(marked))
+    for k in range(1, 4):
+        longer = np.flatnonzero(width > k)
+        letter[longer] = letter[longer] << np.uint64(8) | marked[head[longer] + k]
+    value = np.zeros(len(letter), np.uint64)
     for k in range(max(GRAMS)):
-        value[:len(value) - k] = value[:len(value) - k] * np.uint64(257) + marked[k:]
-        if k + 1 in GRAMS and len(marked) > k:
+        value[:len(value) - k] = value[:len(value) - k] * np.uint64(MULTIPLIERS[0]) + letter[k:]
+        if k + 1 in GRAMS and len(letter) > k:
             whole = np.flatnonzero(word[:len(word) - k] == word[k:])
             buckets.append((mix(value[whole] + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32))
             words.append(word[whole])
@@ -77,7 +86,7 @@ def _top(value: np.ndarray, of: np.ndarray, rows: int, empty: float) -> np.ndarr
     return np.where(np.isinf(best), empty, best)
 
 
-def train(texts: list[str], y: np.ndarray, dim: int = 8, epochs: int = 80, rate: float = 0.05, least: int = 3, decay: float = 1e-4, seed: int = 5) -> Model:
+def train(texts: list[str], y: np.ndarray, dim: int = 8, epochs: int = 20, rate: float = 0.05, least: int = 3, decay: float = 1e-4, seed: int = 5) -> Model:
     """Vectors and softmax fitted together by Adam; each text learns through its most toxic passage. ``y``: 0 or 1.
 
     Buckets that fewer than ``least`` texts hold stay at nothing, so that no text is learnt by heart.
@@ -101,6 +110,10 @@ def train(texts: list[str], y: np.ndarray, dim: int = 8, epochs: int = 80, rate:
     rare = spread[used] < least
     place = np.searchsorted(used, bucket)
     part = vectors[used]
+    # A start that knows which n-grams stand in toxic texts more often, as a passage found by chance would teach nothing.
+    toxic = np.bincount(bucket, np.bincount(pairs % len(unique), y[pairs // len(unique)], len(unique))[owner], BUCKETS)[used]
+    odds = np.log((toxic + 1) / (y.sum() + 1)) - np.log((spread[used] - toxic + 1) / ((1 - y).sum() + 1))
+    part += odds[:, None].astype(np.float32) * (softmax[:, 1] - softmax[:, 0]) / ((softmax[:, 1] - softmax[:, 0]) ** 2).sum()
     part[rare] = 0
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (part, softmax, bias)]
     has = np.bincount(of, minlength=len(texts)) > 0
@@ -159,9 +172,8 @@ def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return _top((running[end] - running[begin]) / (end - begin) + model.bias, of, rows, min(model.bias, 0.0) - 2.0)
 
 
-def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
-    """Scale and shift of the logit by Platt's method on texts that training has not seen."""
-    x = logits(model, *_flat(texts))
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
+    """Scale and shift of the logit by Platt's method on logits ``x`` of texts whose model has not seen them."""
     middle, width = float(np.median(x)), float(x.std()) or 1.0
     x, a, b = np.clip((x - middle) / width, -5, 5), 1.0, 0.0
     want = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -175,20 +187,27 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
     return model._replace(scale=max(float(a), 1e-3), shift=float(b))
 
 
+def cross_fit(texts: list[str], y: np.ndarray) -> Model:
+    """A model from all texts, calibrated by logits that each part of them gets from a model of the other parts."""
+    part, x = np.arange(len(texts)) % FOLDS, np.zeros(len(texts))
+    for k in range(FOLDS):
+        rest = train([t for t, p in zip(texts, part, strict=True) if p != k], y[part != k])
+        x[part == k] = logits(rest, *_flat([t for t, p in zip(texts, part, strict=True) if p == k]))
+    # Passages of unseen texts look less sure than those of texts that were learnt.
+    return calibrate(train(texts, y), x, y)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 20_000, where: Column | None = None) -> Model:
-    """A model from at most ``rows`` texts of each label, of at most ``chars`` characters; every fourth is kept back to calibrate.
+    """A model from at most ``rows`` texts of each label, of at most ``chars`` characters; all of them are learnt from.
 
     ``labels`` has doc_id and toxic; rows where ``where`` is not true are never looked at. Without
-    texts of both labels the model knows nothing and scores every text 0.
+    two texts of either label the model knows nothing and scores every text 0.
     """
     drawn = labelled_sample(docs, labels, "toxic", rows, chars, where)
     texts, y = [r["text"] for r in drawn], np.array([r["y"] for r in drawn], np.float64)
-    back = np.arange(len(texts)) % 4 == 3
-    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, -50.0)
-    model = train([t for t, b in zip(texts, back, strict=True) if not b], y[~back])
-    # Passages of unseen texts look less sure than those of texts that were learnt.
-    return calibrate(model, [t for t, b in zip(texts, back, strict=True) if b], y[back])
+    return cross_fit(texts, y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -165,6 +165,14 @@ def test_classifiers_on_held_out_rows(spark):
     assert good > 0.97 and bad > 0.95
 
 
+def test_toxic_words_of_every_language_are_found(spark):
+    docs, labels = (spark.read.parquet(f"{oracle.DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    found = lambda y, *langs: np.mean([r.predicted for r in rows if r.toxic == y and (not langs or r.lang in langs)])
+    assert found(1) > 0.75 and found(0) < 0.03
+    assert found(1, "en") > 0.75 and found(1, "de") > 0.6 and found(1, "fr") > 0.6 and found(1, "es") > 0.3  # 82, 20, 30 and 12 texts
+
+
 def test_classifiers_on_odd_rows(spark):
     docs, none = table(spark, TEXTS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (toxicity.toxicity(docs, none), quality.quality(docs, none)):
