@@ -137,6 +137,23 @@ def test_secrets(spark):
     assert ((p >= net.threshold) == np.array([f[1] for f in fresh], bool)).mean() > 0.85
 
 
+def test_secrets_that_overlap_or_lack_digits(spark):
+    key = "qWeRtYuIoPaSdFgHjKlZxCvB"
+    cases = [("see https://bob:correct-horse@host/x", "bob:correct-horse"), ("key sk_live_0123456789abcdef01234567-more end", "sk_live_0123456789abcdef01234567-more"),
+             ("at db://user-0123456789abcdef0123:password@host", "user-0123456789abcdef0123:password"), (f"the {key} is", key),
+             ("at db://a-very-long-user-name-of-a-service:pass@host", "a-very-long-user-name-of-a-service:pass"), (f"see ftp://me:{'aB3' * 40}@host", "me:" + "aB3" * 40),
+             ("----------------BEGIN RSA PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----")]
+    for text, secret in cases:
+        assert (text.index(secret), text.index(secret) + len(secret)) in secrets.candidates(text, secrets.base_spans(text)), text
+    docs = table(spark, TEXTS + [text for text, _ in cases])
+    net = secrets.fit(docs)
+    clean = by_id(secrets.redacted(docs, net))
+    for i, (text, secret) in enumerate(cases):
+        assert secret.split(":")[-1] not in clean[len(TEXTS) + i].text and secrets.base_spans(text) == [s for s in secrets.scan_text(text, net) if s[2] < 3], text
+    odd = "ghp_" + "aB3d" * 9 + " https://bob:correct-horse-battery-staple@host some-plain-words-with-dashes"
+    assert [odd[a:b] for a, b in secrets.harmless(odd, secrets.candidates(odd, []), [])] == ["some-plain-words-with-dashes"]
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies, many, many, many cookies.</div>
     <article><h1>Head&amp;line</h1><p>First  paragraph, long enough,\n to count as <b>text, really it is.<br>Next line of it, and more, and more.<p>Second &eacute; one, which is long, too, as it goes on.</p>
