@@ -9,6 +9,7 @@ of the same priority and listed earlier, is suppressed. Only SQL functions are u
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from typing import NamedTuple
 
@@ -21,14 +22,14 @@ from hydroseries.llm.words import GAP, WORD, count_words
 ANY_WORD = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 _BEFORE, _AFTER = r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 #: One of these stands in every text that a name, a statement or a link can match; identifiers also match by themselves.
-ROOTS = ("licen", "rights", "copyright", "public domain", "creative", "permission", "redistribution", "proprietary", "warranty", "©")
+#: ("public domain" besides, with any gap.)
+ROOTS = ("licen", "rights", "copyright", "creative", "permission", "redistribution", "proprietary", "warranty", "©")
 _RULE = "keyword:string,pattern:string,label:string,priority:int,order:int,weight:double"
-_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 class Rule(NamedTuple):
     label: str
-    keyword: str  # lower case; the rule runs only on texts that hold it
+    keyword: str  # one word, lower case; the rule runs only on texts that hold it
     pattern: str
     priority: int  # 3 base phrase, 2 statement of a grant, 1 name or title, 0 identifier
     weight: float  # how far a detection alone supports the label
@@ -39,6 +40,22 @@ def phrase(text: str) -> str:
     return _BEFORE + GAP.join(text.split()) + _AFTER
 
 
+def wrapped(pattern: str) -> str:
+    """The pattern with a gap of any characters between words (line ends, comment signs) for each of its blanks."""
+    loose = f"(?:{GAP})"
+    return re.sub(" [?]?", lambda m: loose + "?" if m[0] == " ?" else loose, pattern)
+
+
+def _name(pattern: str) -> str:
+    """A name, in which a dot is a gap too."""
+    return wrapped(pattern.replace(".?", " ?").replace(".", " "))
+
+
+def _word(keyword: str) -> str:
+    """The longest word of a keyword that says more than that this is a license."""
+    return max((w for w in keyword.split() if w not in ("licen", "license")), key=len, default=keyword)
+
+
 #: Phrases that every scan reports, with their labels; fixed values.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -121,29 +138,32 @@ STATEMENTS = (
 def build_rules() -> list[Rule]:
     """Several hundred rules, in the order in which equal priorities are preferred."""
     rules = [Rule(label, max(text.split(), key=len) if label != "reserved" else "rights", phrase(text), 3, 1.0) for text, label in BASE]
-    grant = r"(?:licen[cs]ed|released|distributed|published|available|covered|made available) under (?:the )?(?:terms of )?(?:the )?"
-    version = r"(?:,? ?(?:version|v\.?)? ?{0})"
+    grant = wrapped(r"(?:licen[cs]ed|released|distributed|published|available|covered|made available) under (?:the )?(?:terms of )?(?:the )?")
+    gap = f"(?:{GAP})"
+    # A number on the next line counts only with its word or its point, as it may number a clause.
+    version = lambda v: rf"(?:{gap}?(?:version|v\.?){gap}?{re_version(v)}|,? ?{re_version(v)}|{gap}{re.escape(v)})"
+
 
     def add(label: str, keyword: str, name: str, weight: float) -> None:
-        rules.append(Rule(label, keyword, grant + name, 2, min(1.0, weight + 0.1)))
-        rules.append(Rule(label, keyword, r"(?<![A-Za-z0-9])" + name + r"(?![A-Za-z0-9])", 1, weight))
+        rules.append(Rule(label, _word(keyword), grant + name, 2, min(1.0, weight + 0.1)))
+        rules.append(Rule(label, _word(keyword), r"(?<![A-Za-z0-9])" + name + r"(?![A-Za-z0-9])", 1, weight))
 
     for label, keyword, names, ident, versions in FAMILIES:
         for v in versions:
             for name in names:
-                add(f"{label}-{v}", keyword, name + version.format(re_version(v)), 0.9)
+                add(f"{label}-{v}", keyword, _name(name) + version(v), 0.9)
             rules.append(Rule(f"{label}-{v}", "spdx", rf"spdx-license-identifier:\s*{ident}-{re_version(v)}(?:-only|-or-later|\+)?", 2, 1.0))
             rules.append(Rule(f"{label}-{v}", ident, rf"(?<![A-Za-z0-9-]){ident}[ -]v?{re_version(v)}(?![.\d]*\d)", 0, 0.7))
         for name in names:
-            add(label, keyword, name, 0.75)
+            add(label, keyword, _name(name), 0.75)
         rules.append(Rule(label, "spdx", rf"spdx-license-identifier:\s*{ident}(?![A-Za-z0-9.-])", 2, 1.0))
     for part, spoken in CC_PARTS:
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             rules.append(Rule(f"cc-{part}-{v}", "cc", rf"(?<![A-Za-z0-9])cc[ -]{part.replace('-', '[ -]')}[ -]{re_version(v)}(?![.\d]*\d)", 1, 0.95))
-        add(f"cc-{part}", "creative commons", rf"creative commons {spoken}(?: licen[cs]e)?", 0.9)
+        add(f"cc-{part}", "creative commons", _name(rf"creative commons {spoken}(?: licen[cs]e)?"), 0.9)
         rules.append(Rule(f"cc-{part}", "creativecommons", rf"creativecommons\.org/licenses/{part}(?![a-z-])[^\s\"'<>]*", 1, 0.9))
         rules.append(Rule(f"cc-{part}", "cc", rf"(?<![A-Za-z0-9])cc[ -]{part.replace('-', '[ -]')}(?![A-Za-z0-9-])", 0, 0.7))
-    rules += [Rule(*x) for x in ((label, keyword, pattern, priority, weight) for label, keyword, pattern, priority, weight in STATEMENTS)]
+    rules += [Rule(label, _word(keyword), wrapped(pattern), priority, weight) for label, keyword, pattern, priority, weight in STATEMENTS]
     return rules
 
 
@@ -153,30 +173,28 @@ def re_version(v: str) -> str:
 
 def _starts(text: Column, pattern: Column, label: Column, priority: Column, order: Column, weight: Column) -> Column:
     """Detections of one rule: structs of start and end (characters from 0) and the rule's own values."""
-    parts = F.split(F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), f"{_OPEN}|{_CLOSE}")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    # Every second part is a match; its start is the length of all that stands before it.
-    lengths = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n")))
+    # What stands between the matches, each with the match after it; a match starts at the length of all that stands before it.
+    lengths = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n")))
     walk = F.aggregate(lengths, zero, lambda acc, p: F.struct(
-        (acc["at"] + p["n"]).alias("at"),
-        F.when(p["i"] % 2 == 1, F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + p["n"]).alias("end"))))).otherwise(acc["spans"]).alias("spans")))
+        (acc["at"] + p["gap"] + F.coalesce(p["n"], F.lit(0))).alias("at"),
+        F.when(p["n"].isNotNull(), F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"))))).otherwise(acc["spans"]).alias("spans")))
     return F.transform(walk["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), priority.alias("priority"), order.alias("order"),
                                                          label.alias("label"), weight.alias("weight")))
 
 
 def gate(low: Column, keywords: list[str]) -> Column:
-    """May any rule match? ``low`` holds the root of some keyword; short keywords count only as a word before a number, "cc" as a word."""
-    idents = "|".join(sorted(k for k in keywords if k != "cc" and not any(root in k for root in ROOTS)))
+    """May any rule match? ``low`` holds a root; the ``keywords`` of identifiers count only as a word before a number, "cc" as a word."""
+    idents = "|".join(sorted(k for k in set(keywords) if k != "cc" and not any(root in k for root in ROOTS)))
     numbered = low.rlike(r"[a-z0-9][ -]v?\d") & low.rlike(rf"(?<![a-z0-9-])(?:{idents})[ -]v?\d")
     as_word = F.contains(low, F.lit("cc")) & low.rlike(rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])cc(?:{GAP}|0)")
-    return reduce(lambda a, b: a | b, [*(F.contains(low, F.lit(root)) for root in ROOTS), as_word, numbered])
+    return reduce(lambda a, b: a | b, [*(F.contains(low, F.lit(root)) for root in ROOTS), F.contains(low, F.lit("public")) & low.rlike(f"public{GAP}domain"), as_word, numbered])
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with a column ``detections``: what is left after suppression, as structs of start, end (characters), priority, order, label, weight.
 
     Sorted by start. A null or empty text has none; every row of ``docs`` stays as it is.
-    Characters U+E000 and U+E001 are read as blanks.
     """
     rules = build_rules() if rules is None else rules
     by_keyword: dict[str, list[dict]] = {}
@@ -184,8 +202,8 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
         by_keyword.setdefault(r.keyword, []).append(r._asdict() | {"pattern": "(?i)" + r.pattern, "order": i})
     table = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": v} for k, v in by_keyword.items()])), f"array<struct<keyword:string,rules:array<struct<{_RULE}>>>>")
     read = docs.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    read = read.withColumn("_low", F.when(gate(F.col("_low"), list(by_keyword)), F.col("_low")))
-    read = read.withColumn("_plain", F.when(F.col("_low").isNotNull(), F.translate(text, _OPEN + _CLOSE, "  ")))
+    read = read.withColumn("_low", F.when(gate(F.col("_low"), [r.keyword for r in rules if r.priority == 0]), F.col("_low")))
+    read = read.withColumn("_plain", F.when(F.col("_low").isNotNull(), F.col(text)))
     due = F.flatten(F.transform(F.filter(table, lambda k: F.contains(F.col("_low"), k["keyword"])), lambda k: k["rules"]))
     read = read.withColumn("_runs", F.when(F.col("_low").isNotNull(), due))
     found = F.flatten(F.transform("_runs", lambda r: _starts(F.col("_plain"), r["pattern"], r["label"], r["priority"], r["order"], r["weight"])))

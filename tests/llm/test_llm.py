@@ -47,6 +47,21 @@ def test_license_scan(spark):
     assert licenses.license_report(table(spark, [])).count() == 0
 
 
+def test_wrapped_license_headers(spark):
+    texts = ["// Redistribution and use in source and binary\n// forms, with or without modification, are", "# Permission to use, copy, modify, and/or\n# distribute this software for any purpose",
+             " * under the terms of the GNU General\n * Public License as published by the Free\n * Software Foundation; either version 2", " * Licensed under the Apache\n * License, Version\n * 2.0",
+             "This is in the public\n# domain.", "/* Creative\n * Commons Attribution-\n * ShareAlike */", "Permission is\n hereby\n granted, free of charge, to any person\n obtaining a copy",
+             "The 3-clause\n# BSD\n# License", "MIT\nLicense\n\n2. More", "x\ue000cc by", "x\ue001 cc by \ue000 cc by", "cc by cc by"]
+    want = ["bsd", "isc", "gpl", "apache-2.0", "public-domain", "cc-by-sa", "mit", "bsd-3-clause", "mit", None, "cc-by", "cc-by"]
+    got = by_id(licenses.license_report(table(spark, texts)))
+    for i, label in enumerate(want):
+        assert label is None or label in got[i].labels.split(","), texts[i]
+        w = words(texts[i])
+        hits = [k for p, _ in licenses.BASE for k in range(len(w)) if w[k:k + len(p.split())] == p.split()]
+        assert (got[i].n_base, got[i].first_word, got[i].last_word) == (len(hits), min(hits, default=None), max(hits, default=None)), texts[i]
+    assert not any(" " in rule.keyword for rule in licenses.build_rules())
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "THE quick, brown fox jumps over the lazy dog and"), (2, "a b"), (3, ""), (4, None), (5, "gamma delta"), (10, "a b")], "item_id long, text string")
     want_items = {r.item_id: words(r.text) for r in items.collect()}
