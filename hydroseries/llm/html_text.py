@@ -2,8 +2,9 @@
 
 Paragraphs pass points for their length and commas to their ancestors, fully to the parent and
 half to the one above; a container loses the share of its text that stands in links. The best
-container is kept, with siblings that score near it. Inside it, what names itself as a menu,
-header, footer, sidebar, notice, advert, form or comment is left out.
+container is kept with the whole article or main element around it, or else with all that
+stands beside it. Inside, what names itself as a menu, header, footer, sidebar, notice, advert,
+form or comment is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
                     r"<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = r"(?<![\w-])(?:%s)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+#: What an element is; an id may be no more than the anchor of a heading, so it says something only on plain containers outside the article.
+_KIND, _ID = (re.compile(_NAMES % x, re.I) for x in ("class|role", "class|role|id"))
 #: Elements without an end tag; elements that never hold main text; elements that start a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP = frozenset("nav header footer aside form button select option dialog menu head object canvas video audio map".split())
@@ -29,17 +32,22 @@ CLOSES = {"p": frozenset("p"), **{x: frozenset(["p"]) for x in "div article sect
           "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]),
           "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 STOPS = frozenset("table ul ol dl article section main body html div td th blockquote".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|comment\w*|disqus|respond|reply|replies|discussion|"
                        r"sidebar|side-bar|nav|navbar|navigation|menu|breadcrumb\w*|footer|foot|header|masthead|toolbar|related|recommend\w*|share|sharing|social|subscribe|newsletter|"
                        r"signup|login|pagination|pager|widget|search|skip|contentinfo|complementary|alert|tags|byline-ad)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "points", "length", "linked", "holds")
+    __slots__ = ("tag", "parent", "children", "drop", "points", "length", "linked", "holds", "whole")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.children: list[Node | str] = []
+        # The outermost article around or, without one, the outermost main element.
+        self.whole: Node | None = parent.whole if parent is not None else None
+        if tag == "article" and (self.whole is None or self.whole.tag == "main") or tag == "main" and self.whole is None:
+            self.whole = self
         self.points, self.length, self.linked, self.holds = 0.0, 0, 0, False
 
 
@@ -69,8 +77,9 @@ def parse(page: str) -> Node:
                     here = up.parent
                 up = up.parent
         attrs = m["attrs"]
-        drop = here.drop or tag in DROP or bool(attrs and (names := _ATTR.findall(attrs)) and tag not in ("body", "html", "article", "main")
-                                                and any(_UNLIKELY.search("".join(n)) for n in names))
+        named = _ID if here.whole is None and tag != "section" else _KIND
+        drop = here.drop or tag in DROP or bool(attrs and tag not in ("body", "html", "article", "main") and tag not in PROSE
+                                                and any(_UNLIKELY.search("".join(n)) for n in named.findall(attrs)))
         node = Node(tag, here, drop)
         here.children.append(node)
         if tag not in VOID and attrs[-1:] != "/":
@@ -148,16 +157,11 @@ def extract(page: str) -> str:
     found = score(root)
     if found:
         best = max(found, key=lambda n: n.points)
-        keep = [best]
-        if best.parent is not None:
-            limit = max(10.0, best.points * 0.2)
-            keep = [c for c in best.parent.children if isinstance(c, Node) and not c.drop and (
-                c is best or c.points >= limit or c.tag == "p" and c.length >= 80 and c.linked < 0.25 * c.length)]
+        keep = best.whole or best.parent or best
     else:
-        keep = [root]
+        keep = root
     out: list[list[str]] = []
-    for node in keep:
-        _blocks(node, out)
+    _blocks(keep, out)
     blocks = (" ".join(html.unescape("".join(b)).split()) for b in out)
     return " ".join(b for b in blocks if b)
 

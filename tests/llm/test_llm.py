@@ -183,6 +183,15 @@ def test_html(spark):
         assert html_text.extract(r.html) == " ".join(filter(None, blocks))
 
 
+def test_html_keeps_all_of_a_nested_article():
+    body = "".join(f"<p>Paragraph {k} of it, long enough, to count, as text, {'and more, ' * 12}end.</p>" for k in range(4))
+    inner = f"<h1>T</h1><p>Lead.</p><div>{body}</div><h2 id=search>Two</h2><ul><li>One</li></ul><section id=related-work><p class=alert>Short.</p></section><p>End note.</p>"
+    want = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    menu = "<nav>Home</nav><div class=sidebar>Side</div>"
+    for page in (f"<article>{inner}</article>", f"<main>{menu}<div>{inner}</div></main>", f"<main>Other<article>{inner}{menu}</article></main>", f"<body>{menu}<div>{inner}<div id=comments>Nice</div></div><div>Far</div></body>"):
+        assert html_text.extract(page) == want, page
+
+
 def held_out(spark, df, label):
     rows = df.where("held_out").join(spark.read.parquet(f"{oracle.DATA}/sf0.1/labels.parquet"), "doc_id").collect()
     y, p = np.array([r[label] for r in rows]), np.array([r["predicted"] for r in rows])
