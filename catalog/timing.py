@@ -236,6 +236,17 @@ def common(spark, d):
     return rounded(rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lake").alias("n_lakes")))
 
 
+@query("d14_common_keys_all_dates", shape(with_(EV) + """
+FINAL SELECT kind, count(*) AS n, count(DISTINCT lake) AS n_lakes FROM ev WHERE lake IN (SELECT lake FROM ev GROUP BY lake
+ HAVING count(DISTINCT kind) = 5 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY kind""", "kind", "n n_lakes"))
+def common_all_dates(spark, d):
+    e = ev(spark, d)
+    also = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("lake"))
+    keys = mt.common_keys(e, "lake", "kind", 5, also)
+    rows = e.join(keys.select("lake").distinct(), "lake", "left_semi")
+    return rounded(rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lake").alias("n_lakes")))
+
+
 @query("d15_merge", shape(with_(OBS) + """
 FINAL SELECT a.flag, a.status, a.n, b.mean_u FROM (SELECT flag, status, count(*) AS n FROM obs GROUP BY flag, status) a
 LEFT JOIN (SELECT flag, avg(swot_wse_u) AS mean_u FROM obs WHERE flag <> 'A' GROUP BY flag) b ON a.flag = b.flag""", "flag status", "n", "mean_u"))

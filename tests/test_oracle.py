@@ -25,6 +25,12 @@ def test_matches_oracle(spark, con, name):
     assert ok, text
 
 
+def test_common_keys_over_all_dates(spark, con):
+    ok, text = oracle.compare(spark, con, "d14_common_keys_all_dates", SF)
+    assert ok, text
+    assert len(oracle.entry.queries()["d14_common_keys_all_dates"](spark, f"{oracle.DATA}/{SF}").collect()) == 5
+
+
 def test_contract():
     q, o = oracle.entry.queries(), oracle.entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 140
