@@ -54,15 +54,15 @@ def word_runs(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> t
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs: a polynomial of the bytes, mixed with the length."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier: int = MULTIPLIERS[0]) -> np.ndarray:
+    """64-bit hashes of byte runs: a polynomial of the bytes, mixed with the length; one hash function for each odd ``multiplier``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     length = ends - starts
     at = np.zeros(len(length), np.int64)
     np.cumsum(length[:-1], out=at[1:])
     within = np.arange(int(length.sum())) - np.repeat(at, length)
-    power = np.full(int(length.max()), MULTIPLIERS[0], np.uint64)
+    power = np.full(int(length.max()), multiplier, np.uint64)
     power[0] = 1
     np.cumprod(power, out=power)
     value = (data[within + np.repeat(starts, length)].astype(np.uint64) + np.uint64(1)) * power[within]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroseries.llm import decontaminate, fill_middle, html_text, licenses, near_dups, neighbours, pieces, prefix_trie, quality, secrets, token_files, toxicity
+from hydroseries.llm import decontaminate, fill_middle, html_text, licenses, near_dups, neighbours, pieces, prefix_trie, quality, repeats, secrets, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents"), size=13)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
 
@@ -71,11 +75,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan, op2_benchmark_decontamination, op3_toxicity, op4_sentencepiece, op5_secret_scan, op6_html_extraction,
-    op7_minhash_near_dedup, op8_quality_classifier, op9_nearest_neighbours, op10_token_counts, op12_fill_in_middle, op13_conversation_trie, pipeline,
+    op7_minhash_near_dedup, op8_quality_classifier, op9_nearest_neighbours, op10_token_counts, op11_substring_dedup, op12_fill_in_middle, op13_conversation_trie, pipeline,
 )}
 
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.PLAIN_SQL,
+    "op11_substring_dedup": repeats.PLAIN_SQL,
     "op12_fill_in_middle": fill_middle.PLAIN_SQL,
     "op13_conversation_trie": prefix_trie.PLAIN_SQL,
     "op7_minhash_near_dedup": near_dups.plain_sql(3, 85),
