@@ -6,8 +6,8 @@ half of the alphabet. Names and halves are hashes of what they stand for, the sa
 and task, so a round needs no table of names; what a name hides is never trusted but compared
 again at the end. Equal substrings get equal symbols except near their ends: a symbol is safe
 inside a window of words if all words that its parsing looked at lie in the window. The safe
-symbol of the highest level (of several, that of most words, then the smallest name) is the anchor of a window: it depends
-on the window's words alone, so windows that are equal have equal anchors. Every word is a safe
+symbol of the highest level (of several, the one with the smallest name) is the anchor of a window, with
+all words that its parsing looked at: it depends on the window's words alone, so windows that are equal have equal anchors. Every word is a safe
 symbol of level 0, so every window has an anchor.
 
 Spark then settles the names in two rounds over all texts:
@@ -35,22 +35,22 @@ from hydroseries.llm.blocks import MULTIPLIERS, NOT_SPACE, mix, run_hashes, text
 from hydroseries.llm.store import Store
 
 #: Rounds over pairs, and after how many of them runs are replaced again. A run looks at both of its
-#: neighbours, so every round of runs makes safe symbols rarer; a fourth level is hardly ever safe
-#: inside 13 words.
-ROUNDS, RUN_EVERY = 3, 3
+#: neighbours, so every round of runs makes safe symbols rarer. Inside 13 words, symbols of a third
+#: level are safe too seldom to make anchors rarer.
+ROUNDS, RUN_EVERY = 2, 3
 
 NO_WORDS = hashlib.sha256(b"").hexdigest()
 
 
-def levels(names: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Symbols of every level from 0 on: names, numbers of words they stand for, and the words from ``first`` to before ``stop`` that their parsing looked at.
+def levels(names: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols of every level from 0 on: names, and the words from ``first`` to before ``stop`` that their parsing looked at.
 
     ``rows`` says of which text a word is. Symbols whose parsing looked at the end of a text are
     left out of the result.
     """
     first = np.arange(len(names))
-    stop, inside, width = first + 1, np.ones(len(names), bool), np.ones(len(names), np.int64)
-    out = [(names, width, first, stop)]
+    stop, inside = first + 1, np.ones(len(names), bool)
+    out = [(names, first, stop)]
     for r in range(1, rounds + 1):
         if not len(names):
             break
@@ -63,7 +63,7 @@ def levels(names: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> list[tu
             left, right = np.maximum(head - 1, 0), np.minimum(tail, len(names) - 1)
             own = rows[head]
             inside = inside[head] & inside[left] & inside[right] & (head > 0) & (tail < len(names)) & (rows[left] == own) & (rows[right] == own)
-            first, stop, width = first[left], stop[right], np.add.reduceat(width, head)
+            first, stop = first[left], stop[right]
             names = np.where(size > 1, mix(names[head] ^ (size * np.uint64(MULTIPLIERS[0]) + salt)), names[head])
             rows = own
         # Pairs of a left and a right symbol; a symbol that stays alone looks at the neighbour it could have joined.
@@ -76,35 +76,44 @@ def levels(names: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> list[tu
         linked = np.where(is_right[keep], np.append(False, same)[keep], np.append(same, False)[keep])
         inside = inside[keep] & linked & np.where(is_right[keep], inside[before], inside[after])
         first, stop = np.where(is_right[keep], first[before], first[keep]), np.where(is_right[keep], stop[keep], stop[after])
-        width = width[keep] + np.where(pair[keep], width[after], 0)
         names = np.where(pair[keep], mix(names[keep] * np.uint64(MULTIPLIERS[0]) + mix(names[after] ^ salt)), names[keep])
         rows = rows[keep]
-        out.append((names[inside], width[inside], first[inside], stop[inside]))
+        out.append((names[inside], first[inside], stop[inside]))
     return out
 
 
 def anchors(names: np.ndarray, rows: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows of ``size`` words of one text, and their anchors."""
+    """Starts of all windows of ``size`` words of one text, and their anchors: a hash of all words that the parsing of the chosen symbol looked at."""
     starts = np.arange(max(len(names) - size + 1, 0))
     starts = starts[rows[starts] == rows[starts + size - 1]]
     found = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return starts, found
+    # Sums of powers, so that any range of words has its hash at once; the multiplier is odd and so has an inverse.
+    power = np.full(len(names), MULTIPLIERS[0], np.uint64)
+    back = np.full(len(names) + 1, pow(MULTIPLIERS[0], -1, 1 << 64), np.uint64)
+    power[0] = back[0] = 1
+    total = np.append(np.uint64(0), np.cumsum(mix(names) * np.cumprod(power)))
+    back = np.cumprod(back)
     left = np.arange(len(starts))
-    for name, width, first, stop in reversed(levels(names, rows, rounds)):
+    for name, first, stop in reversed(levels(names, rows, rounds)):
         fits = stop - first <= size
-        # The four highest bits are smaller the wider a symbol is.
-        name = (name >> np.uint64(4)) | (np.uint64(15) - np.minimum(width, 15).astype(np.uint64) << np.uint64(60))
         name, first, stop = name[fits], first[fits], stop[fits]
         at = starts[left]
         low, high = np.searchsorted(first, at, "left"), np.searchsorted(stop, at + size, "right")
         has = low < high
         low, high, here = low[has], high[has], left[has]
-        best, k = name[low], 1
-        open_ = np.flatnonzero(low + k < high)
-        while len(open_):
-            best[open_] = np.minimum(best[open_], name[low[open_] + k])
+        best, pick, k = name[low], low.copy(), 1
+        more = np.flatnonzero(low + k < high)
+        while len(more):
+            other = name[low[more] + k]
+            less = other < best[more]
+            best[more[less]] = other[less]
+            pick[more[less]] += k - (pick[more[less]] - low[more[less]])
             k += 1
-            open_ = open_[low[open_] + k < high[open_]]
-        found[here] = best
+            more = more[low[more] + k < high[more]]
+        a, b = first[pick], stop[pick]
+        found[here] = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
         left = left[~has]
         if not len(left):
             break
@@ -230,20 +239,19 @@ def _found(docs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFram
     """All rows (doc_id, n_words, words_sha256); the smallest document of texts with equal words, where it has copies; the texts that lose some words."""
     if size < 2:
         raise ValueError("a window has two words at least")
-    store = Store(docs)
-    read = store.keep(read_texts(docs, size, rounds))
+    read = Store(docs).keep(read_texts(docs, size, rounds))
     texts = read.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).groupBy("words_sha256").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.first("anchors").alias("anchors"))
-    texts = store.keep(texts)
     each = texts.select(F.col("first_id").alias("doc"), F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("anchor").alias("common"))
     own = each.join(shared, F.col("anchor") == F.col("common")).groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
-    near = store.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared"))
-    windows = store.keep(_windows(near, size, rounds))
+    # Both joins of the texts are by doc_id, so that one shuffle of them serves all of what follows.
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    windows = _windows(whole.join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared"), size, rounds)
     lowest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
     late = windows.join(lowest, (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")) & (F.col("doc_id") > F.col("low")))
     seen = late.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("a", "b")).alias("seen"))
-    cut = _cut(near.join(seen, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "seen"), size)
+    cut = _cut(whole.join(seen, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "seen"), size)
     return read.drop("anchors"), texts.where("first_id < last_id").select(F.col("words_sha256").alias("copied"), "first_id"), cut.where("n_removed > 0")
 
 
