@@ -12,11 +12,11 @@ symbol of level 0, so every window has an anchor.
 
 Spark then settles the names in two rounds over all texts:
 
-1. anchors: which of them stand in more than one document (a sum over all texts, no pairs);
-2. windows with such an anchor, as 128-bit hashes of their words: the smallest document of each.
+1. anchors: which of them stand in more than one text (a sum over all texts, no pairs);
+2. windows with such an anchor, as 96-bit hashes of their words: the smallest document of each.
 
-Texts with equal words are one text in both rounds, and every copy but the first loses all words
-at once. A text is shuffled once, to meet its shared anchors; texts without any are not looked at
+Texts with equal words are one text in round 2, and every copy but the first loses all words at
+once. A text is shuffled once, to meet its shared anchors; texts without any are not looked at
 again. A common anchor or window is summed before it is shuffled and split by the skew join after.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -31,17 +32,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.blocks import MULTIPLIERS, NOT_SPACE, mix, run_hashes, text_blocks, word_runs
+from hydroseries.llm.blocks import MULTIPLIERS, NOT_SPACE, mix, text_blocks, word_runs
 from hydroseries.llm.store import Store
 
 #: Rounds over pairs, and after how many of them runs are replaced again. A run looks at both of its
 #: neighbours, so every round of runs makes safe symbols rarer. Inside 13 words, symbols of a third
 #: level are safe too seldom to make anchors rarer.
 ROUNDS, RUN_EVERY = 2, 3
+#: Bits of an anchor that are kept. Two anchors that meet in them only leave a window to the next round.
+ANCHOR = np.uint64((1 << 48) - 1)
 
 NO_WORDS = hashlib.sha256(b"").hexdigest()
 
 
+@lru_cache(maxsize=4)
+def _powers(multiplier: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** ``bits`` powers of an odd number and of its inverse, modulo 2 ** 64."""
+    both = []
+    for m in (multiplier, pow(multiplier, -1, 1 << 64)):
+        power = np.full(1 << bits, m, np.uint64)
+        power[0] = 1
+        both.append(np.cumprod(power))
+    return both[0], both[1]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier: int = MULTIPLIERS[0]) -> np.ndarray:
+    """64-bit hashes of byte runs: one running sum over the block, of which each word takes its part."""
+    power, back = _powers(multiplier, max(21, int(len(data)).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[:len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(MULTIPLIERS[1]))
+
+
 def levels(names: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Symbols of every level from 0 on: names, and the words from ``first`` to before ``stop`` that their parsing looked at.
 
@@ -90,11 +112,8 @@ def anchors(names: np.ndarray, rows: np.ndarray, size: int, rounds: int = ROUNDS
     if not len(starts):
         return starts, found
     # Sums of powers, so that any range of words has its hash at once; the multiplier is odd and so has an inverse.
-    power = np.full(len(names), MULTIPLIERS[0], np.uint64)
-    back = np.full(len(names) + 1, pow(MULTIPLIERS[0], -1, 1 << 64), np.uint64)
-    power[0] = back[0] = 1
-    total = np.append(np.uint64(0), np.cumsum(mix(names) * np.cumprod(power)))
-    back = np.cumprod(back)
+    power, back = _powers(MULTIPLIERS[0], max(21, int(len(names)).bit_length()))
+    total = np.append(np.uint64(0), np.cumsum(mix(names) * power[:len(names)]))
     left = np.arange(len(starts))
     for name, first, stop in reversed(levels(names, rows, rounds)):
         fits = stop - first <= size
@@ -113,7 +132,7 @@ def anchors(names: np.ndarray, rows: np.ndarray, size: int, rounds: int = ROUNDS
             k += 1
             more = more[low[more] + k < high[more]]
         a, b = first[pick], stop[pick]
-        found[here] = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+        found[here] = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)) & ANCHOR
         left = left[~has]
         if not len(left):
             break
@@ -134,14 +153,10 @@ def window_hashes(names: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
     return out
 
 
-def _read(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return word_runs(data, offsets, NOT_SPACE)
-
-
 def _double(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int, names: np.ndarray) -> np.ndarray:
-    """Two independent 64-bit hashes of the words of each window, one row for each."""
-    other = run_hashes(data, starts, ends, MULTIPLIERS[2])
-    return np.stack([window_hashes(names, at, size), window_hashes(other, at, size)], 1)
+    """Two independent hashes of the words of each window, of 64 and 32 bits, one row for each."""
+    other = word_hashes(data, starts, ends, MULTIPLIERS[2])
+    return np.stack([window_hashes(names, at, size), window_hashes(other, at, size) >> np.uint64(32)], 1)
 
 
 def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -155,8 +170,8 @@ def read_texts(docs: DataFrame, size: int, rounds: int = ROUNDS) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
-            starts, ends, rows = _read(data, offsets)
-            names = run_hashes(data, starts, ends)
+            starts, ends, rows = word_runs(data, offsets, NOT_SPACE)
+            names = word_hashes(data, starts, ends)
             at, found = anchors(names, rows, size, rounds)
             of = rows[at] if len(at) else at
             turn = np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
@@ -174,12 +189,12 @@ def read_texts(docs: DataFrame, size: int, rounds: int = ROUNDS) -> DataFrame:
 
 def _windows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
     """(doc_id, a, b): distinct windows of each text (doc_id, text, shared) whose anchor is one of ``shared``."""
-    kind = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    kind = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
-            starts, ends, rows = _read(data, offsets)
-            names = run_hashes(data, starts, ends)
+            starts, ends, rows = word_runs(data, offsets, NOT_SPACE)
+            names = word_hashes(data, starts, ends)
             at, found = anchors(names, rows, size, rounds)
             if not len(at):
                 continue
@@ -192,10 +207,10 @@ def _windows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
             order = np.lexsort((both[:, 1], both[:, 0], ids))
             ids, both = ids[order], both[order]
             one = np.append(True, (ids[1:] != ids[:-1]) | (both[1:] != both[:-1]).any(1)) if len(ids) else np.zeros(0, bool)
-            ids, both = ids[one], both[one].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], schema=kind)
+            ids, both = ids[one], both[one]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].astype(np.uint32).view(np.int32))], schema=kind)
 
-    return texts.mapInArrow(run, "doc_id long, a long, b long")
+    return texts.mapInArrow(run, "doc_id long, a long, b int")
 
 
 def _in_row(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -209,14 +224,14 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
-            starts, ends, rows = _read(data, offsets)
-            names = run_hashes(data, starts, ends)
+            starts, ends, rows = word_runs(data, offsets, NOT_SPACE)
+            names = word_hashes(data, starts, ends)
             first = np.arange(max(len(names) - size + 1, 0))
             at = first[rows[first] == rows[first + size - 1]]
             both = _double(data, starts, ends, at, size, names)
             seen, counts = batch.column(2), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             pairs = seen.flatten()
-            known = np.stack([pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1)], 1)
+            known = np.stack([pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1)], 1) & np.array([(1 << 64) - 1, (1 << 32) - 1], np.uint64)
             two = np.dtype([("row", np.int64), ("a", np.uint64), ("b", np.uint64)])
             have, want = np.zeros(len(at), two), np.zeros(len(known), two)
             have["row"], have["a"], have["b"] = rows[at], both[:, 0], both[:, 1]
@@ -240,15 +255,16 @@ def _found(docs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFram
     if size < 2:
         raise ValueError("a window has two words at least")
     read = Store(docs).keep(read_texts(docs, size, rounds))
-    texts = read.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).groupBy("words_sha256").agg(
-        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.first("anchors").alias("anchors"))
-    each = texts.select(F.col("first_id").alias("doc"), F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("anchor").alias("common"))
+    long = read.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
+    texts = long.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    each = long.select(F.col("doc_id").alias("doc"), F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("common"))
     own = each.join(shared, F.col("anchor") == F.col("common")).groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
+    own = own.join(texts.select("first_id").distinct(), F.col("doc") == F.col("first_id"), "left_semi")
     # Both joins of the texts are by doc_id, so that one shuffle of them serves all of what follows.
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     windows = _windows(whole.join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared"), size, rounds)
-    lowest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
+    lowest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
     late = windows.join(lowest, (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")) & (F.col("doc_id") > F.col("low")))
     seen = late.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("a", "b")).alias("seen"))
     cut = _cut(whole.join(seen, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "seen"), size)
