@@ -10,17 +10,14 @@ symbol of the highest level (of several, the one with the smallest name) is the
 all words that its parsing looked at: it depends on the window's words alone, so windows that are equal have equal anchors. Every word is a safe
 symbol of level 0, so every window has an anchor.
 
-Spark then settles the names in three rounds over all texts, each a sum without any pairs:
+Spark then settles the names in two rounds over all texts:
 
-1. anchors: which of them stand more than once;
-2. blocks, runs of windows with such an anchor: a block that is also in a smaller document is
-   covered as a whole, so its windows need not be looked at;
-3. the other windows: the smallest document of each.
+1. anchors: which of them stand in more than one text (a sum over all texts, no pairs);
+2. windows with such an anchor, as 96-bit hashes of their words: the smallest document of each.
 
-Blocks and windows go by 96-bit hashes of all their words. Texts with equal words are one text
-from round 2 on, and every copy but the first loses all words at once. Texts without shared
-anchors are not looked at again. A common anchor, block or window is summed before it is shuffled
-and split by the skew join after.
+Texts with equal words are one text in round 2, and every copy but the first loses all words at
+once. A text is shuffled once, to meet its shared anchors; texts without any are not looked at
+again. A common anchor or window is summed before it is shuffled and split by the skew join after.
 """
 
 from __future__ import annotations
@@ -42,8 +39,6 @@ from hydroseries.llm.store import Store
 #: neighbours, so every round of runs makes safe symbols rarer. Inside 13 words, symbols of a third
 #: level are safe too seldom to make anchors rarer.
 ROUNDS, RUN_EVERY = 2, 3
-#: A block of windows ends where an anchor is a multiple of this.
-BLOCK = 4
 #: Bits of an anchor that are kept. Two anchors that meet in them only leave a window to the next round.
 ANCHOR = np.uint64((1 << 48) - 1)
 
@@ -164,94 +159,61 @@ def _double(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
     return np.stack([window_hashes(names, at, size), window_hashes(other, at, size) >> np.uint64(32)], 1)
 
 
-def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """Values by row (rows in order) as one list for each of ``n`` rows."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values.view(np.int64)))
+def read_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, words_sha256): the words joined by one space as a digest."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in text_blocks(batches):
+            raw = data.tobytes()
+            words = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], schema=kind)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, words_sha256 string")
 
-def read_texts(docs: DataFrame, size: int, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_words, words_sha256, anchors): the words joined by one space as a digest, and the distinct anchors of all windows."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string()), ("anchors", pa.list_(pa.int64()))])
+
+def text_anchors(docs: DataFrame, size: int, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, anchor): the distinct anchors of all windows of each text with a doc_id."""
+    kind = pa.schema([("doc", pa.int64()), ("anchor", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
             starts, ends, rows = word_runs(data, offsets, NOT_SPACE)
-            names = word_hashes(data, starts, ends)
-            at, found = anchors(names, rows, size, rounds)
-            of = rows[at] if len(at) else at
-            turn = np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
+            at, found = anchors(word_hashes(data, starts, ends), rows, size, rounds)
+            if not len(at):
+                continue
+            of = rows[at]
+            turn = np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1]))
             of, found = of[turn], found[turn]
             order = np.lexsort((found, of))
             of, found = of[order], found[order]
-            first = np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
-            raw = data.tobytes()
-            digest = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(rows, minlength=n), pa.int64()), pa.array(digest), _lists(of[first], found[first], n)], schema=kind)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, words_sha256 string, anchors array<long>")
-
-
-def _candidates(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, ...]:
-    """Of texts (doc_id, text, shared, ...): starts of all windows whose anchor is one of ``shared``, their rows, anchors and hashes, and where each row's words begin."""
-    starts, ends, rows = word_runs(data, offsets, NOT_SPACE)
-    names = word_hashes(data, starts, ends)
-    at, found = anchors(names, rows, size, rounds)
-    shared = batch.column(2)
-    counts = shared.value_lengths().to_numpy(zero_copy_only=False)
-    mine = _in_row(np.repeat(np.arange(len(counts)), counts), shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    wanted = np.isin(_in_row(rows[at], found), mine)
-    at, found = at[wanted], found[wanted]
-    return at, rows[at], found, _double(data, starts, ends, at, size, names), np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            first = np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1]))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of[first]], pa.int64()), pa.array(found[first].view(np.int64))], schema=kind)
 
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, anchor long")
 
-def _blocks(texts: DataFrame, size: int, rounds: int) -> DataFrame:
-    """(doc_id, mark, start, n, a, b): runs of candidate windows, cut where a new anchor is a multiple of ``BLOCK``.
 
-    Equal passages are cut at equal places. ``mark`` tells apart texts of one doc_id.
-    """
-    kind = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int32())])
+def _windows(texts: DataFrame, size: int, rounds: int, later: bool = False) -> DataFrame:
+    """(doc_id, a, b): distinct windows of each text (doc_id, text, shared) whose anchor is one of ``shared``; with ``later``, one that also stands in a smaller document."""
+    kind = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
-            at, rows, found, both, heads = _candidates(batch, data, offsets, size, rounds)
+            starts, ends, rows = word_runs(data, offsets, NOT_SPACE)
+            names = word_hashes(data, starts, ends)
+            at, found = anchors(names, rows, size, rounds)
             if not len(at):
                 continue
-            new = (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1]) | ((found[1:] != found[:-1]) & (found[1:] % np.uint64(BLOCK) == 0))
-            first = np.flatnonzero(np.append(True, new))
-            n = np.diff(np.append(first, len(at)))
-            turn = (np.arange(len(at)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(MULTIPLIERS[0])
-            a, b = (np.add.reduceat(mix(both[:, k] + turn), first) for k in (0, 1))
-            of = rows[first]
-            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False)[of] for k in (0, 3))
-            columns = (ids, marks, at[first] - heads[of], n, a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, kind, strict=True)], schema=kind)
-
-    return texts.mapInArrow(run, "doc_id long, mark long, start int, n int, a long, b int")
-
-
-def _in_ranges(batch: pa.RecordBatch, column: int, heads: np.ndarray) -> np.ndarray:
-    """Flags of the words of all rows: True where a window of a known range (mark, start, n) of the row's own text starts."""
-    ranges, marks = batch.column(column), batch.column(3).to_numpy(zero_copy_only=False)
-    counts = np.nan_to_num(ranges.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    flat = ranges.flatten()
-    mark, start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
-    rows = np.repeat(np.arange(len(counts)), counts)
-    own = marks[rows] == mark
-    first = heads[rows[own]] + start[own]
-    size = heads[-1] + 1
-    return np.cumsum(np.bincount(first, minlength=size)[:size] - np.bincount(first + n[own], minlength=size)[:size])[:heads[-1]] > 0
-
-
-def _windows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
-    """(doc_id, a, b): distinct candidate windows of each text (doc_id, text, shared, mark, ranges) outside its known ranges."""
-    kind = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int32())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
-            at, rows, _, both, heads = _candidates(batch, data, offsets, size, rounds)
-            left = ~_in_ranges(batch, 4, heads)[at]
-            ids, both = batch.column(0).to_numpy(zero_copy_only=False)[rows[left]], both[left]
+            shared = batch.column(2)
+            counts = shared.value_lengths().to_numpy(zero_copy_only=False)
+            own, of = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(counts)), counts)
+            if later:
+                own, of = own[own > ANCHOR], of[own > ANCHOR]
+            mine = _in_row(of, own & ANCHOR)
+            at = at[np.isin(_in_row(rows[at], found), mine)]
+            both = _double(data, starts, ends, at, size, names)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows[at]]
             order = np.lexsort((both[:, 1], both[:, 0], ids))
             ids, both = ids[order], both[order]
             one = np.append(True, (ids[1:] != ids[:-1]) | (both[1:] != both[:-1]).any(1)) if len(ids) else np.zeros(0, bool)
@@ -267,7 +229,7 @@ def _in_row(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _cut(texts: DataFrame, size: int) -> DataFrame:
-    """Texts (doc_id, text, seen, mark, ranges: windows that start in a smaller document, by their hashes and as ranges) without their covered words: doc_id, words_sha256, n_removed, kept_sha256, kept."""
+    """Texts (doc_id, text, seen: windows that start in a smaller document) without their covered words: doc_id, words_sha256, n_removed, kept_sha256, kept."""
     kind = pa.schema([("doc_id", pa.int64()), ("words_sha256", pa.string()), ("n_removed", pa.int64()), ("kept", pa.large_string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,17 +239,17 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
             first = np.arange(max(len(names) - size + 1, 0))
             at = first[rows[first] == rows[first + size - 1]]
             both = _double(data, starts, ends, at, size, names)
-            seen, counts = batch.column(2), np.nan_to_num(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            heads = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            seen, counts = batch.column(2), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             pairs = seen.flatten()
             known = np.stack([pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1)], 1) & np.array([(1 << 64) - 1, (1 << 32) - 1], np.uint64)
             two = np.dtype([("row", np.int64), ("a", np.uint64), ("b", np.uint64)])
             have, want = np.zeros(len(at), two), np.zeros(len(known), two)
             have["row"], have["a"], have["b"] = rows[at], both[:, 0], both[:, 1]
             want["row"], want["a"], want["b"] = np.repeat(np.arange(len(counts)), counts), known[:, 0], known[:, 1]
-            place = at[np.isin(have, want) | _in_ranges(batch, 4, heads)[at]]
+            place = at[np.isin(have, want)]
             edge = np.bincount(place, minlength=len(names) + 1) - np.bincount(place + size, minlength=len(names) + 1)
             stays = np.cumsum(edge)[:len(names)] == 0
+            heads = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             raw, out = data.tobytes(), []
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 words, mask = raw[a:b].split(), stays[heads[k]:heads[k + 1]].tolist()
@@ -302,27 +264,23 @@ def _found(docs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFram
     """All rows (doc_id, n_words, words_sha256); the smallest document of texts with equal words, where it has copies; the texts that lose some words."""
     if size < 2:
         raise ValueError("a window has two words at least")
-    read = Store(docs).keep(read_texts(docs, size, rounds))
+    read = Store(docs).keep(read_texts(docs))
     long = read.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     texts = long.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    each = long.select(F.col("doc_id").alias("doc"), F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("common"))
-    own = each.join(shared, F.col("anchor") == F.col("common")).groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
+    each = text_anchors(docs, size, rounds)
+    shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low")).where("n > 1").select(F.col("anchor").alias("common"), "low")
+    # A bit above the anchor says that a smaller document has it too: only then can a window be covered.
+    marked = F.col("anchor") + F.when(F.col("doc") > F.col("low"), F.lit(int(ANCHOR) + 1)).otherwise(F.lit(0))
+    own = each.join(shared, F.col("anchor") == F.col("common")).groupBy("doc").agg(F.collect_set(marked).alias("shared"))
     own = own.join(texts.select("first_id").distinct(), F.col("doc") == F.col("first_id"), "left_semi")
-    # All joins of the texts are by doc_id, so that one shuffle of them serves all of what follows.
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    near = whole.join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared", "mark")
-
-    def late(found: DataFrame) -> DataFrame:
-        low = found.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_low")).where("n_low > 1").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
-        return found.join(low, (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")) & (F.col("doc_id") > F.col("low")))
-
-    ranges = late(_blocks(near, size, rounds)).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("mark", "start", "n")).alias("ranges"))
-    rest = near.join(ranges, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "shared", "mark", "ranges")
-    seen = late(_windows(rest, size, rounds)).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("a", "b")).alias("seen"))
-    known = seen.join(ranges.withColumnRenamed("doc", "doc2"), F.col("doc") == F.col("doc2"), "full_outer").select(F.coalesce("doc", "doc2").alias("doc"), "seen", "ranges")
-    cut = _cut(whole.join(known, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "seen", "mark", "ranges"), size)
-    return read.drop("anchors"), texts.where("first_id < last_id").select(F.col("words_sha256").alias("copied"), "first_id"), cut.where("n_removed > 0")
+    # Both joins of the texts are by doc_id, so that one shuffle of them serves all of what follows.
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = whole.join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared")
+    lowest = _windows(near, size, rounds).groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
+    late = _windows(near, size, rounds, later=True).join(lowest, (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")) & (F.col("doc_id") > F.col("low")))
+    seen = late.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("a", "b")).alias("seen"))
+    cut = _cut(whole.join(seen, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "seen"), size)
+    return read, texts.where("first_id < last_id").select(F.col("words_sha256").alias("copied"), "first_id"), cut.where("n_removed > 0")
 
 
 def removed_words(docs: DataFrame, size: int = 13, rounds: int = ROUNDS) -> DataFrame:
