@@ -160,16 +160,16 @@ def _double(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
 
 
 def read_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, words_sha256): the words joined by one space as a digest."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string())])
+    """(doc_id, n_words, words_sha): the words joined by one space as a digest."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("words_sha", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
             raw = data.tobytes()
             words = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, words_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, words_sha binary")
 
 
 def text_anchors(docs: DataFrame, size: int, rounds: int = ROUNDS) -> DataFrame:
@@ -229,8 +229,8 @@ def _in_row(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _cut(texts: DataFrame, size: int) -> DataFrame:
-    """Texts (doc_id, text, seen: windows that start in a smaller document) without their covered words: doc_id, words_sha256, n_removed, kept_sha256, kept."""
-    kind = pa.schema([("doc_id", pa.int64()), ("words_sha256", pa.string()), ("n_removed", pa.int64()), ("kept", pa.large_string())])
+    """Texts (doc_id, text, a, b: hashes of windows that start in a smaller document) without their covered words: doc_id, words_sha, n_removed, kept_sha, kept."""
+    kind = pa.schema([("doc_id", pa.int64()), ("words_sha", pa.binary()), ("n_removed", pa.int64()), ("kept_sha", pa.binary()), ("kept", pa.large_string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
@@ -239,13 +239,12 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
             first = np.arange(max(len(names) - size + 1, 0))
             at = first[rows[first] == rows[first + size - 1]]
             both = _double(data, starts, ends, at, size, names)
-            seen, counts = batch.column(2), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            pairs = seen.flatten()
-            known = np.stack([pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1)], 1) & np.array([(1 << 64) - 1, (1 << 32) - 1], np.uint64)
+            counts = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            known = [batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3)]
             two = np.dtype([("row", np.int64), ("a", np.uint64), ("b", np.uint64)])
-            have, want = np.zeros(len(at), two), np.zeros(len(known), two)
+            have, want = np.zeros(len(at), two), np.zeros(len(known[0]), two)
             have["row"], have["a"], have["b"] = rows[at], both[:, 0], both[:, 1]
-            want["row"], want["a"], want["b"] = np.repeat(np.arange(len(counts)), counts), known[:, 0], known[:, 1]
+            want["row"], want["a"], want["b"] = np.repeat(np.arange(len(counts)), counts), known[0].astype(np.int64).view(np.uint64), known[1].astype(np.int32).view(np.uint32)
             place = at[np.isin(have, want)]
             edge = np.bincount(place, minlength=len(names) + 1) - np.bincount(place + size, minlength=len(names) + 1)
             stays = np.cumsum(edge)[:len(names)] == 0
@@ -253,20 +252,21 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
             raw, out = data.tobytes(), []
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 words, mask = raw[a:b].split(), stays[heads[k]:heads[k + 1]].tolist()
-                out.append((hashlib.sha256(b" ".join(words)).hexdigest(), len(mask) - sum(mask), b" ".join(compress(words, mask))))
-            digest, removed, kept = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()).cast(pa.large_string())], schema=kind)
+                kept = b" ".join(compress(words, mask))
+                out.append((hashlib.sha256(b" ".join(words)).digest(), len(mask) - sum(mask), hashlib.sha256(kept).digest(), kept))
+            digest, removed, kept_sha, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(removed, pa.int64()), pa.array(kept_sha, pa.binary()), pa.array(kept, pa.binary()).cast(pa.string()).cast(pa.large_string())], schema=kind)
 
-    return texts.mapInArrow(run, "doc_id long, words_sha256 string, n_removed long, kept string")
+    return texts.mapInArrow(run, "doc_id long, words_sha binary, n_removed long, kept_sha binary, kept string")
 
 
 def _found(docs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (doc_id, n_words, words_sha256); the smallest document of texts with equal words, where it has copies; the texts that lose some words."""
+    """All rows (doc_id, n_words, words_sha); the smallest document of texts with equal words, where it has copies; the texts that lose some words."""
     if size < 2:
         raise ValueError("a window has two words at least")
     read = Store(docs).keep(read_texts(docs))
     long = read.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
-    texts = long.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    texts = long.groupBy("words_sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     each = text_anchors(docs, size, rounds)
     shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low")).where("n > 1").select(F.col("anchor").alias("common"), "low")
     # A bit above the anchor says that a smaller document has it too: only then can a window be covered.
@@ -278,9 +278,9 @@ def _found(docs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFram
     near = whole.join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared")
     lowest = _windows(near, size, rounds).groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
     late = _windows(near, size, rounds, later=True).join(lowest, (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")) & (F.col("doc_id") > F.col("low")))
-    seen = late.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("a", "b")).alias("seen"))
-    cut = _cut(whole.join(seen, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "seen"), size)
-    return read, texts.where("first_id < last_id").select(F.col("words_sha256").alias("copied"), "first_id"), cut.where("n_removed > 0")
+    seen = late.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    cut = _cut(whole.join(seen, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "a", "b"), size)
+    return read, texts.where("first_id < last_id").select(F.col("words_sha").alias("copied"), "first_id"), cut.where("n_removed > 0")
 
 
 def removed_words(docs: DataFrame, size: int = 13, rounds: int = ROUNDS) -> DataFrame:
@@ -292,13 +292,13 @@ def removed_words(docs: DataFrame, size: int = 13, rounds: int = ROUNDS) -> Data
     doc_id is neither smaller nor larger than another, so it stays whole and removes nothing.
     """
     read, copied, cut = _found(docs, size, rounds)
-    cut = cut.groupBy(F.col("doc_id").alias("cut_id"), F.col("words_sha256").alias("cut_sha")).agg(F.max("n_removed").alias("n_cut"), F.max("kept").alias("kept"))
-    rows = (read.join(copied, F.col("words_sha256") == F.col("copied"), "left")
-            .join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("words_sha256") == F.col("cut_sha")), "left"))
+    cut = cut.groupBy(F.col("doc_id").alias("cut_id"), F.col("words_sha").alias("cut_sha")).agg(F.max("n_removed").alias("n_cut"), F.max("kept").alias("kept"), F.max("kept_sha").alias("kept_sha"))
+    rows = (read.join(copied, F.col("words_sha") == F.col("copied"), "left")
+            .join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("words_sha") == F.col("cut_sha")), "left"))
     whole = F.coalesce((F.col("doc_id") > F.col("first_id")) & F.col("copied").isNotNull(), F.lit(False))
     kept = F.when(whole, F.lit("")).otherwise(F.col("kept"))
     return rows.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"), kept.alias("kept"),
-                       F.when(kept.isNull(), F.col("words_sha256")).otherwise(F.sha2(kept, 256)).alias("kept_sha256"))
+                       F.when(whole, F.lit(NO_WORDS)).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "words_sha")))).alias("kept_sha256"))
 
 
 def digests(docs: DataFrame, size: int = 13) -> DataFrame:
