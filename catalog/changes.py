@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import OBS, obs, query, rounded, shape, with_
+from catalog.common import EV, OBS, ev, obs, query, rounded, shape, with_
 from hydroseries.operators import changes as ch
 from hydroseries.operators import tables as tb
 
@@ -40,6 +40,21 @@ def ranges(spark, d):
     return rounded(_ranges(spark, d))
 
 
+_KINDS = "value, value * 2 AS height, CASE WHEN sensor THEN value * 2 END AS sl, CASE WHEN sensor THEN value END AS ss"
+
+
+@query("h2_all_windows", shape(with_(EV, f"wv AS (SELECT lake, date, {_KINDS} FROM ev)", "sp AS (SELECT lake, min(date) AS f, date_diff('day', min(date), max(date)) AS span FROM wv GROUP BY lake)",
+    'st AS (SELECT lake, f, length, unnest(range(0, span - length + 1)) AS "offset" FROM sp, (VALUES (3), (7), (14), (21)) l(length) WHERE span > length)',
+    """jn AS (SELECT st.lake, length, "offset", max(value) - min(value) AS a, count(value) AS na, max(height) - min(height) AS b, count(height) AS nb, count(ss) AS n_seen, max(sl) - min(sl) AS c, max(ss) - min(ss) AS d
+ FROM st JOIN wv ON wv.lake = st.lake AND date_diff('day', f, date) BETWEEN "offset" AND "offset" + length - 1 GROUP BY ALL)""") + """
+FINAL SELECT lake, length, "offset" AS sample, "offset", CASE WHEN na >= 2 THEN a ELSE 0 END AS storage_range, CASE WHEN nb >= 2 THEN b ELSE 0 END AS wse_range, n_seen,
+ CASE WHEN n_seen >= 2 THEN c ELSE 0 END AS seen_wse_range, CASE WHEN n_seen >= 2 THEN d ELSE 0 END AS seen_storage_range FROM jn""", "lake", 'length sample "offset" n_seen',
+    "storage_range wse_range seen_wse_range seen_storage_range"))
+def all_ranges(spark, d):
+    rows = ev(spark, d).selectExpr("lake", "date", *_KINDS.split(", "))
+    return rounded(ch.all_window_ranges(rows, "lake", "date", "value", "height", "sl", "ss", (3, 7, 14, 21)))
+
+
 _PCT = """wp AS (SELECT *, CASE WHEN storage_range > 0 THEN seen_storage_range / storage_range * 100 ELSE 0 END AS percent_storage, CASE WHEN wse_range > 0 THEN seen_wse_range / wse_range * 100 ELSE 0 END AS percent_wse,
  CASE WHEN n_seen >= 2 AND storage_range > 0 THEN seen_storage_range / storage_range * 100 END AS percent_storage_v2 FROM wr)"""
 _FIVE = ("storage_range", "wse_range", "n_seen", "seen_wse_range", "seen_storage_range")

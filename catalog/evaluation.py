@@ -161,12 +161,43 @@ def ranks(spark, d):
     return rounded(sg.signed_ranks(vobs(spark, d), "lake", "flag", _PAIRS, ["area", "height"]).drop("tie_term"))
 
 
-@query("k2_wilcoxon")
+# Probabilities in SQL: the normal tail by Simpson's rule, the exact one by counting rank sums number by number.
+_TAIL = ("CASE WHEN z > 8 THEN 0 ELSE 2 / sqrt(pi()) * 8 / 4000 / 3 * list_sum(list_transform(range(4001), "
+         "lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z + i * 8.0 / 4000, 2)))) END")
+_DIST = """dist AS (SELECT 0 AS n, 0 AS s, CAST(1 AS DOUBLE) AS w UNION ALL
+ (SELECT n + 1, s, sum(w) FROM (SELECT n, s, w FROM dist UNION ALL SELECT n, s + n + 1, w FROM dist) WHERE n < 50 GROUP BY n, s))"""
+
+
+def _tests(source: str, by: str, bound: float) -> list[str]:
+    return [f"rk AS (SELECT *, va - vb AS d, rank() OVER (PARTITION BY {by} ORDER BY abs(va - vb)) + (count(*) OVER (PARTITION BY {by}, abs(va - vb)) - 1) / 2 AS r FROM {source} WHERE va <> vb)",
+            f"tt AS (SELECT {by}, CAST(sum(k * k * k - k) AS DOUBLE) AS tie_term FROM (SELECT {by}, abs(d), count(*) AS k FROM rk GROUP BY ALL) GROUP BY ALL)",
+            f"sr AS (SELECT {by}, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus, count(*) AS n_used FROM rk GROUP BY ALL)",
+            f"bs AS (SELECT {by}, count(*) AS n_pairs, count(*) FILTER (WHERE va = vb) AS n_zero, median(va) AS median_a, median(vb) AS median_b FROM {source} GROUP BY ALL)",
+            f"al AS (SELECT *, least(w_plus, w_minus) AS w, CAST(n_used AS DOUBLE) AS m FROM bs JOIN sr USING ({by}) JOIN tt USING ({by}))",
+            "zs AS (SELECT *, abs(w - m * (m + 1) / 4) / sqrt(2 * nullif(m * (m + 1) * (2 * m + 1) / 24 - tie_term / 48, 0)) AS z FROM al)",
+            f"""pv AS (SELECT *, CASE WHEN n_used <= 50 AND tie_term = 0 AND n_zero = 0
+ THEN least(1, 2 * (SELECT sum(dist.w) FROM dist WHERE dist.n = zs.n_used AND dist.s <= zs.w) / power(2, m)) ELSE {_TAIL} END AS p_value, {bound!r} AS bonferroni_bound FROM zs)""",
+            """done AS (SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance,
+ p_value < bonferroni_bound AS passes_bonferroni FROM pv)"""]
+
+
+_TESTED = "n_pairs n_zero n_used", "median_a median_b w_plus w_minus tie_term w p_value bonferroni_bound"
+
+
+@query("k2_wilcoxon", shape("WITH RECURSIVE " + ",\n".join([VOBS, *RANKS[:3], _DIST, *_tests("df", "metric, group_a, group_b", 0.05 / 6)]) + "\nFINAL SELECT * FROM done",
+                            "metric group_a group_b significance passes_bonferroni", *_TESTED))
 def wilcoxon(spark, d):
     return rounded(sg.wilcoxon(vobs(spark, d), "lake", "flag", None, ["area", "height"], ["A", "N", "R"]))
 
 
-@query("k3_filter_and_time_effect")
+_EFFECTS = "ef AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, '{a}' AS group_a, '{b}' AS group_b, x.{other} AS subset, x.{m} AS va, y.{m} AS vb FROM pk x JOIN pk y ON x.lake = y.lake AND x.{other} = y.{other} "
+    f"WHERE x.model = 'swot' AND y.model = 'swot' AND x.{kind} = '{a}' AND y.{kind} = '{b}' AND x.{m} IS NOT NULL AND y.{m} IS NOT NULL"
+    for m in ("mae", "rmse") for kind, other, a, b in (("filter_type", "temporal_type", "opt", "filt"), ("temporal_type", "filter_type", "dis", "con"))) + ")"
+
+
+@query("k3_filter_and_time_effect", shape("WITH RECURSIVE " + ",\n".join([VOBS, PAIRS, PK, _EFFECTS, _DIST, *_tests("ef", "metric, group_a, group_b, subset", 0.05 / 2)]) + "\nFINAL SELECT * FROM done",
+                                          "metric group_a group_b subset significance passes_bonferroni", *_TESTED))
 def effects(spark, d):
     per_key = _per_key(spark, d)
     return rounded(sg.filter_effect(per_key, "lake", ["mae", "rmse"]).unionByName(sg.time_effect(per_key, "lake", ["mae", "rmse"])))

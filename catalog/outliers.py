@@ -179,37 +179,56 @@ _LINE = """line AS (SELECT lake, date, row_number() OVER (PARTITION BY lake ORDE
  q AS (PARTITION BY lake ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"""
 
 
-@query("c12_savgol", shape(with_(EV, TRUTH, _GRID, _LINE) + """
-FINAL SELECT lake, date AS day, (-3 * lag(y, 2) OVER w + 12 * lag(y) OVER w + 17 * y + 12 * lead(y) OVER w - 3 * lead(y, 2) OVER w) / 35 AS smoothed
-FROM line WINDOW w AS (PARTITION BY lake ORDER BY date) QUALIFY k > 2 AND k <= m - 2 AND m > 5""", "lake day", "", "smoothed"))
+_ENDS = "([31, 9, -3, -5, 3], [9, 13, 12, 6, -5], [-3, 12, 17, 12, -3], [-5, 6, 12, 13, 9], [3, -5, -3, 9, 31])"
+_NEAR = "near AS (SELECT *, greatest(least(k - 2, m - 4), 1) AS s, list(y) OVER (PARTITION BY lake ORDER BY date ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS ys FROM line)"
+
+
+# Five days, a parabola: the known fractions for each place in the window. Three days lie on a parabola, two or four have no curve.
+@query("c12_savgol", shape(with_(EV, TRUTH, _GRID, _LINE, _NEAR) + f"""
+FINAL SELECT lake, date AS day, CASE WHEN m = 3 THEN y WHEN m >= 5 THEN list_dot_product(CAST(ys[least(k, 5) - (k - s):least(k, 5) - (k - s) + 4] AS DOUBLE[]),
+ CAST({_ENDS.replace("(", "[").replace(")", "]")}[k - s + 1] AS DOUBLE[])) / 35 END AS smoothed FROM near""", "lake day", "", "smoothed"))
 def savgol(spark, d):
     t = truth_daily(ev(spark, d))
-    span = t.groupBy("lake").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    grid = span.select("lake", F.explode(F.sequence("a", "b")).alias("date"))
-    rows = sm.smooth(t, "lake", "date", "truth", "savgol", [{"window": 5, "order": 2}], at=grid)
-    inner = rows.join(span, "lake").where("datediff(b, a) >= 5 AND day >= date_add(a, 2) AND day <= date_sub(b, 2)")
-    return rounded(inner.select("lake", "day", "smoothed"))
+    grid = t.groupBy("lake").agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    return rounded(sm.smooth(t, "lake", "date", "truth", "savgol", [{"window": 5, "order": 2}], at=grid).select("lake", "day", "smoothed"))
 
 
 @query("c13_running_median", shape(with_(EV, TRUTH, _GRID, _LINE) + """
-FINAL SELECT lake, day, smoothed FROM (SELECT lake, date AS day, m, list_sort([coalesce(lag(y) OVER w, 0), y, coalesce(lead(y) OVER w, 0)])[2] AS smoothed
-FROM line WINDOW w AS (PARTITION BY lake ORDER BY date)) WHERE m > 3""", "lake day", "", "smoothed"))
+FINAL SELECT lake, date AS day, CASE WHEN m = 1 THEN y ELSE list_sort([coalesce(lag(y) OVER w, 0), y, coalesce(lead(y) OVER w, 0)])[2] END AS smoothed
+FROM line WINDOW w AS (PARTITION BY lake ORDER BY date)""", "lake day", "", "smoothed"))
 def running_median(spark, d):
     t = truth_daily(ev(spark, d))
-    span = t.groupBy("lake").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    grid = span.where("datediff(b, a) >= 3").select("lake", F.explode(F.sequence("a", "b")).alias("date"))
-    rows = sm.smooth(t.join(grid.select("lake").distinct(), "lake", "left_semi"), "lake", "date", "truth", "median", [{"window": 3}], at=grid)
-    return rounded(rows.select("lake", "day", "smoothed"))
+    grid = t.groupBy("lake").agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    return rounded(sm.smooth(t, "lake", "date", "truth", "median", [{"window": 3}], at=grid).select("lake", "day", "smoothed"))
 
 
-def _smoother(name, method, params=None):
-    @query(name)
-    def run(spark, d):
-        rows = sm.smooth(truth_daily(ev(spark, d)), "lake", "date", "truth", method, params)
-        return rounded(rows)
+def _gram(order: str, half: str, i: str, t: str) -> str:
+    """Weight of place ``i`` for a polynomial fit read at place ``t`` (places from the centre), by Gram polynomials."""
+    def p(x: str) -> list[str]:
+        p1 = f"({x} / {half})"
+        p2 = f"((3 * {x} * {p1} - ({half} + 1)) / (2 * {half} - 1))"
+        p3 = f"((5 * {x} * {p2} - (2 * {half} + 3) * {p1}) / (3 * ({half} - 1)))"
+        return ["1", p1, p2, p3]
+    w = f"(2 * {half})"
+    scale = [f"1 / ({w} + 1)", f"3 * {w} / (({w} + 2) * ({w} + 1))", f"5 * {w} * ({w} - 1) / (({w} + 3) * ({w} + 2) * ({w} + 1))",
+             f"7 * {w} * ({w} - 1) * ({w} - 2) / (({w} + 4) * ({w} + 3) * ({w} + 2) * ({w} + 1))"]
+    terms = [f"{c} * {a} * {b}" for c, a, b in zip(scale, p(i), p(t), strict=True)]
+    return " + ".join(terms[:3]) + f" + CASE WHEN {order} >= 3 THEN {terms[3]} ELSE 0 END"
+
+
+_SETS = ["sets(curve, o, w0) AS (VALUES (0, 2, 11), (1, 2, 21), (2, 2, 31), (3, 3, 11), (4, 3, 21), (5, 3, 31))",
+         """fit AS (SELECT line.*, curve, o, CASE WHEN w <= o THEN 5 ELSE w END AS w FROM (
+ SELECT *, CASE WHEN w0 >= m THEN (m // 2) * 2 + 1 ELSE w0 END AS w FROM (SELECT DISTINCT lake, m FROM line), sets) JOIN line USING (lake, m))""",
+         "placed AS (SELECT *, greatest(least(k - w // 2, m - w + 1), 1) AS s, CAST((w - 1) / 2 AS DOUBLE) AS h FROM fit)",
+         f"""smo AS (SELECT a.lake, a.date, a.curve, CASE WHEN a.w <= a.m THEN sum(b.y * ({_gram('a.o', 'a.h', '(b.k - a.s - a.h)', '(a.k - a.s - a.h)')})) END AS smoothed
+ FROM placed a JOIN line b ON a.lake = b.lake AND b.k BETWEEN a.s AND a.s + a.w - 1 GROUP BY a.lake, a.date, a.curve, a.w, a.m)"""]
+
 
+@query("c12_savgol_sets", shape(with_(EV, TRUTH, _GRID, _LINE, *_SETS) + "\nFINAL SELECT lake, date AS day, curve, smoothed FROM smo SEMI JOIN truth USING (lake, date)",
+                                "lake day", "curve", "smoothed"))
+def savgol_sets(spark, d):
+    return rounded(sm.smooth(truth_daily(ev(spark, d)), "lake", "date", "truth", "savgol"))
 
-_smoother("c12_savgol_sets", "savgol")
 
 _CURVES = "cur AS (SELECT lake, date, c, v FROM (SELECT lake, date, min(swot_wsa) AS a, avg(swot_wsa) AS b, max(swot_wsa) AS c0 FROM obs GROUP BY lake, date) UNPIVOT (v FOR c IN (a, b, c0)))"
 
@@ -269,17 +288,72 @@ def calibratable(spark, d):
     return rounded(th.calibratable(_prep(spark, d), ["lake"], th.conservative(), 60))
 
 
-@query("c22_adaptive_filter")
+# The adaptive filter as recursive SQL: a round for all lakes that still change.
+_MARKED = ["""okl AS (SELECT lake FROM prep GROUP BY lake HAVING count(wse) > 0 AND count(*) FILTER (WHERE cons) >= 5)""",
+           """lim AS (SELECT lake, crid_scenario, pass_id, max(greatest(0, least(3, coalesce(wse_std_threshold, 3)))) FILTER (WHERE ice_condition = 'ice-free') AS s,
+ max(greatest(0, least(0.5, coalesce(wse_u_threshold, 0.5)))) FILTER (WHERE ice_condition = 'ice-free') AS u FROM thr GROUP BY ALL)""",
+           """marked AS (SELECT prep.*, wse_std <= CASE WHEN ice_clim_f >= 1 THEN greatest(coalesce(s, 3), 3) ELSE coalesce(s, 3) END
+ AND wse_u <= CASE WHEN ice_clim_f >= 1 THEN greatest(coalesce(u, 0.5), 0.1) ELSE coalesce(u, 0.5) END AS passes
+ FROM prep SEMI JOIN okl USING (lake) LEFT JOIN lim USING (lake, crid_scenario, pass_id))""",
+           """src AS (SELECT lake, o1, o2, o3, o4, date, wse, area_total AS area, pass_id AS pass, ice_clim_f AS ice, passes,
+ passes AND swot_xovr_cal_q < 2 AND swot_quality_f < 3 AS base_ok, passes AND swot_xovr_cal_q = 0 AND swot_quality_f = 0 AND ice_clim_f = 0 AS good FROM marked)""",
+           f"""wt AS (SELECT w, t, list(CAST({_gram('3', 'h', '(i - h)', '(t - h)')} AS DOUBLE) ORDER BY i) AS ws FROM (
+ SELECT w, CAST(t AS DOUBLE) AS t, CAST(i AS DOUBLE) AS i, (w - 1) / 2.0 AS h FROM range(5, 22, 2) a(w), range(21) b(t), range(21) c(i) WHERE t < w AND i < w) GROUP BY w, t)"""]
+
+
+def _settled(name: str, start: str, base: str, z: float, spread: float, limit: int) -> str:
+    """Rounds as one recursive table: rows of a lake stay in it with their round once ``done``."""
+    return f"""{name} AS (SELECT *, count(*) OVER (PARTITION BY lake) AS cnt, 0 AS n, FALSE AS done FROM {start} UNION ALL (WITH
+cur AS (SELECT * FROM {name} WHERE NOT done),
+days AS (SELECT lake, date, first(wse ORDER BY o1, o2, o3, o4) AS f, last(wse ORDER BY o1, o2, o3, o4) AS l, count(*) AS c, min(wse) AS lo, max(wse) AS hi FROM cur WHERE {base} GROUP BY lake, date),
+acc AS (SELECT lake, max(hi) - min(lo) AS reach FROM days GROUP BY lake HAVING sum(c) >= 365 / 95 + 1),
+step AS (SELECT lake, date, l, reach, lead(f) OVER w AS nf, coalesce(date_diff('day', date, lead(date) OVER w), 1) AS far FROM days JOIN acc USING (lake) WINDOW w AS (PARTITION BY lake ORDER BY date)),
+grid AS (SELECT lake, reach, date + CAST(i AS INT) AS date, CASE WHEN i = 0 THEN l ELSE l + (nf - l) * (i / far) END AS y, CASE WHEN i = 0 THEN 0 ELSE far END AS gap FROM (SELECT *, unnest(range(0, far)) AS i FROM step)),
+line AS (SELECT *, row_number() OVER (PARTITION BY lake ORDER BY date) AS k, count(*) OVER (PARTITION BY lake) AS m,
+ list(y) OVER (PARTITION BY lake ORDER BY date ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS near FROM grid),
+placed AS (SELECT *, greatest(least(k - w // 2, m - w + 1), 1) AS s FROM (SELECT *, greatest(CASE WHEN 21 >= m THEN (m // 2) * 2 + 1 ELSE 21 END, 5) AS w FROM line) WHERE gap <= 95),
+curve AS (SELECT lake, date, reach, CASE WHEN p.w <= m THEN list_dot_product(CAST(near[least(k, 21) - (k - s):least(k, 21) - (k - s) + p.w - 1] AS DOUBLE[]), ws) END AS v FROM placed p LEFT JOIN wt ON wt.w = p.w AND wt.t = k - s),
+res AS (SELECT cur.*, v - wse AS r, reach FROM cur JOIN curve USING (lake, date)),
+st AS (SELECT lake, avg(r) AS am, stddev_pop(r) AS sd, sum(abs(r)) AS sa FROM res GROUP BY lake),
+clip AS (SELECT res.*, coalesce(abs((r - am) / CASE WHEN sa = 0 THEN 1 ELSE nullif(sd, 0) END) < {z}, FALSE) OR coalesce(abs(r) / nullif(reach, 0) < {spread}, FALSE) AS alive FROM res JOIN st USING (lake)),
+ip AS (SELECT lake, pass, count(area) AS na, max(area) + 0.3 * (max(area) - min(area)) AS ua, count(wse) AS nl, max(wse) + 0.3 * (max(wse) - min(wse)) AS ul FROM clip WHERE alive AND ice <= 1 GROUP BY lake, pass),
+ik AS (SELECT lake, count(area) AS kna, max(area) + 0.3 * (max(area) - min(area)) AS kua, count(wse) AS knl, max(wse) + 0.3 * (max(wse) - min(wse)) AS kul, max(wse) + 0.2 * (max(wse) - min(wse)) AS ku2 FROM clip WHERE alive AND ice <= 1 GROUP BY lake),
+cold AS (SELECT clip.* REPLACE (alive AND (knl IS NULL OR ice <= 1 OR (CASE WHEN nl IS NULL THEN (kna < 2 OR area <= kua) AND (knl < 2 OR wse <= kul) ELSE (na < 2 OR area <= ua) AND (nl < 2 OR wse <= ul) END
+ AND (knl < 2 OR wse <= ku2))) AS alive) FROM clip LEFT JOIN ip USING (lake, pass) LEFT JOIN ik USING (lake)),
+fence AS (SELECT lake, q1 - 3 * (q9 - q1) AS f0, q9 + 3 * (q9 - q1) AS f1 FROM (SELECT lake, quantile_cont(wse, 0.1) AS q1, quantile_cont(wse, 0.9) AS q9 FROM cold WHERE alive GROUP BY lake)),
+mid AS (SELECT lake, median(wse) AS me FROM cold JOIN fence USING (lake) WHERE alive AND wse BETWEEN f0 AND f1 GROUP BY lake),
+kept AS (SELECT cold.*, count(*) OVER (PARTITION BY lake) AS after FROM cold LEFT JOIN fence USING (lake) LEFT JOIN mid USING (lake)
+ WHERE locked OR (alive AND wse BETWEEN greatest(f0, me - 150) AND least(f1, me + 150)))
+SELECT lake, o1, o2, o3, o4, date, wse, area, pass, ice, base_ok, locked, after AS cnt, n + 1 AS n, after >= cnt OR n + 1 = {limit} AS done FROM kept))"""
+
+
+_ROW = "lake, o1, o2, o3, o4, date, wse, area, pass, ice, base_ok"
+_ADAPTIVE = [*_MARKED, f"s1 AS (SELECT {_ROW}, FALSE AS locked FROM src WHERE passes)", _settled("r1", "s1", "base_ok", 2.576, 0.08, 40),
+             "e1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY lake) AS fin FROM r1 WHERE done) WHERE fin >= 365 / 95 + 1)",
+             f"""s2 AS (SELECT {_ROW}, TRUE AS locked FROM e1 UNION ALL SELECT {_ROW}, FALSE AS locked FROM src SEMI JOIN e1 USING (lake) ANTI JOIN e1 USING (lake, o1, o2, o3, o4) WHERE good)""",
+             _settled("r2", "s2", "TRUE", 3.5, 0.06, 5),
+             "e2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY lake) AS fin FROM r2 WHERE done) WHERE fin >= 365 / 95 + 1)",
+             """codes AS (SELECT o.lake, CASE WHEN nw = 0 THEN -9 ELSE coalesce(a.n, -1) END AS n_round1, CASE WHEN nw = 0 THEN -9 WHEN a.n IS NULL THEN -2 ELSE coalesce(b.n, -1) END AS n_round2
+ FROM (SELECT lake, count(swot_wse) AS nw FROM obs GROUP BY lake) o LEFT JOIN (SELECT lake, max(n) AS n FROM e1 GROUP BY lake) a USING (lake) LEFT JOIN (SELECT lake, max(n) AS n FROM e2 GROUP BY lake) b USING (lake))"""]
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+@query("c22_adaptive_filter", shape(_recursive(OBS, PREP, *_calibration("documented"), *_ADAPTIVE) + """
+FINAL SELECT c.lake, n_round1, n_round2, CASE WHEN n_round1 = -9 THEN 'no data' WHEN n_round2 > 0 THEN 'success' ELSE 'fail' END AS status, o1, o2, o4, date AS day, wse
+FROM codes c LEFT JOIN e2 USING (lake)""", "lake status day", "n_round1 n_round2 o1 o2 o4", "wse"))
 def adaptive(spark, d):
     rows, status = ad.adaptive_filter(obs(spark, d), "lake", "date", ORDER)
-    kept = rows.groupBy("lake").agg(F.count(F.lit(1)).alias("n_kept"))
-    return rounded(status.join(kept, "lake", "left"))
+    return rounded(status.join(rows.select("lake", "o1", "o2", "o4", "day", "wse"), "lake", "left"))
 
 
-@query("c24_adaptive_flag")
+@query("c24_adaptive_flag", shape(_recursive(OBS, PREP, *_calibration("documented"), *_ADAPTIVE) + """
+FINAL SELECT lake, o1, o2, CASE WHEN e2.fin IS NOT NULL AND obs.date >= DATE '1996-01-01' THEN 0 ELSE 1 END AS adaptive_filter FROM obs LEFT JOIN e2 USING (lake, o1, o2, o3, o4)""",
+                                  "lake", "o1 o2 adaptive_filter", ""))
 def adaptive_flag(spark, d):
-    rows = ad.with_adaptive_flag(obs(spark, d), "lake", "date", ORDER, start="1996-01-01")
-    return rounded(rows.groupBy("lake", "adaptive_filter").agg(F.count(F.lit(1)).alias("n")))
+    return rounded(ad.with_adaptive_flag(obs(spark, d), "lake", "date", ORDER, start="1996-01-01").select("lake", "o1", "o2", "adaptive_filter"))
 
 
 _CYC = ["prep2 AS (SELECT lake, swot_wse AS wse, swot_cycle_id AS cycle_id, swot_pass_id AS pass_id, swot_wsa AS area_total, date AS day, o1, o2, o3, o4 FROM obs)",

@@ -68,7 +68,9 @@ def ndwi_mean(spark, d):
     return rounded(px.ndwi_mean(images(spark, d)))
 
 
-_OTSU = f"""bn AS (SELECT {IM}, floor(v / 10) AS bin, count(*) AS n, sum(v) AS s FROM nd WHERE clear_mask AND v IS NOT NULL GROUP BY {IM}, bin),
+_OTSU = f"""wd AS (SELECT *, list_filter([2, 4, 8, 16, 32, 64, 128, 256], lambda w: floor(hi / w) - floor(lo / w) < 255)[1] AS w
+ FROM (SELECT {IM}, min(v) AS lo, max(v) AS hi FROM nd WHERE clear_mask AND v IS NOT NULL GROUP BY {IM})),
+bn AS (SELECT {IM}, floor(v / w) AS bin, count(*) AS n, sum(v) AS s FROM nd JOIN wd USING ({IM}) WHERE clear_mask AND v IS NOT NULL GROUP BY {IM}, bin),
 ac AS (SELECT *, s / n AS m, sum(n) OVER w AS an, sum(s) OVER w AS asum, sum(n) OVER z AS tn, sum(s) OVER z AS ts FROM bn WINDOW w AS (PARTITION BY {IM} ORDER BY bin), z AS (PARTITION BY {IM})),
 sc AS (SELECT *, an * (asum / an - ts / tn) ** 2 + CASE WHEN tn > an THEN (tn - an) * ((ts - asum) / (tn - an) - ts / tn) ** 2 ELSE 0 END AS bss FROM ac),
 ot AS (SELECT {IM}, m AS threshold FROM sc QUALIFY row_number() OVER (PARTITION BY {IM} ORDER BY round(bss, 3) DESC, m DESC) = 1)"""
@@ -79,20 +81,38 @@ def otsu(spark, d):
     return rounded(px.otsu(images(spark, d)))
 
 
-@query("m9_water_levels")
+# Levels by definition: counts of the 200 bins as a list, the slices on both sides of the threshold's bin, the first nearest place.
+def _levels(where: str = "TRUE") -> str:
+    return f"""th AS (SELECT *, CAST(round(threshold / 10) * 10 AS DOUBLE) AS t FROM ot),
+kk AS (SELECT *, CAST((t + 1000) / 10 AS INT) AS k FROM th),
+hb AS (SELECT {IM}, least(CAST(floor((v + 1000) / 10) AS INT), 199) AS b, count(*) AS c FROM nd WHERE v BETWEEN -1000 AND 1000 AND {where} GROUP BY ALL),
+hl AS (SELECT {IM}, list(coalesce(c, 0) ORDER BY i) AS h FROM (SELECT {IM}, i FROM kk, range(200) r(i)) LEFT JOIN (SELECT {IM}, b AS i, c FROM hb) USING ({IM}, i) GROUP BY {IM}),
+sl AS (SELECT *, h[1:k] AS land, h[k + 2:199] AS water, h[k + 1] AS mid FROM kk JOIN hl USING ({IM}) WHERE k >= 1 AND k < 198),
+pk AS (SELECT *, list_max(land) AS lm, list_max(water) AS wm, list_position(land, list_max(land)) - 1 AS la, list_position(water, list_max(water)) - 1 AS wa FROM sl),
+cu AS (SELECT *, list_transform(land[greatest(la - 1, 1) + 1:len(land) - 1], lambda c: abs(c - (lm - (lm - mid) * 0.9))) AS ld,
+ list_transform(water[1:least(wa + 1, 199)], lambda c: abs(c - (wm - (wm - mid) * 0.9))) AS wd FROM pk),
+lv AS (SELECT {IM}, (list_position(ld, list_min(ld)) - 1 + la) * 10 - 995 AS land_level, (list_position(wd, list_min(wd)) - 1 + k) * 10 - 995 AS water_level FROM cu WHERE len(ld) > 0 AND len(wd) > 0),
+wl AS (SELECT {IM}, t AS threshold, land_level, water_level FROM th LEFT JOIN lv USING ({IM}))"""
+
+
+_AREA = f"""fr AS (SELECT nd.*, (v - land_level) / nullif(water_level - land_level, 0) * 100 AS f FROM nd LEFT JOIN wl USING ({IM})),
+ar AS (SELECT {IM}, coalesce(sum(area_m2) FILTER (WHERE f >= 25), -999) AS water_area_25, coalesce(sum(area_m2) FILTER (WHERE f >= 50), -999) AS water_area_50,
+ coalesce(sum(area_m2) FILTER (WHERE cloud_mask), -999) AS cloud_area, coalesce(sum(area_m2) FILTER (WHERE clear_mask), -999) AS clear_area FROM fr GROUP BY {IM})"""
+_AREAS = "water_area_25 water_area_50 cloud_area clear_area"
+
+
+@query("m9_water_levels", shape(with_(PX, MK, _ND, _OTSU, _levels()) + "\nFINAL SELECT * FROM wl", KEEP, "orbit", "threshold land_level water_level"))
 def water_levels(spark, d):
     return rounded(px.water_levels(images(spark, d)))
 
 
-@query("m10_water_area", shape(with_(PX, MK) + f"""
-FINAL SELECT {IM}, coalesce(sum(area_m2) FILTER (WHERE b4 >= 500), -999) AS water_area_25, coalesce(sum(area_m2) FILTER (WHERE b4 >= 1900), -999) AS water_area_50, coalesce(sum(area_m2) FILTER (WHERE cloud_mask), -999) AS cloud_area,
- coalesce(sum(area_m2) FILTER (WHERE clear_mask), -999) AS clear_area FROM mk GROUP BY {IM}""", KEEP, "orbit", "water_area_25 water_area_50 cloud_area clear_area"))
+@query("m10_water_area", shape(with_(PX, MK, _ND, _OTSU, _levels(), _AREA) + "\nFINAL SELECT * FROM ar", KEEP, "orbit", _AREAS))
 def water_area(spark, d):
-    rows = images(spark, d).withColumns({"water_25": F.col("b4") >= 500, "water_50": F.col("b4") >= 1900})
-    return rounded(px.water_area(rows))
+    return rounded(px.water_area(px.water_fraction(images(spark, d))))
 
 
-@query("m10_m12_water_series")
+@query("m10_m12_water_series", shape(with_(PX, "mk0 " + MK.split(" ", 1)[1], _COV.replace("FROM mk", "FROM mk0"), f"mk AS (SELECT mk0.* FROM mk0 SEMI JOIN (SELECT * FROM cv WHERE coverage > 5) USING ({IM}))",
+                                           _ND, _OTSU, _levels(), _AREA) + f"\nFINAL SELECT ar.*, coverage FROM ar JOIN cv USING ({IM})", KEEP, "orbit", _AREAS + " coverage"))
 def water_series(spark, d):
     return rounded(px.water_series(images(spark, d)))
 

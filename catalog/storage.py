@@ -51,7 +51,16 @@ def corr_test(spark, d):
     return rounded(cv.corr_test(obs(spark, d), "lake", "swot_wse_anomaly", "swot_wsa").select("lake", "n", "r", "t_stat"))
 
 
-@query("g1_p_value")
+# Two-sided p of Student's t for whole degrees of freedom, by its finite sums of powers of the cosine.
+_STUDENT = """v AS (SELECT *, n - 2 AS nu, atan(abs(t_stat) / sqrt(n - 2)) AS th FROM (SELECT *, CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t_stat FROM c)),
+s AS (SELECT *, list_sum(list_transform(range(CASE WHEN nu % 2 = 0 THEN nu // 2 ELSE greatest(nu // 2, 0) END), lambda j: pow(cos(th), 2 * j + nu % 2)
+ * exp(CASE WHEN nu % 2 = 0 THEN lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) ELSE lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) END))) AS powers FROM v),
+p AS (SELECT lake, n, r, t_stat, CASE WHEN n = 2 THEN 1 WHEN abs(r) >= 1 THEN 0 WHEN nu % 2 = 0 THEN 1 - sin(th) * powers
+ ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(powers, 0)) END AS p_value FROM s)"""
+
+
+@query("g1_p_value", shape(with_(OBS, "c AS (SELECT lake, count(*) AS n, corr(swot_wse_anomaly, swot_wsa) AS r FROM obs GROUP BY lake)", _STUDENT) + """
+FINAL SELECT *, coalesce(p_value < 0.05, FALSE) AS significant FROM p WHERE n >= 2""", "lake significant", "n", "r t_stat p_value"))
 def p_value(spark, d):
     return rounded(cv.corr_test(obs(spark, d), "lake", "swot_wse_anomaly", "swot_wsa"))
 

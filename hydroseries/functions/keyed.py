@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -70,25 +71,23 @@ def tie(order: Iterable[str]) -> Column:
     return F.struct(*[F.col(c) for c in names(order)])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives the loss of executors.
-
-    The folder is that of ``spark.checkpoint.dir``; without one this is an error.
-    """
-    spark: SparkSession = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; without one this is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
-def spread_groups(df: DataFrame, keys) -> DataFrame:
-    """Hash partitions by key in the session's full number, ahead of grouped Python work.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows, written once to a table in the shared folder and read back.
 
-    Adaptive coalescing goes by bytes and would put small but costly groups into one task.
+    Survives the loss of executors. Unlike a checkpoint the plan runs once, later plans read only
+    the columns they need, and the table's size is known, so that a small one is broadcast.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *names(keys))
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,67 +1,107 @@
 """Exact order statistics that stay distributed when one key holds most rows.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one
-buffer, and a window over a key sorts the whole key in one task.  Here a key is cut
-into value bins: rows are reduced to (key, bin, value, sums) with map-side combine,
-the bin totals are accumulated per key (their number is limited by the bins a number
-can fall into, not by the rows), and values are ordered only inside a bin.
-
-A bin is a fixed step of the number line (equal steps between powers of two), so it
-needs no statistics of the data and the input is read at most twice.  Quantiles use
-wide bins first and cut only the bins that contain a wanted rank into narrow ones.
-Bins decide how work is spread, never the result.
+The built-in exact ``percentile`` keeps every distinct value of a group in one buffer, and a
+window over a key sorts the whole key in one task.  Neither happens here, and no fixed steps of
+the number line are assumed: limits come from the values of each key.
+
+``quantiles`` reads the rows twice.  The first pass makes a mergeable rank summary of each key and
+takes from it an interval around every wanted rank that must hold it.  The second one counts what
+lies below an interval and orders only what lies inside, some ten-thousandths of the rows.
+
+``ordered_totals`` needs every value in order.  A key is cut into cells between its own least and
+greatest value, and every cell again between its own; totals of cells are added up per key (their
+number is bounded), and values are ordered only inside a cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroseries.functions.keyed import col, known, names
+from hydroseries.functions.keyed import attach, col, known, names
+
+#: A rank summary is off by at most 1 / ACCURACY of the rows of a key.
+ACCURACY = 10_000
+#: Cells of a key, and cells of such a cell.
+CELLS = 256
 
-WIDE, MIDDLE, NARROW = 64, 4096, 1 << 18
 
+def _intervals(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Per key: number of rows, and for every probability an interval of values that holds its ranks.
 
-def _bin(value: Column, steps: int) -> Column:
-    """Monotone bin number of a value, with ``steps`` bins between powers of two."""
-    x = value.cast("double")
-    size = F.greatest(F.least(F.abs(x), F.lit(1e300)), F.lit(1e-300))
-    octave = F.floor(F.log2(size))
-    # Scaling by a power of two is exact, so neighbouring octaves meet without a gap or an overlap.
-    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * steps)
-    place = (octave + 1100) * steps + step
-    # Never NULL, so that both readers of the reduced rows get one and the same plan and share its shuffle.
-    return F.coalesce(F.when(x == 0, F.lit(0)).when(x > 0, place).otherwise(-place).cast("long"), F.lit(0).cast("long"))
+    An interval reaches two errors of the summary to both sides.  Where that is less than four
+    rows, the first interval covers all values and serves every probability.
+    """
+    margin = 2 / ACCURACY
+    ends = [x for p in probs for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    d = F.col("_v").cast("double")
+    marks = rows.groupBy(*keys).agg(F.percentile_approx(d, ends, ACCURACY).alias("_at"), F.count(F.lit(1)).alias("_total"), F.min(d).alias("_min"), F.max(d).alias("_max"))
+    few = F.col("_total") < 4 / margin
+    parts = []
+    for i in range(len(probs)):
+        whole = [F.col("_min"), F.col("_max")] if i == 0 else [F.lit(None).cast("double")] * 2
+        # The least and the greatest value belong to the outermost intervals.
+        low = F.col("_min") if probs[i] <= margin else F.col("_at")[2 * i]
+        high = F.col("_max") if probs[i] >= 1 - margin else F.col("_at")[2 * i + 1]
+        parts.append(F.struct(F.when(few, whole[0]).otherwise(low).alias("low"), F.when(few, whole[1]).otherwise(high).alias("high")))
+    return marks.select(*keys, "_total", F.array(*parts).alias("_near"))
 
 
-def _per_value(df: DataFrame, keys: list[str], value: str | Column, sums: Mapping[str, Column], steps: int) -> DataFrame:
+def quantiles(df: DataFrame, keys, value: str | Column, probs: Mapping[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per key, one column per entry of ``probs``.
+
+    NULL and NaN are no values; keys without values are left out.
+    """
+    keys = names(keys)
+    wanted = sorted({float(p) for p in probs.values()})
     v = col(value)
-    rows = df.where(known(v)).select(*keys, v.alias("_v"), *[e.alias(n) for n, e in sums.items()])
-    return (rows.withColumn("_bin", _bin(F.col("_v"), steps)).groupBy(*keys, "_bin", "_v")
-            .agg(*[F.sum(n).alias(n) for n in sums]))
+    rows = df.where(known(v)).select(*keys, v.alias("_v"))
+    near, d = attach(rows, _intervals(rows, keys, wanted), keys, "inner"), F.col("_v").cast("double")
+    nothing = F.lit(None).cast(rows.schema["_v"].dataType)
+    parts = []
+    for i in range(len(wanted)):
+        low, high = F.col("_near")[i]["low"], F.col("_near")[i]["high"]
+        parts.append(F.when(d < low, F.struct(F.lit(i).alias("slot"), nothing.alias("v"))).when(d <= high, F.struct(F.lit(i).alias("slot"), F.col("_v").alias("v"))))
+    pieces = near.select(*keys, "_total", F.explode(F.array(*parts)).alias("_p")).where("_p IS NOT NULL")
+    counts = pieces.groupBy(*keys, F.col("_p.slot").alias("_slot"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("n"), F.max("_total").alias("_total"))
+    before = Window.partitionBy(*keys, "_slot").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    picks, merged, outs = [], [], []
+    for p in wanted:
+        position = F.lit(p) * (F.col("_total") - 1)
+        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            here = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("n"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{wanted.index(p)}"))
+            merged.append(F.max(f"_{side}_{wanted.index(p)}").alias(f"_{side}_{wanted.index(p)}"))
+    for name, p in probs.items():
+        position = F.lit(float(p)) * (F.col("_total") - 1)
+        lo, hi = (F.col(f"_{side}_{wanted.index(float(p))}") for side in ("lo", "hi"))
+        found = (lo + (hi - lo) * (position - F.floor(position))).cast("double")
+        lost = F.col("_total").isNotNull() & (lo.isNull() | hi.isNull())
+        outs.append(F.when(lost, F.raise_error("a rank lies outside its interval").cast("double")).otherwise(found).alias(name))
+    one = ordered.groupBy(*keys, "_slot").agg(F.max("_total").alias("_total"), *picks)
+    return one.groupBy(*keys).agg(F.max("_total").alias("_total"), *merged).select(*keys, *outs)
 
 
-def _bin_offsets(values: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
-    """Per (key, bin): total of the bin, of all smaller bins, and of the key."""
-    sums = list(sums)
-    totals = values.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(f"_{n}_bin") for n in sums])
-    key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin")
-    before = key.rowsBetween(Window.unboundedPreceding, -1)
-    whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return totals.select(*keys, "_bin", *[f"_{n}_bin" for n in sums],
-                         *[F.coalesce(F.sum(f"_{n}_bin").over(before), F.lit(0)).alias(f"_{n}_off") for n in sums],
-                         *[F.sum(f"_{n}_bin").over(whole).alias(f"{n}_total") for n in sums])
+def _cell(value: Column, low: Column, high: Column) -> Column:
+    """Number of the cell of a value between two limits; monotone, and 0 where the limits are one."""
+    place = F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * CELLS)
+    return F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(CELLS - 1)).cast("int")
 
 
-def _inside(values: DataFrame, offsets: DataFrame, keys: list[str], sums: Iterable[str]) -> DataFrame:
-    sums = list(sums)
-    joined = values.join(offsets.drop(*[f"_{n}_bin" for n in sums]), [*keys, "_bin"], "inner")
-    before = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(
-        *keys, "_v", *sums, *[f"{n}_total" for n in sums],
-        *[(F.col(f"_{n}_off") + F.coalesce(F.sum(n).over(before), F.lit(0))).alias(f"{n}_before") for n in sums])
+def _running(cells: DataFrame, by: list[str], order: str, sums: list[str], *carried: str) -> DataFrame:
+    """Per group of ``by`` an array of its cells (at most ``CELLS``) in order, with ``before``: the totals of smaller cells."""
+    one = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, *sums, *carried))).alias("_c"))
+
+    def total(n: str, i: Column) -> Column:
+        zero = F.lit(0).cast(cells.schema[n].dataType)
+        return F.aggregate(F.slice("_c", F.lit(1), i), zero, lambda s, x: s + x[n])
+    return one.select(*by, F.transform("_c", lambda x, i: F.struct(
+        x[order].alias(order), *[x[n].alias(n) for n in sums], *[x[c].alias(c) for c in carried], *[total(n, i).alias(f"{n}_off") for n in sums])).alias("_c"),
+        *[total(n, F.size("_c")).alias(f"{n}_total") for n in sums])
 
 
 def ordered_totals(df: DataFrame, keys, value: str | Column, sums: Mapping[str, Column] | None = None,
@@ -70,59 +110,32 @@ def ordered_totals(df: DataFrame, keys, value: str | Column, sums: Mapping[str,
 
     For every entry ``n`` of ``sums`` the result has ``n`` (total at this value),
     ``n_before`` (total at smaller values) and ``n_total`` (total of the key).  ``only``
-    gets the total before a bin, the total of the bin and the total of the key (of the
-    first entry) and says which bins are needed; the others are not ordered.
+    gets the total before a cell, the total of the cell and the total of the key (of the
+    first entry) and says which cells are needed; the others are not ordered.
     """
     keys, sums = names(keys), dict(sums or {"n": F.lit(1)})
-    values = _per_value(df, keys, value, sums, MIDDLE)
-    offsets = _bin_offsets(values, keys, sums)
+    v, ns = col(value), list(sums)
+    flat = (df.where(known(v)).select(*keys, v.alias("_v"), *[e.alias(n) for n, e in sums.items()])
+            .groupBy(*keys, "_v").agg(*[F.sum(n).alias(n) for n in ns]))
+    d = F.col("_v").cast("double")
+    limits = flat.groupBy(*keys).agg(F.min(d).alias("_min"), F.max(d).alias("_max"))
+    coarse = attach(flat, limits, keys, "inner").withColumn("_a", _cell(d, F.col("_min"), F.col("_max")))
+    first = coarse.groupBy(*keys, "_a").agg(*[F.sum(n).alias(n) for n in ns], F.min(d).alias("_low"), F.max(d).alias("_high"), F.max("_min").alias("_min"), F.max("_max").alias("_max"))
+    # One row per key, with the limits and offsets of its cells at their numbers.
+    key = _running(first, keys, "_a", ns, "_low", "_high", "_min", "_max")
+    at = F.map_from_entries(F.transform("_c", lambda x: F.struct(x["_a"], x)))
+    key = key.select(*keys, F.get("_c", F.lit(0))["_min"].alias("_min"), F.get("_c", F.lit(0))["_max"].alias("_max"), at.alias("_at"), *[f"{n}_total" for n in ns])
+    fine = attach(flat, key, keys, "inner").withColumn("_a", _cell(d, F.col("_min"), F.col("_max"))).withColumn("_in", F.try_element_at("_at", F.col("_a")))
     if only is not None:
-        first = next(iter(sums))
-        offsets = offsets.where(only(F.col(f"_{first}_off"), F.col(f"_{first}_bin"), F.col(f"{first}_total")))
-    return _inside(values, offsets, keys, sums).withColumnRenamed("_v", name)
-
-
-def quantiles(df: DataFrame, keys, value: str | Column, probs: Mapping[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, one column per entry of ``probs``.
-
-    Only narrow bins that contain a wanted rank are ordered.
-    """
-    keys = names(keys)
-    sums = {"n": F.lit(1)}
-    values = _per_value(df, keys, value, sums, WIDE)
-    wide = _bin_offsets(values, keys, sums)
-
-    def rank(p: float, up: bool) -> Column:
-        position = F.lit(float(p)) * (F.col("n_total") - 1)
-        return F.ceil(position) if up else F.floor(position)
-
-    def wanted(start: Column, n: Column) -> Column:
-        hit = F.lit(False)
-        for p in set(probs.values()):
-            for up in (False, True):
-                hit = hit | ((rank(p, up) >= start) & (rank(p, up) < start + n))
-        return hit
-
-    near = wide.where(wanted(F.col("_n_off"), F.col("_n_bin"))).drop("_n_bin")
-    near = values.join(near, [*keys, "_bin"], "inner").withColumn("_sub", _bin(F.col("_v"), NARROW))
-    by = [*keys, "_bin", "_sub"]
-    cut = near.groupBy(*by).agg(F.sum("n").alias("_sub_n"), F.first("_n_off").alias("_n_off"), F.first("n_total").alias("n_total"))
-    before = Window.partitionBy(*keys, "_bin").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_start", F.col("_n_off") + F.coalesce(F.sum("_sub_n").over(before), F.lit(0)))
-    cut = cut.where(wanted(F.col("_start"), F.col("_sub_n"))).select(*by, "_start")
-    inside = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = near.join(cut, by, "inner").select(
-        *keys, "_v", "n", "n_total", (F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("n_before"))
-
-    aggs, outs = [], []
-    for name, p in probs.items():
-        for side, up in (("lo", False), ("hi", True)):
-            here = (rank(p, up) >= F.col("n_before")) & (rank(p, up) < F.col("n_before") + F.col("n"))
-            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((lo + (hi - lo) * (position - F.floor(position))).cast("double").alias(name))
-    return ordered.groupBy(*keys).agg(F.max("n_total").alias("_total"), *aggs).select(*keys, *outs)
+        fine = fine.where(only(F.col("_in")[f"{ns[0]}_off"], F.col("_in")[ns[0]], F.col(f"{ns[0]}_total")))
+    fine = fine.select(*keys, "_v", *ns, *[f"{n}_total" for n in ns], "_a", _cell(d, F.col("_in._low"), F.col("_in._high")).alias("_b"), *[F.col("_in")[f"{n}_off"].alias(f"_{n}_off") for n in ns])
+    by = [*keys, "_a"]
+    second = fine.groupBy(*by, "_b").agg(*[F.sum(n).alias(n) for n in ns])
+    second = _running(second, by, "_b", ns).select(*by, F.explode("_c").alias("_c")).select(*by, F.col("_c._b").alias("_b"), *[F.col("_c")[f"{n}_off"].alias(f"_{n}_in") for n in ns])
+    before = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return fine.join(second, [*by, "_b"]).select(
+        *keys, F.col("_v").alias(name), *ns, *[f"{n}_total" for n in ns],
+        *[(F.col(f"_{n}_off") + F.col(f"_{n}_in") + F.coalesce(F.sum(n).over(before), F.lit(0))).alias(f"{n}_before") for n in ns])
 
 
 def median(df: DataFrame, keys, value: str | Column, name: str = "median") -> DataFrame:

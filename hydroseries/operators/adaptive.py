@@ -1,26 +1,23 @@
 """Self-calibrating level filter.
 
-Calibration, marking and counting are Spark aggregations.  The rounds of a key depend
-on each other, so a key of ordinary size runs through them in one grouped task.  A key
-above ``Config.group_rows`` is never gathered: its rounds are Spark steps over all
-such keys at once, needing only per-key aggregates and the day-grain curve.
+Calibration, marking and counting are Spark aggregations.  The rounds of a key depend on each
+other, those of different keys do not: a round is a set of Spark steps over all keys that still
+change, whatever their size.  It needs per-key aggregates and a curve at day grain; the rows of a
+key are never gathered.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hydroseries.functions.keyed import attach, cut_lineage, day, holds, known, names, spread_groups
+from hydroseries.functions.keyed import attach, cut_lineage, day, holds, known, names
 from hydroseries.functions.orderstats import quantiles
 from hydroseries.operators import thresholds as th
-from hydroseries.operators.adaptive_series import filter_series
-from hydroseries.operators.outliers import drop_in_gaps, ice_outliers
-from hydroseries.operators.smooth import signed_min_abs, smooth
+from hydroseries.operators.outliers import accept_series
+from hydroseries.operators.smooth import nearest_residual, on_grid, per_day
 
 # Column names used inside the filter, by daily-table name.
 RENAME = {
@@ -53,7 +50,6 @@ class Config:
     rounds: tuple = (40, 5)
     min_conservative: int = 5
     band: float = 150
-    group_rows: int = 200_000
 
 
 def prepare_adaptive(df: DataFrame, keys, t: str = "date", order=("row_no",)) -> DataFrame:
@@ -69,72 +65,113 @@ def prepare_adaptive(df: DataFrame, keys, t: str = "date", order=("row_no",)) ->
 
 def _series_ok(rows: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
     """Keys whose rows are enough (and gap free and long enough when gaps are not allowed)."""
-    from hydroseries.operators.outliers import accept_series
-
     return (accept_series(rows, keys, "day", cfg.max_gap, cfg.min_span, cfg.allow_major_gap)
             .where("status = 0").select(*keys))
 
 
-def _clip_and_clean(rows: DataFrame, base: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage: int) -> DataFrame:
-    """Smooth ``base``, clip residuals of ``rows``, then ice, fence and median rules."""
-    curves = smooth(base, keys, "day", "wse", cfg.method, list(cfg.params), at=rows, order=ids)
-    res = cut_lineage(signed_min_abs(curves, rows, keys, "day", "wse"))
-    reach = base.groupBy(*keys).agg((F.max("wse") - F.min("wse")).alias("_reach"))
-    stats = res.groupBy(*keys).agg(F.avg("residual").alias("_m"), F.stddev_pop("residual").alias("_s"),
-                                   F.sum(F.abs("residual")).alias("_a")).join(reach, keys)
+def _lines(base: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> DataFrame:
+    """(key, n, curves, reach): the smoothed curves of accepted series on every day that may be judged.
+
+    One day-grain table serves all rules on the series itself: number of rows, gaps, span and the
+    range of levels. Days strictly inside a longer gap are left out.
+    """
+    days = per_day(base, keys, "day", "wse", ids, F.count(F.lit(1)).alias("_rows"), F.min("wse").alias("_low"), F.max("wse").alias("_high"))
+    w = Window.partitionBy(*keys)
+    days = days.withColumn("_jump", F.col("n") - F.lag("n").over(w.orderBy("n")))
+    days = days.withColumns({"_all": F.sum("_rows").over(w), "reach": F.max("_high").over(w) - F.min("_low").over(w),
+                             "_far": F.max("_jump").over(w), "_span": F.max("n").over(w) - F.min("n").over(w)})
+    ok = F.col("_all") >= cfg.min_span / cfg.max_gap + 1
+    if not cfg.allow_major_gap:
+        ok = ok & ~holds(F.col("_far") > cfg.max_gap) & (F.col("_span") >= cfg.min_span)
+    curves = on_grid(days.where(ok).select(*keys, "n", "first", "last", "reach"), keys, cfg.method, list(cfg.params), "reach")
+    return curves.where(F.col("gap") <= cfg.max_gap).select(*keys, "n", "curves", "reach")
+
+
+def _ice_limits(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts and extremes of area and level over ice-free rows, for each pass and for the key.
+
+    Neither ice rule drops an ice-free row, so both compare with the same rows.
+    """
+    parts = [("n", F.count, F.sum), ("a", F.min, F.min), ("b", F.max, F.max)]
+    value = {m: F.when(known(m), F.col(m)) for m in ("area_total", "wse")}
+    one = rows.where(holds(F.col("ice_clim_f") <= 1)).groupBy(*keys, F.coalesce(F.col("pass_id").cast("string"), F.lit("?")).alias("_pass")).agg(
+        *[f(v).alias(f"_{t}_{m}") for m, v in value.items() for t, f, _ in parts])
+    key = one.groupBy(*keys).agg(*[f(f"_{t}_{m}").alias(f"_{t}_{m}_key") for m in value for t, _, f in parts])
+    return one, key
+
+
+def _under_ice(keys_only: bool, measures: list[str], mult: float) -> Column:
+    """Whether a row of the ice season stays within the widened maximum of comparable ice-free rows."""
+    ok = F.lit(True)
+    for m in measures:
+        def pick(part: str, m: str = m) -> Column:
+            own = F.when(F.col("_n_wse").isNotNull(), F.col(f"_{part}_{m}")).otherwise(F.col(f"_{part}_{m}_key"))
+            return F.col(f"_{part}_{m}_key") if keys_only else own
+        limit = pick("b") + mult * (pick("b") - pick("a"))
+        ok = ok & (~known(m) | (pick("n") < 2) | holds(F.col(m) <= limit))
+    free = F.col("ice_clim_f") <= 1
+    return F.col("_n_wse_key").isNull() | holds(free) | (holds(~free) & ok)
+
+
+def _judged(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage: int) -> DataFrame:
+    """Rows of accepted series with ``alive``: within the spread around the curve and, under ice, not above ice-free rows."""
+    base = rows.where("base_ok") if stage == 0 else rows
+    found = rows.withColumn("n", F.datediff("day", F.lit("1970-01-01"))).join(_lines(base, keys, ids, cfg), [*keys, "n"])
+    found = found.withColumn("residual", nearest_residual(F.col("curves"), F.col("wse"))).select(*rows.columns, "residual", "reach")
+    stats = found.groupBy(*keys).agg(F.avg("residual").alias("_m"), F.stddev_pop("residual").alias("_s"), F.sum(F.abs("residual")).alias("_a"))
     scale = F.when(F.col("_a") == 0, F.lit(1.0)).otherwise(F.nullif(F.col("_s"), F.lit(0.0)))
     near = holds(F.abs((F.col("residual") - F.col("_m")) / scale) < cfg.z[stage])
-    small = holds(F.abs("residual") / F.nullif(F.col("_reach"), F.lit(0.0)) < cfg.spread[stage])
-    out = attach(res, stats, keys, "inner").where(near | small).select(*rows.columns)
-    out = cut_lineage(ice_outliers(out, keys, True, False, 0.3, 0, 1, "upper", "both"))
-    out = cut_lineage(ice_outliers(out, keys, False, False, 0.2, 0, 1, "upper", "wse"))
-    fence = quantiles(out, keys, "wse", {"_lo": 0.1, "_hi": 0.9})
-    width = F.col("_hi") - F.col("_lo")
-    out = (attach(out, fence, keys).where((F.col("wse") >= F.col("_lo") - 3 * width) & (F.col("wse") <= F.col("_hi") + 3 * width))
-           .select(*rows.columns))
-    out = cut_lineage(out)
-    mid = quantiles(out, keys, "wse", {"_mid": 0.5})
-    return attach(out, mid, keys).where(F.abs(F.col("wse") - F.col("_mid")) <= cfg.band).select(*rows.columns)
-
-
-def _first_round(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> DataFrame:
-    base = rows.where("base_ok")
-    span = base.groupBy(*keys).agg(F.min("day").alias("_t0"), F.max("day").alias("_t1"))
-    inside = (attach(rows.join(_series_ok(base, keys, cfg), keys, "left_semi"), span, keys, "inner")
-              .where(F.col("day").between(F.col("_t0"), F.col("_t1"))).select(*rows.columns))
-    base = inside.where("base_ok")
-    if cfg.allow_major_gap:
-        inside = cut_lineage(drop_in_gaps(inside, base, keys, "day", cfg.max_gap))
-    return _clip_and_clean(inside, base, keys, ids, cfg, 0)
-
-
-def _second_round(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> DataFrame:
-    locked = rows.where("locked")
-    usable = rows.join(_series_ok(rows, keys, cfg), keys, "left_semi")
-    kept = _clip_and_clean(usable, usable, keys, ids, cfg, 1)
-    back = (locked.join(usable.select(*keys).distinct(), keys, "left_semi")
-            .join(kept.where("locked").select(*keys, *ids), [*keys, *ids], "left_anti"))
-    return kept.unionByName(back)
-
-
-def _iterate(rows: DataFrame, keys: list[str], step, limit: int, tag: str) -> DataFrame:
-    """Run ``step`` on the keys that still shrink; at most ``limit`` rounds."""
-    active = cut_lineage(attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_before")), keys, "inner"))
-    finished = []
-    for n in range(1, limit + 1):
-        new = step(active.drop("_before"))
-        before = active.groupBy(*keys).agg(F.first("_before").alias("_before"))
-        counts = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_after")).join(before, keys)
-        done = (F.col("_after") >= F.col("_before")) | (F.lit(n) == limit)
-        state = cut_lineage(attach(new, counts, keys, "inner").withColumn(tag, F.lit(n)).withColumn("_done", done))
-        finished.append(state.where("_done").drop("_before", "_after", "_done"))
-        active = state.where("NOT _done").withColumn("_before", F.col("_after")).drop("_after", "_done", tag)
-        if n == limit or active.isEmpty():
+    small = holds(F.abs("residual") / F.nullif(F.col("reach"), F.lit(0.0)) < cfg.spread[stage])
+    clipped = attach(found, stats, keys, "inner").withColumn("alive", near | small).select(*rows.columns, "alive")
+    of_pass, of_key = _ice_limits(clipped.where("alive"), keys)
+    joined = attach(clipped.withColumn("_pass", F.coalesce(F.col("pass_id").cast("string"), F.lit("?"))), of_pass, [*keys, "_pass"])
+    # The first rule compares area and level by pass, the second the level over all passes.
+    stays = _under_ice(False, ["area_total", "wse"], 0.3) & _under_ice(True, ["wse"], 0.2)
+    return attach(joined, of_key, keys).select(*rows.columns, (F.col("alive") & stays).alias("alive")).where("alive OR locked")
+
+
+def _band(judged: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
+    """(key, _lo, _hi): the fence of levels, cut to a band around the median of what is inside the fence."""
+    alive = judged.where("alive").select(*keys, "wse")
+    q = quantiles(alive, keys, "wse", {"_q1": 0.1, "_q9": 0.9})
+    width = F.col("_q9") - F.col("_q1")
+    fence = q.select(*keys, (F.col("_q1") - 3 * width).alias("_f0"), (F.col("_q9") + 3 * width).alias("_f1"))
+    inside = attach(alive, fence, keys).where(F.col("wse").between(F.col("_f0"), F.col("_f1"))).select(*keys, "wse")
+    return fence.join(quantiles(inside, keys, "wse", {"_mid": 0.5}), keys).select(
+        *keys, F.greatest("_f0", F.col("_mid") - cfg.band).alias("_lo"), F.least("_f1", F.col("_mid") + cfg.band).alias("_hi"))
+
+
+def _settle(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage: int) -> DataFrame:
+    """Rounds over the frontier of keys that still shrink; rows of settled keys with ``n_round``.
+
+    A round writes two tables: the judged rows of the frontier, and one row for each of its keys
+    with the limits of levels and the number of rows that stay. A key whose number no longer falls
+    is settled; a key without rows or without an accepted series is gone.
+    """
+    settled, columns = [], rows.columns
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_before"))
+    for n in range(1, cfg.rounds[stage] + 1):
+        judged = cut_lineage(_judged(rows, keys, ids, cfg, stage))
+        limits = _band(judged, keys, cfg)
+        left = attach(judged, limits, keys).where(F.col("locked") | holds(F.col("wse").between(F.col("_lo"), F.col("_hi")) & F.col("alive")))
+        state = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_after"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        done = (F.col("_after") >= F.col("_before")) | F.lit(n == cfg.rounds[stage])
+        state = cut_lineage(state.join(counts, keys).withColumn("_done", done).drop("_before"))
+
+        def of(part: DataFrame, judged: DataFrame = judged) -> DataFrame:
+            stays = F.col("locked") | holds(F.col("wse").between(F.col("_lo"), F.col("_hi")) & F.col("alive"))
+            return attach(judged, part, keys, "inner").where(stays).select(*columns)
+
+        settled.append(of(state.where("_done")).withColumn("n_round", F.lit(n)))
+        moving = state.where("NOT _done")
+        if n == cfg.rounds[stage] or moving.isEmpty():
             break
-    out = finished[0]
-    for part in finished[1:]:
+        rows, counts = of(moving), moving.select(*keys, F.col("_after").alias("_before"))
+    out = settled[0]
+    for part in settled[1:]:
         out = out.unionByName(part)
-    return out
+    out = cut_lineage(out)
+    return out.join(_series_ok(out, keys, cfg), keys, "left_semi")
 
 
 def adaptive_filter(df: DataFrame, keys, t: str = "date", order=("row_no",), cfg: Config | None = None,
@@ -163,14 +200,17 @@ def adaptive_filter(df: DataFrame, keys, t: str = "date", order=("row_no",), cfg
                                   F.lit("heuristic baseline").alias("status"))
         return start.select(*keys, *ids, "day", "wse"), status
 
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > cfg.group_rows).select(*keys)
-    if large.isEmpty():
-        result, codes = _grouped(rows, keys, ids, cfg)
-    else:
-        result, codes = _grouped(rows.join(large, keys, "left_anti"), keys, ids, cfg)
-        big, big_codes = _distributed(rows.join(large, keys, "left_semi"), keys, ids, cfg)
-        result, codes = result.unionByName(big), codes.unionByName(big_codes)
+    one = cut_lineage(_settle(start.withColumn("locked", F.lit(False)), keys, ids, cfg, 0))
+    codes = one.groupBy(*keys).agg(F.max("n_round").alias("n_round1")).withColumn("n_round2", F.lit(-2))
+    result = one
+    if cfg.second_round:
+        codes = cut_lineage(codes.drop("n_round2"))
+        extra = rows.where("good").join(codes.select(*keys), keys, "left_semi").join(one.select(*keys, *ids), [*keys, *ids], "left_anti")
+        both = one.drop("n_round").withColumn("locked", F.lit(True)).unionByName(extra.withColumn("locked", F.lit(False)))
+        result = cut_lineage(_settle(both, keys, ids, cfg, 1))
+        second = result.groupBy(*keys).agg(F.max("n_round").alias("n_round2"))
+        codes = codes.join(second, keys, "left").withColumn("n_round2", F.coalesce("n_round2", F.lit(-1)))
+    result = result.select(*keys, *ids, "day", "wse")
     last = F.col("n_round2") if cfg.second_round else F.col("n_round1")
     status = (attempted.join(codes, keys, "left")
               .withColumn("n_round1", F.when(F.col("n_level") == 0, -9).otherwise(F.coalesce("n_round1", F.lit(-1))))
@@ -180,45 +220,6 @@ def adaptive_filter(df: DataFrame, keys, t: str = "date", order=("row_no",), cfg
     return result, status
 
 
-def _grouped(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """All rounds of a key in one task; keys here have at most ``cfg.group_rows`` rows."""
-    need = rows.select(*keys, *ids, "day", F.datediff("day", F.lit("1970-01-01")).alias("n"), "wse", "area_total", "pass_id",
-                       "ice_clim_f", "passes", "base_ok", "good")
-    out = T.StructType([*[f for f in need.schema.fields if f.name in (*keys, *ids, "day", "wse")],
-                        T.StructField("kept", T.BooleanType()), T.StructField("n_round1", T.IntegerType()),
-                        T.StructField("n_round2", T.IntegerType())])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", *ids], kind="stable")
-        kept, one, two = filter_series(frame, cfg)
-        # The first row always travels along, as the carrier of the codes.
-        show = kept.copy()
-        show[0] = True
-        return frame.loc[show, [*keys, *ids, "day", "wse"]].assign(kept=kept[show], n_round1=one, n_round2=two)
-
-    marked = cut_lineage(spread_groups(need, keys).groupBy(*keys).applyInPandas(run, out))
-    codes = marked.groupBy(*keys).agg(F.max("n_round1").alias("n_round1"), F.max("n_round2").alias("n_round2"))
-    return marked.where("kept").select(*keys, *ids, "day", "wse"), codes
-
-
-def _distributed(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """The same rounds as Spark steps over all keys at once."""
-    start = rows if cfg.full_data else rows.where("passes")
-    one = _iterate(start, keys, lambda r: _first_round(r, keys, ids, cfg), cfg.rounds[0], "n_round1")
-    one = cut_lineage(one.join(_series_ok(one, keys, cfg), keys, "left_semi"))
-    codes = one.groupBy(*keys).agg(F.max("n_round1").alias("n_round1")).withColumn("n_round2", F.lit(-2))
-    if not cfg.second_round:
-        return one.select(*keys, *ids, "day", "wse"), codes
-    locked = one.drop("n_round1").withColumn("locked", F.lit(True))
-    extra = (rows.where("good").join(codes.select(*keys), keys, "left_semi")
-             .join(one.select(*keys, *ids), [*keys, *ids], "left_anti").withColumn("locked", F.lit(False)))
-    two = _iterate(locked.unionByName(extra), keys, lambda r: _second_round(r, keys, ids, cfg), cfg.rounds[1], "n_round2")
-    two = cut_lineage(two.join(_series_ok(two, keys, cfg), keys, "left_semi"))
-    codes2 = two.groupBy(*keys).agg(F.max("n_round2").alias("n_round2"))
-    codes = codes.drop("n_round2").join(codes2, keys, "left").withColumn("n_round2", F.coalesce("n_round2", F.lit(-1)))
-    return two.select(*keys, *ids, "day", "wse"), codes
-
-
 def with_adaptive_flag(df: DataFrame, keys, t: str = "date", order=("row_no",), start: str = "2023-07-21",
                        least: int = 5, cfg: Config | None = None) -> DataFrame:
     """The table with ``adaptive_filter``: 0 for accepted rows on or after ``start``, else 1."""

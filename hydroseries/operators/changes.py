@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroseries.functions.keyed import day, known, names
@@ -35,20 +35,57 @@ def sample_windows(ts: DataFrame, keys, t, lengths: Sequence[int] = LENGTHS, n:
     return rows.select(*keys, "length", "sample", "first_day", "offset")
 
 
-def window_ranges(ts: DataFrame, windows: DataFrame, keys, t, truth: str, level: str, seen_level: str, seen_storage: str) -> DataFrame:
-    """Ranges inside each window; fewer than two values count as no change; empty windows are left out.
+_PARTS = ("truth", "level", "seen_level", "seen_storage")
 
-    Rows are reduced to days first.  Days meet windows by equality on a time bucket as
-    long as the window, so only neighbouring days are paired with a window.
-    """
-    keys = names(keys)
+
+def _by_day(ts: DataFrame, keys: list[str], t, truth: str, level: str, seen_level: str, seen_storage: str) -> DataFrame:
+    """One row per key and day: number of seen values, and number and limits of each kind of value."""
     seen = known(seen_storage)
     parts = {"truth": (truth, known(truth)), "level": (level, known(level)), "seen_level": (seen_level, seen & known(seen_level)),
              "seen_storage": (seen_storage, seen)}
-    daily = ts.groupBy(*keys, day(t).alias("_day")).agg(
+    return ts.groupBy(*keys, day(t).alias("_day")).agg(
         F.count_if(seen).alias("_seen"),
         *[f(F.when(ok, F.col(c))).alias(f"_{side}_{n}") for n, (c, ok) in parts.items() for side, f in (("lo", F.min), ("hi", F.max))],
         *[F.count_if(ok).alias(f"_n_{n}") for n, (c, ok) in parts.items()])
+
+
+def all_window_ranges(ts: DataFrame, keys, t, truth: str, level: str, seen_level: str, seen_storage: str, lengths: Sequence[int] = LENGTHS) -> DataFrame:
+    """``window_ranges`` of every window: each length from each calendar day on that leaves room for it.
+
+    Windows slide over the days of a key, which are sorted once; no window is paired with its
+    days. ``sample`` is the offset.
+    """
+    keys = names(keys)
+    days = _by_day(ts, keys, t, truth, level, seen_level, seen_storage).where("_day IS NOT NULL")
+    key = Window.partitionBy(*keys)
+    days = days.select("*", F.lead("_day").over(key.orderBy("_day")).alias("_next"), F.min("_day").over(key).alias("_first"), F.max("_day").over(key).alias("_last"))
+    # A day without rows is a start too.
+    i = F.explode(F.sequence(F.lit(0), F.coalesce(F.datediff("_next", "_day"), F.lit(1)) - F.lit(1)))
+    values = ["_seen", *[f"_{x}_{n}" for n in _PARTS for x in ("lo", "hi", "n")]]
+    days = days.withColumn("_i", i).select(*keys, (F.datediff("_day", "_first") + F.col("_i")).alias("offset"), F.datediff("_last", "_first").alias("_span"),
+                                           (F.col("_i") == 0).cast("int").alias("_real"), *[F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in values])
+    found = []
+    for length in lengths:
+        w = key.orderBy("offset").rangeBetween(0, length - 1)
+
+        def reach(n: str, w=w) -> Column:
+            return F.when(F.sum(f"_n_{n}").over(w) >= 2, F.max(f"_hi_{n}").over(w) - F.min(f"_lo_{n}").over(w)).otherwise(F.lit(0.0))
+        n_seen = F.sum("_seen").over(w)
+        found.append(F.struct(F.lit(length).alias("length"), F.max("_real").over(w).alias("_any"), reach("truth").alias("storage_range"), reach("level").alias("wse_range"), n_seen.alias("n_seen"),
+                              F.when(n_seen >= 2, reach("seen_level")).otherwise(0.0).alias("seen_wse_range"), F.when(n_seen >= 2, reach("seen_storage")).otherwise(0.0).alias("seen_storage_range")))
+    rows = days.select(*keys, "offset", "_span", F.array(*found).alias("_w")).select(*keys, "offset", "_span", F.explode("_w").alias("_w")).select(*keys, "offset", "_span", "_w.*")
+    rows = rows.where((F.col("_any") == 1) & (F.col("_span") > F.col("length")) & (F.col("offset") + F.col("length") <= F.col("_span")))
+    return rows.select(*keys, "length", F.col("offset").alias("sample"), "offset", "storage_range", "wse_range", "n_seen", "seen_wse_range", "seen_storage_range")
+
+
+def window_ranges(ts: DataFrame, windows: DataFrame, keys, t, truth: str, level: str, seen_level: str, seen_storage: str) -> DataFrame:
+    """Ranges inside each window; fewer than two values count as no change; empty windows are left out.
+
+    Rows are reduced to days first.  Days meet windows by equality on a time bucket as
+    long as the window, so only neighbouring days are paired with a window.
+    """
+    keys = names(keys)
+    daily = _by_day(ts, keys, t, truth, level, seen_level, seen_storage)
     placed = windows.select(*keys, "length", "sample", "first_day", "offset",
                             F.explode(F.array(F.floor(F.col("offset") / F.col("length")), F.floor(F.col("offset") / F.col("length")) + 1)).alias("_bucket"))
     plan = windows.select(*keys, "length", "first_day").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.functions.keyed import day, holds, known, names
+from hydroseries.functions.keyed import attach, day, holds, known, names
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys, t, right_t, value, tol: int = 3, how: str = "left",
@@ -41,15 +41,21 @@ def exclude(df: DataFrame, ids: DataFrame, keys) -> DataFrame:
     return df.join(ids.select(*names(keys)).distinct(), names(keys), "left_anti")
 
 
-def exclude_by_substring(df: DataFrame, ids: DataFrame, key: str, id_col: str, alphabet: str = r"[^0-9A-Za-z]+") -> DataFrame:
-    """Drop rows whose ``key`` text carries a listed id as one of its parts.
+def exclude_by_substring(df: DataFrame, ids: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Drop rows whose ``key`` text holds a listed id anywhere, as ``contains`` would find it.
 
-    The text is cut at separators so that the test is an equality join on the parts.
+    Every distinct text is cut into its substrings of the lengths that ids have, so that the test
+    is an equality join; it costs one row for each place of a text and length of an id. Rows
+    without a text stay.
     """
-    parts = (df.select(key).distinct()
-             .select(key, F.explode(F.split(F.col(key), alphabet)).alias("_part")))
-    listed = parts.join(ids.select(F.col(id_col).cast("string").alias("_part")).distinct(), "_part", "left_semi")
-    return df.join(listed.select(key).distinct(), key, "left_anti")
+    listed = ids.select(F.col(id_col).cast("string").alias("_id")).where("_id IS NOT NULL").distinct()
+    lengths = listed.agg(F.collect_set(F.length("_id")).alias("_lengths"))
+    texts = attach(df.select(F.col(key).alias("_text")).where("_text IS NOT NULL").distinct(), lengths, None)
+    at = F.length("_text")
+    cut = F.flatten(F.transform("_lengths", lambda n: F.when(n <= at, F.transform(F.sequence(F.lit(1), at - n + F.lit(1)), lambda i: F.substring(F.col("_text"), i, n)))
+                                .otherwise(F.array().cast("array<string>"))))
+    found = texts.select("_text", F.explode(F.array_distinct(cut)).alias("_part")).join(listed, F.col("_part") == F.col("_id"), "left_semi")
+    return df.join(found.select("_text").distinct(), F.col(key) == F.col("_text"), "left_anti")
 
 
 def with_size(df: DataFrame, mapping: DataFrame, keys, area, limit: float = 1.0) -> DataFrame:

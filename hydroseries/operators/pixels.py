@@ -63,11 +63,22 @@ def ndwi_mean(images: DataFrame, image=IMAGE) -> DataFrame:
     return images.where("clear_mask").groupBy(*image).agg(F.avg(ndwi()).alias("ndwi_mean"))
 
 
-def otsu(images: DataFrame, image=IMAGE, width: float = 10) -> DataFrame:
-    """Threshold that separates the two index classes best, from the histogram of clear pixels."""
+def otsu(images: DataFrame, image=IMAGE, width: float = 2, most: int = 255) -> DataFrame:
+    """Threshold that separates the two index classes best, from the histogram of clear pixels.
+
+    Buckets are ``width`` wide; an image whose values need more than ``most`` of them gets
+    neighbours merged in pairs until they suffice, so its width is doubled as often as needed.
+    """
     image = names(image)
     rows = images.where("clear_mask").select(*image, ndwi().alias("_v")).where("_v IS NOT NULL")
-    bins = rows.groupBy(*image, F.floor(F.col("_v") / width).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
+    fine = rows.groupBy(*image, F.floor(F.col("_v") / width).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
+    one = Window.partitionBy(*image)
+
+    def at(x: Column, k: Column) -> Column:
+        return F.floor(x / F.pow(F.lit(2.0), k))
+    ends = fine.select("*", F.min("_bin").over(one).alias("_a"), F.max("_bin").over(one).alias("_z"))
+    times = F.get(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: at(F.col("_z"), k) - at(F.col("_a"), k) < most), F.lit(0))
+    bins = ends.groupBy(*image, at(F.col("_bin"), times).alias("_bin")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     ordered = Window.partitionBy(*image).orderBy("_bin")
     upto, whole = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     b = bins.select(*image, (F.col("_s") / F.col("_n")).alias("_mean"), F.sum("_n").over(upto).alias("an"), F.sum("_s").over(upto).alias("asum"),
@@ -85,11 +96,12 @@ def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
     Works on a histogram of 200 fixed bins per image.  On each side the level is the
     first bin whose count is nearest to one tenth of the way from the count at the
     threshold up to the peak; places are counted from the peak (land) and from the
-    threshold (water).
+    threshold (water). An image whose threshold leaves no bin on one side keeps its row without
+    levels.
     """
     image = names(image)
-    thr = otsu(images, image).select(*image, (F.round(F.col("threshold") / 10) * 10).alias("threshold"))
-    thr = thr.withColumn("k", ((F.col("threshold") + 1000) / 10).cast("int")).where("k >= 1 AND k < 198")
+    every = otsu(images, image).select(*image, (F.round(F.col("threshold") / 10) * 10).alias("threshold"))
+    thr = every.withColumn("k", ((F.col("threshold") + 1000) / 10).cast("int")).where("k >= 1 AND k < 198")
     inside = images.select(*image, ndwi().alias("_v")).where("_v >= -1000 AND _v <= 1000")
     bins = inside.groupBy(*image, F.least(F.floor((F.col("_v") + 1000) / 10), F.lit(199)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     grid = thr.select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).join(bins, [*image, "b"], "left")
@@ -110,8 +122,9 @@ def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
                                    F.first(start).alias("_start"), F.min(near_land).alias("_nl"), F.min(near_water).alias("_nw"))
     li = F.col("_nl.b") - F.col("_start") + F.col("_peak")
     wi = F.col("_nw.b") - 1
-    return (out.where("_nl IS NOT NULL AND _nw IS NOT NULL")
-            .select(*image, "threshold", (li * 10 - 1000 + 5).cast("double").alias("land_level"), (wi * 10 - 1000 + 5).cast("double").alias("water_level")))
+    levels = out.where("_nl IS NOT NULL AND _nw IS NOT NULL").select(
+        *image, (li * 10 - 1000 + 5).cast("double").alias("land_level"), (wi * 10 - 1000 + 5).cast("double").alias("water_level"))
+    return every.join(levels, image, "left")
 
 
 def water_fraction(images: DataFrame, image=IMAGE, cuts=(25, 50, 60, 75)) -> DataFrame:

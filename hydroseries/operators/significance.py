@@ -51,12 +51,16 @@ def signed_ranks(df: DataFrame, ids, category: str, pairs: Sequence[tuple[str, s
 
 
 def wilcoxon(df: DataFrame, ids, category: str, pairs: Sequence[tuple[str, str]] | None, metrics: Sequence[str], categories: Sequence[str] = (),
-             complete: bool = True, alpha: float = 0.05) -> DataFrame:
-    """Two-sided signed-rank tests with stars and the Bonferroni bound; pairs without any difference are left out."""
+             complete: bool = True, alpha: float = 0.05, exact_up_to: int = 50) -> DataFrame:
+    """Two-sided signed-rank tests with stars and the Bonferroni bound; pairs without any difference are left out.
+
+    Up to ``exact_up_to`` differences without ties or zeros the distribution of rank sums is
+    counted out; otherwise it is the normal one, corrected for ties.
+    """
     pairs = list(pairs or combinations(sorted(categories), 2))
     sums = signed_ranks(df, ids, category, pairs, metrics, complete)
-    exact = (F.col("n_used") <= 50) & (F.col("tie_term") == 0) & (F.col("n_zero") == 0)
-    out = sums.withColumn("p_value", signed_rank_p("w", F.col("n_used").cast("int"), "tie_term", exact))
+    exact = (F.col("n_used") <= exact_up_to) & (F.col("tie_term") == 0) & (F.col("n_zero") == 0)
+    out = sums.withColumn("p_value", signed_rank_p(F.col("w"), F.col("n_used"), F.col("tie_term"), exact))
     p, bound = F.col("p_value"), alpha / (len(pairs) * len(metrics))
     return out.withColumns({"significance": F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns"),
                             "bonferroni_bound": F.lit(bound), "passes_bonferroni": p < bound})

@@ -68,6 +68,35 @@ def test_quantiles_are_exact_for_a_hot_key(spark, seed):
     assert got["n"]["c"] == 7.0 and len(got) == 52
 
 
+@pytest.mark.parametrize("kind", ["narrow", "tails", "ties", "scales"])
+def test_quantiles_of_large_keys(spark, kind):
+    rng = np.random.default_rng(8)
+    n = 60_000
+    x = {"narrow": 2300 + 0.4 * rng.random(n), "tails": rng.standard_cauchy(n) ** 3, "ties": np.round(rng.normal(size=n), 1),
+         "scales": np.concatenate([rng.random(n // 2) * 1e-200, rng.random(n // 2) * 1e200 - 5e199])}[kind]
+    df = spark.createDataFrame([("hot", float(v)) for v in x] + [("cold", 1.0), ("cold", 4.0)], "k string, v double").repartition(8)
+    probs = {"a": 0.0, "b": 0.0001, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.99995, "g": 1.0}
+    got = {r["k"]: r for r in osx.quantiles(df, "k", "v", probs).collect()}
+    np.testing.assert_allclose([got["hot"][c] for c in probs], np.quantile(x, list(probs.values())), rtol=1e-9)
+    assert got["cold"]["d"] == 2.5
+    whole = osx.quantiles(df.where("k = 'hot'"), None, "v", probs).first()
+    assert [whole[c] for c in probs] == [got["hot"][c] for c in probs]
+
+
+def test_few_rows_of_a_large_key_are_ordered_together(spark):
+    rng = np.random.default_rng(9)
+    x = 2300 + 0.4 * rng.random(60_000)
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    near = osx._intervals(df.select(F.col("v").alias("_v")), [], [0.5]).first()["_near"][0]
+    assert ((x >= near["low"]) & (x <= near["high"])).sum() < 100
+    rows = osx.ordered_totals(df, None, "v")
+    assert rows.count() == len(np.unique(x))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_a" in plan and "windowspecdefinition(0" not in plan
+    order = rows.orderBy("value").toPandas()
+    assert (order["n_before"].to_numpy() == np.arange(len(order))).all()
+
+
 def test_running_totals_follow_value_order(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=2000) * 10.0 ** rng.integers(-3, 4, 2000), 3)
@@ -163,8 +192,17 @@ def test_missing_height_gives_no_shares_or_zero_shares(spark):
 
 
 def test_signed_rank_known_values(spark):
-    assert sp.pearson_tail(0.632, 10) == pytest.approx(0.05, abs=5e-4)
-    assert sp.signed_rank_tail(8.0, 10, 0.0, True) == pytest.approx(0.048828125)
+    tails = spark.createDataFrame([(0.632, 10.0, 8.0, True), (0.0, 3.0, 0.0, True), (0.999, 5000.0, 1e6, False), (-0.01, 100_000.0, 2.4e9, False), (1.0, 9.0, 22.5, True), (0.5, 2.0, 1.0, True)], "r double, n double, w double, e boolean")
+    got = tails.select(sp.pearson_p(F.col("r"), F.col("n")), sp.signed_rank_p(F.col("w"), F.col("n"), F.lit(0.0), F.col("e")), sp.log_gamma(F.col("n"))).collect()
+    assert got[0][0] == pytest.approx(0.05, abs=5e-4) and got[0][1] == pytest.approx(0.048828125)
+    assert [r[0] for r in got[1:3]] == pytest.approx([1.0, 0.0]) and got[3][0] == pytest.approx(math.erfc(math.sqrt(99_998 / (1 - 1e-4)) / 100 / math.sqrt(2)), rel=1e-3) and got[4][0] == 0 and got[5][0] == 1
+    assert got[1][1] == 0.25 and got[4][1] == 1.0 and got[5][1] == 1.0
+    z = abs(2.4e9 - 1e5 * (1e5 + 1) / 4) / math.sqrt(1e5 * (1e5 + 1) * (2e5 + 1) / 12)
+    assert got[3][1] == pytest.approx(math.erfc(z), rel=1e-9, abs=1e-300)
+    assert [r[2] for r in got] == pytest.approx([math.lgamma(x) for x in (10, 3, 5000, 100_000, 9, 2)], rel=1e-12)
+    x = [0.0, 0.1, 1.0, 2.999, 3.0, 5.0, 12.0]
+    erfc = spark.createDataFrame([(v,) for v in x], "x double").select(sp.erfc(F.col("x"))).collect()
+    np.testing.assert_allclose([r[0] for r in erfc], [math.erfc(v) for v in x], rtol=1e-9)
     rows = [(i, c, float(v)) for i, (a, b) in enumerate([(125, 110), (115, 122), (130, 125), (140, 120), (140, 140), (115, 124), (140, 123), (125, 137), (140, 135), (135, 145)])
             for c, v in (("a", a), ("b", b))]
     out = sg.wilcoxon(spark.createDataFrame(rows, "id int, cat string, v double"), "id", "cat", [("a", "b")], ["v"]).first()
