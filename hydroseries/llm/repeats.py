@@ -15,8 +15,8 @@ Spark then settles the names in two rounds over all texts:
 1. anchors: which of them stand in more than one text (a sum over all texts, no pairs);
 2. windows with such an anchor, as 96-bit hashes of their words: the smallest document of each.
 
-Texts with equal words are one text in round 2, and every copy but the first loses all words at
-once. A text is shuffled once, to meet its shared anchors; texts without any are not looked at
+Texts with equal words are one text in both rounds, and every copy but the first loses all words
+at once. A text is shuffled once, to meet its shared anchors; texts without any are not looked at
 again. A common anchor or window is summed before it is shuffled and split by the skew join after.
 """
 
@@ -267,14 +267,13 @@ def _found(docs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFram
     read = Store(docs).keep(read_texts(docs))
     long = read.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     texts = long.groupBy("words_sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    each = text_anchors(docs, size, rounds)
+    # The first text of each class alone. All joins of texts are by doc_id, so that one shuffle serves all of what follows.
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(texts.select("first_id").distinct(), F.col("doc_id") == F.col("first_id"), "left_semi")
+    each = text_anchors(whole, size, rounds)
     shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low")).where("n > 1").select(F.col("anchor").alias("common"), "low")
     # A bit above the anchor says that a smaller document has it too: only then can a window be covered.
     marked = F.col("anchor") + F.when(F.col("doc") > F.col("low"), F.lit(int(ANCHOR) + 1)).otherwise(F.lit(0))
     own = each.join(shared, F.col("anchor") == F.col("common")).groupBy("doc").agg(F.collect_set(marked).alias("shared"))
-    own = own.join(texts.select("first_id").distinct(), F.col("doc") == F.col("first_id"), "left_semi")
-    # Both joins of the texts are by doc_id, so that one shuffle of them serves all of what follows.
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = whole.join(own, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "shared")
     lowest = _windows(near, size, rounds).groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "low")
     late = _windows(near, size, rounds, later=True).join(lowest, (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")) & (F.col("doc_id") > F.col("low")))
