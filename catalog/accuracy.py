@@ -245,3 +245,9 @@ FINAL SELECT 'click' AS label, count(*) AS n, avg(abs_error) AS mean_error, stdd
 WHERE distance > 0 AND distance <= 50 AND abs_error <= 100""", "label", "n", "mean_error std_error median_error p95_error"))
 def overall(spark, d):
     return rounded(acc.error_overall(_tagged(spark, d), "label"))
+
+
+@query("f19_error_ratio", shape(with_(OBS, "sd AS (SELECT flag, stddev_pop(swot_wse_abs_error) AS s FROM obs GROUP BY flag)", "ra AS (SELECT (SELECT s FROM sd WHERE flag = 'N') / (SELECT s FROM sd WHERE flag = 'A') AS ratio)") + """
+FINAL SELECT 'A' AS base, 'N' AS compared, ratio, (ratio - 1) * 100 AS percent_higher FROM ra""", "base compared", "", "ratio percent_higher"))
+def error_ratio(spark, d):
+    return rounded(acc.error_ratio(acc.error_overall(obs(spark, d), "flag", "swot_wse_abs_error"), "flag", "A", "N"))

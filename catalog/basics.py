@@ -51,18 +51,20 @@ _filtered("b20_reasonable", lambda: f.reasonable("swot_wse_anomaly", 20), "abs(s
 _filtered("b22_version", lambda: f.version("PID0"), "swot_crid = 'PID0'")
 
 
-@query("b12_filter_counts", shape(with_(OBS) + f"""
-FINAL SELECT * FROM (
- SELECT 'era' AS filter, count(*) FILTER (WHERE date > DATE '{ERA}') AS n FROM obs UNION ALL
- SELECT 'quality_flag', count(*) FILTER (WHERE swot_quality_f = 0) FROM obs UNION ALL
- SELECT 'simple', count(*) FILTER (WHERE {_SIMPLE}) FROM obs UNION ALL
- SELECT 'no_partial', count(*) FILTER (WHERE swot_partial_f = 0) FROM obs UNION ALL
- SELECT 'no_ice', count(*) FILTER (WHERE ice = 0) FROM obs)""", "filter", "n"))
+_ALL = f"date > DATE '{ERA}' AND {_SIMPLE} AND swot_partial_f = 0"
+_FILTERS = {
+    "era": f"date > DATE '{ERA}'", "quality_flag": "swot_quality_f = 0", "simple": _SIMPLE,
+    "strict": "swot_xovr_cal_q < 2 AND swot_wse_u < 0.05 AND swot_wse_std < 0.2 AND abs(swot_wse_anomaly) < 25 AND swot_partial_f = 0",
+    "relaxed": "swot_xovr_cal_q < 2 AND swot_wse_u < 0.2 AND swot_wse_std < 0.5 AND abs(swot_wse_anomaly) < 100 AND swot_partial_f = 0",
+    "no_partial": "swot_partial_f = 0", "coverage_99": "s2_coverage > 99 AND ice = 0", "coverage_95": "s2_coverage > 95 AND ice = 0", "no_ice": "ice = 0",
+    "wse_analysis": _ALL, "wsa_analysis": _ALL, "elevation_area_analysis": _ALL, "idealized": "swot_wse_abs_error < 0.283", "adaptive": "adaptive_filter = 0",
+}
+
+
+@query("b12_filter_counts", shape(with_(OBS) + "\nFINAL SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS filter, '{f._CATALOGUE[n]}' AS description, count(*) FILTER (WHERE {e}) AS n FROM obs" for n, e in _FILTERS.items()) + ")", "filter description", "n"))
 def _catalogue(spark, d):
-    masks = {"era": f.era(start=ERA), "quality_flag": f.quality_flag(), "simple": f.simple(),
-             "no_partial": f.no_partial(), "no_ice": f.no_ice()}
-    counts = obs(spark, d).agg(*[F.count_if(m).alias(n) for n, m in masks.items()])
-    return rounded(counts.unpivot([], list(masks), "filter", "n"))
+    return rounded(f.filter_counts(obs(spark, d), ERA))
 
 
 @query("b15_prepare", shape(with_(OBS) + """

@@ -8,6 +8,7 @@ from catalog.common import EV, OBS, ORDER, obs, query, rounded, shape, with_
 from catalog.timing import interp_sql
 from hydroseries.operators import curves as cv
 from hydroseries.operators import storage as st
+from hydroseries.sources import daily as src
 
 START, LIMIT = "1996-06-01", 0.04
 MASK_SQL = {"opt": f"date > DATE '{START}' AND swot_wse_abs_error < {LIMIT}", "filt": f"date > DATE '{START}' AND adaptive_filter = 0"}
@@ -55,7 +56,7 @@ def corr_test(spark, d):
 _STUDENT = """v AS (SELECT *, n - 2 AS nu, atan(abs(t_stat) / sqrt(n - 2)) AS th FROM (SELECT *, CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t_stat FROM c)),
 s AS (SELECT *, list_sum(list_transform(range(CASE WHEN nu % 2 = 0 THEN nu // 2 ELSE greatest(nu // 2, 0) END), lambda j: pow(cos(th), 2 * j + nu % 2)
  * exp(CASE WHEN nu % 2 = 0 THEN lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) ELSE lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) END))) AS powers FROM v),
-p AS (SELECT lake, n, r, t_stat, CASE WHEN n = 2 THEN 1 WHEN abs(r) >= 1 THEN 0 WHEN nu % 2 = 0 THEN 1 - sin(th) * powers
+p AS (SELECT *, CASE WHEN n = 2 THEN 1 WHEN abs(r) >= 1 THEN 0 WHEN nu % 2 = 0 THEN 1 - sin(th) * powers
  ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(powers, 0)) END AS p_value FROM s)"""
 
 
@@ -86,6 +87,34 @@ def inverse(spark, d):
     return rounded(st.inverse_curve(st.matched_areas(obs(spark, d), "lake", "date", ORDER, mask()), "lake"), 4)
 
 
+# What could be computed per lake, and the totals over all lakes.
+_LABELS = ("swot_opt", "swot_filt", "s2_opt", "s2_filt")
+_REPORT = ["c AS (SELECT 'swot_' || filter AS label, lake, n, r, model_type FROM fa UNION ALL SELECT 's2_' || filter, lake, n, r, model_type FROM fb)", _STUDENT,
+           "inp AS (SELECT lake, count(*) AS n_rows, count(swot_wse) AS n_level, count(*) FILTER (WHERE adaptive_filter = 0) AS n_accepted, count(s2_wsa) AS n_image, count(storage) AS n_gauge FROM obs GROUP BY lake)",
+           "wide AS (SELECT lake, " + ", ".join(f"max(model_type) FILTER (WHERE label = '{x}') AS {x}_model, bool_or(coalesce(p_value < 0.05, FALSE)) FILTER (WHERE label = '{x}') AS {x}_significant" for x in _LABELS) + " FROM p GROUP BY lake)",
+           "rep AS (SELECT * FROM inp LEFT JOIN wide USING (lake))"]
+
+
+def _report(spark, d):
+    o = obs(spark, d)
+    parts = {"swot_": st.swot_curve(o, "lake", mask()), "s2_": st.s2_curve(st.matched_areas(o, "lake", "date", ORDER, mask()), "lake")}
+    a, b = (cv.with_significance(c).select("lake", F.concat(F.lit(k), F.col("filter")).alias("label"), "model_type", "significant") for k, c in parts.items())
+    return src.processing_summary(o, a.unionByName(b), "lake")
+
+
+@query("a8_processing_report", shape(with_(OBS, LONG, SWOT_FIT, MATCH, S2_FIT, *_REPORT) + "\nFINAL SELECT * FROM rep", "lake " + " ".join(f"{x}_model {x}_significant" for x in _LABELS),
+                                     "n_rows n_level n_accepted n_image n_gauge"))
+def processing_report(spark, d):
+    return rounded(_report(spark, d))
+
+
+@query("a8_summary_totals", shape(with_(OBS, LONG, SWOT_FIT, MATCH, S2_FIT, *_REPORT) + "\nFINAL SELECT count(*) AS n_lakes, count(*) FILTER (WHERE n_accepted > 0) AS n_with_accepted, "
+                                  + ", ".join(f"count(*) FILTER (WHERE {x}_significant) AS n_{x}_significant" for x in _LABELS) + " FROM rep",
+                                  "", "n_lakes n_with_accepted " + " ".join(f"n_{x}_significant" for x in _LABELS)))
+def summary_totals(spark, d):
+    return rounded(src.summary_totals(_report(spark, d)))
+
+
 @query("g6_predict", shape(with_(OBS, fit_sql("fx", "SELECT * FROM obs", "swot_wse_anomaly", "swot_wsa", "lake")) + """
 FINAL SELECT o.lake, count(*) AS n, avg(c0 + c1 * swot_wse_anomaly + c2 * swot_wse_anomaly * swot_wse_anomaly - swot_wsa) AS bias,
  stddev_pop(c0 + c1 * swot_wse_anomaly + c2 * swot_wse_anomaly * swot_wse_anomaly) AS spread FROM obs o JOIN fx ON o.lake = fx.lake GROUP BY o.lake""", "lake", "n", "bias spread", 5))

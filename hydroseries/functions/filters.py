@@ -115,12 +115,20 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(_CATALOGUE.items()), "filter string, description string")
 
 
-def catalogue_map() -> dict[str, Column]:
+def catalogue_map(start: str = ERA_START) -> dict[str, Column]:
     """The filters themselves, by catalogue name and on the standard columns."""
     return {
-        "era": era(), "quality_flag": quality_flag(), "simple": simple(), "strict": strict(),
+        "era": era(start=start), "quality_flag": quality_flag(), "simple": simple(), "strict": strict(),
         "relaxed": relaxed(), "no_partial": no_partial(), "coverage_99": coverage(99),
-        "coverage_95": coverage(95), "no_ice": no_ice(), "wse_analysis": wse_analysis(),
-        "wsa_analysis": wsa_analysis(), "elevation_area_analysis": elevation_area_analysis(),
+        "coverage_95": coverage(95), "no_ice": no_ice(), "wse_analysis": wse_analysis(start=start),
+        "wsa_analysis": wsa_analysis(start=start), "elevation_area_analysis": elevation_area_analysis(start=start),
         "idealized": idealized(), "adaptive": adaptive(),
     }
+
+
+def filter_counts(df: DataFrame, start: str = ERA_START) -> DataFrame:
+    """(filter, description, n): how many rows each filter of the catalogue keeps, in one pass."""
+    masks = catalogue_map(start)
+    counts = df.agg(*[F.count_if(m).alias(n) for n, m in masks.items()]).unpivot([], list(masks), "filter", "n")
+    text = F.create_map(*[F.lit(x) for pair in _CATALOGUE.items() for x in pair])
+    return counts.select("filter", F.element_at(text, F.col("filter")).alias("description"), "n")

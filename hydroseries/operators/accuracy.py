@@ -400,3 +400,10 @@ def error_by_distance(df: DataFrame, label: str, distance: str = "distance", err
 def error_overall(df: DataFrame, label: str, error: str = "abs_error") -> DataFrame:
     out = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error"), F.stddev_pop(error).alias("std_error"))
     return with_quantiles(out, df, [label], error, {"median_error": 0.5, "p95_error": 0.95})
+
+
+def error_ratio(overall: DataFrame, label: str, first: str, second: str) -> DataFrame:
+    """Spread of one label's errors against another's: ``ratio`` and how many percent it is higher; NULL where a label is missing or has no spread."""
+    spread = {n: F.max(F.when(F.col(label) == n, F.col("std_error"))) for n in (first, second)}
+    ratio = spread[second] / F.nullif(spread[first], F.lit(0.0))
+    return overall.agg(F.lit(first).alias("base"), F.lit(second).alias("compared"), ratio.alias("ratio"), ((ratio - 1) * 100).alias("percent_higher"))
