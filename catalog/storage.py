@@ -97,9 +97,7 @@ _REPORT = ["c AS (SELECT 'swot_' || filter AS label, lake, n, r, model_type FROM
 
 def _report(spark, d):
     o = obs(spark, d)
-    parts = {"swot_": st.swot_curve(o, "lake", mask()), "s2_": st.s2_curve(st.matched_areas(o, "lake", "date", ORDER, mask()), "lake")}
-    a, b = (cv.with_significance(c).select("lake", F.concat(F.lit(k), F.col("filter")).alias("label"), "model_type", "significant") for k, c in parts.items())
-    return src.processing_summary(o, a.unionByName(b), "lake")
+    return src.processing_summary(o, st.all_curves(o, "lake", "date", ORDER, mask()), "lake")
 
 
 @query("a8_processing_report", shape(with_(OBS, LONG, SWOT_FIT, MATCH, S2_FIT, *_REPORT) + "\nFINAL SELECT * FROM rep", "lake " + " ".join(f"{x}_model {x}_significant" for x in _LABELS),
@@ -208,7 +206,8 @@ def gauge(spark, d):
                                          F.avg("storage_anomaly_filt").alias("storage_anomaly_filt")), 4)
 
 
-@query("g14_variable_area")
+@query("g14_variable_area", shape(with_(OBS, LONG, SWOT_FIT, MATCH, S2_FIT, *_REPORT) + """
+FINAL SELECT lake, CASE WHEN coalesce(swot_opt_significant, FALSE) OR coalesce(s2_opt_significant, FALSE) THEN 0 ELSE 1 END AS variable_area FROM rep""", "lake", "variable_area"))
 def variable(spark, d):
     o = obs(spark, d)
     return rounded(st.variable_area(o, st.all_curves(o, "lake", "date", ORDER, mask()), "lake"))
