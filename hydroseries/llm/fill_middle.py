@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydroseries.llm.blocks import text_blocks
 
@@ -115,8 +116,8 @@ def build_index(docs: DataFrame, text: str = "text", name: str = "fim_index") ->
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, kind)], [*rows.schema.names, name])
 
     rows = docs.select(*[docs[c] for c in kept])
-    schema = rows.schema.add(name, f"struct<{INDEX}>")
-    return rows.mapInArrow(run, schema)
+    kind = T.StructType.fromDDL(INDEX)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
 
 
 def arrange(parts: tuple[bytes, bytes, bytes], form: str) -> bytes:

@@ -204,9 +204,10 @@ def _edges(parts: DataFrame) -> DataFrame:
               .agg(F.min("conv_id").alias("conv_id"), F.max("tokens").alias("tokens"), *sums, F.max(F.when(F.col("ends_sha256") != EMPTY, F.col("ends_sha256"))).alias("ends_sha256")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
-        if not len(rows):
+        read = [f for f in frames if len(f)]
+        if not read:
             return
+        rows = pd.concat(read, ignore_index=True)
         conv, below, up = {}, None, []
         for _, level in sorted(rows.groupby("depth"), key=lambda x: -x[0]):
             level = level.set_index("key")

@@ -238,7 +238,8 @@ def test_trie_of_copies_and_nothing(spark):
 
 def test_repeated_turns_have_one_order(spark):
     rows = [(1, 1, "b", "x"), (1, 1, "a", "y"), (1, 1, "a", "y"), (1, None, "z", "w")]
-    one, two = (sorted(map(tuple, trie_of(spark, r).collect()), key=repr) for r in (rows, rows[::-1]))
+    tables = [spark.createDataFrame([(*x, "p", "k", 1, 2) for x in r], CONVS) for r in (rows, rows[::-1])]
+    one, two = (sorted(map(tuple, prefix_trie.trie(prefix_trie.ordered_turns(t)).collect()), key=repr) for t in tables)
     assert one == two and len(one) == 5
 
 
