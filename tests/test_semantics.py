@@ -12,11 +12,13 @@ from hydroseries.functions import orderstats as osx
 from hydroseries.functions import special as sp
 from hydroseries.functions.units import with_pct_errors
 from hydroseries.operators import accuracy as acc
+from hydroseries.operators import changes as ch
 from hydroseries.operators import curves as cv
 from hydroseries.operators import gaps as gp
 from hydroseries.operators import interpolation as ip
 from hydroseries.operators import matching as mt
 from hydroseries.operators import outliers as ol
+from hydroseries.operators import pixels as px
 from hydroseries.operators import significance as sg
 from hydroseries.operators import storage as st
 from hydroseries.operators import uncertainty as un
@@ -219,3 +221,40 @@ def test_result_does_not_depend_on_shuffle_partitions(spark):
         seen.add(tuple(sorted((r["k"], r["q"]) for r in osx.quantiles(df, "k", "v", {"q": 0.3}).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert len(seen) == 1
+
+
+def test_sliding_windows_equal_the_paired_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, day(int(n)), float(v) if i % 7 else None, float(v) * 2, float(v) if i % 3 == 0 else None) for k, span in (("a", 90), ("b", 12), ("c", 2))
+            for i, (n, v) in enumerate(zip(rng.integers(0, span, 60), rng.normal(size=60)))]
+    df = spark.createDataFrame(rows, "k string, date date, v double, h double, s double")
+    lengths = (3, 7, 30)
+    want = ch.window_ranges(df, ch.sample_windows(df, "k", "date", lengths, None), "k", "date", "v", "h", "h", "s")
+    got = ch.all_window_ranges(df, "k", "date", "v", "h", "h", "s", lengths)
+    key = lambda t: sorted(tuple(r[c] for c in sorted(want.columns)) for r in t.collect())
+    assert key(got) == key(want) and got.count() > 100
+
+
+def test_exclusion_finds_ids_anywhere_in_a_text(spark):
+    texts = ["site_7420_daily.csv", "742", "x7421y", "ab", "", None, "é742é"]
+    ids = ["742", "420_", "b", None, "longer than any of the texts here"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "file string, _id int")
+    left = mt.exclude_by_substring(df, spark.createDataFrame([(i,) for i in ids], "id string"), "file", "id").collect()
+    assert {r["_id"] for r in left} == {i for i, t in enumerate(texts) if t is None or not any(x in t for x in ids if x)}
+    assert mt.exclude_by_substring(df, spark.createDataFrame([], "id string"), "file", "id").count() == len(texts)
+
+
+def test_buckets_are_merged_in_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(a), float(2000 - a), True) for k, low, high in (("narrow", 900, 1000), ("wide", 0, 2000)) for a in rng.uniform(low, high, 800)]
+    df = spark.createDataFrame(rows, "k string, b3 double, b8 double, clear_mask boolean")
+    got = {r["k"]: r["threshold"] for r in px.otsu(df, ("k",)).collect()}
+    for k in ("narrow", "wide"):
+        v = np.array([a - 1000 for kk, a, _, _ in rows if kk == k])
+        width = 2
+        while np.floor(v.max() / width) - np.floor(v.min() / width) >= 255:
+            width *= 2
+        bins = np.floor(v / width)
+        best = max((((v[bins <= b] - v.mean()).sum() ** 2 / (bins <= b).sum() + ((v[bins > b] - v.mean()).sum() ** 2 / (bins > b).sum() if (bins > b).any() else 0), v[bins == b].mean()) for b in np.unique(bins)))
+        assert got[k] == pytest.approx(best[1])
+    assert width == 8
