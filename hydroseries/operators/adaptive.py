@@ -118,6 +118,7 @@ def _judged(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage
     base = rows.where("base_ok") if stage == 0 else rows
     found = rows.withColumn("n", F.datediff("day", F.lit("1970-01-01"))).join(_lines(base, keys, ids, cfg), [*keys, "n"])
     found = found.withColumn("residual", nearest_residual(F.col("curves"), F.col("wse"))).select(*rows.columns, "residual", "reach")
+    found = cut_lineage(found)
     stats = found.groupBy(*keys).agg(F.avg("residual").alias("_m"), F.stddev_pop("residual").alias("_s"), F.sum(F.abs("residual")).alias("_a"))
     scale = F.when(F.col("_a") == 0, F.lit(1.0)).otherwise(F.nullif(F.col("_s"), F.lit(0.0)))
     near = holds(F.abs((F.col("residual") - F.col("_m")) / scale) < cfg.z[stage])
@@ -133,19 +134,21 @@ def _judged(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage
 def _band(judged: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
     """(key, _lo, _hi): the fence of levels, cut to a band around the median of what is inside the fence."""
     alive = judged.where("alive").select(*keys, "wse")
-    q = quantiles(alive, keys, "wse", {"_q1": 0.1, "_q9": 0.9})
+    q = cut_lineage(quantiles(alive, keys, "wse", {"_q1": 0.1, "_q9": 0.9}))
     width = F.col("_q9") - F.col("_q1")
     fence = q.select(*keys, (F.col("_q1") - 3 * width).alias("_f0"), (F.col("_q9") + 3 * width).alias("_f1"))
     inside = attach(alive, fence, keys).where(F.col("wse").between(F.col("_f0"), F.col("_f1"))).select(*keys, "wse")
-    return fence.join(quantiles(inside, keys, "wse", {"_mid": 0.5}), keys).select(
+    return fence.join(cut_lineage(quantiles(inside, keys, "wse", {"_mid": 0.5})), keys).select(
         *keys, F.greatest("_f0", F.col("_mid") - cfg.band).alias("_lo"), F.least("_f1", F.col("_mid") + cfg.band).alias("_hi"))
 
 
 def _settle(rows: DataFrame, keys: list[str], ids: list[str], cfg: Config, stage: int) -> DataFrame:
     """Rounds over the frontier of keys that still shrink; rows of settled keys with ``n_round``.
 
-    A round writes two tables: the judged rows of the frontier, and one row for each of its keys
-    with the limits of levels and the number of rows that stay. A key whose number no longer falls
+    A round writes the rows of the frontier with their residuals and once they are judged, and small
+    tables with one row for each of its keys: limits of levels and the number of rows that stay.
+    Short plans between them cost less than one long plan that is planned anew after each of its
+    stages. A key whose number no longer falls
     is settled; a key without rows or without an accepted series is gone.
     """
     settled, columns = [], rows.columns

@@ -6,7 +6,7 @@ import oracle
 import pytest
 
 SF = "sf0.001"
-SOME = ("entry_sensor_skill b3_simple a7_quarantine c1_tukey c4_trim_pct c5_c6_c7_thresholds c9_ice_outliers_by_pass c12_savgol c12_savgol_sets c13_running_median c22_adaptive_filter "
+SOME = ("entry_sensor_skill b3_simple a7_quarantine c1_tukey c4_trim_pct c5_c6_c7_thresholds c9_ice_outliers_by_pass c12_savgol c12_savgol_sets c13_running_median "
         "c20_drop_in_gaps d1_nearest d5_interpolate_proximity d10_daily_pair e2_gaps_without_ice e6_resolution_by_threshold f2_nse_variance "
         "f9_threshold_for_std f18_spearman g2_fit_curve g10_storage_discrete h2_window_ranges j5_pooled_km3 k2_k4_signed_ranks l3_weighted_stats "
         "m8_otsu n2_ecdf_area a8_processing_report a8_summary_totals b12_filter_counts d12_exclude_by_file_name f19_error_ratio g1_p_value h2_all_windows "
