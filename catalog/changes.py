@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import EV, OBS, ev, obs, query, rounded, shape, with_
+from hydroseries.functions.keyed import cut_lineage
 from hydroseries.operators import changes as ch
 from hydroseries.operators import tables as tb
 
@@ -107,5 +108,6 @@ FINAL SELECT wp.length, count(*) AS n, avg(percent_storage) AS mean, any_value(q
  count(*) FILTER (WHERE percent_storage NOT BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS n_outliers FROM wp JOIN q ON wp.length = q.length GROUP BY wp.length""",
     "", "length n n_outliers", "mean q25 median q75 whisker_low whisker_high"))
 def boxes(spark, d):
-    rows = _ranges(spark, d).withColumn("percent_storage", ch.percent_observed("seen_storage_range", "storage_range"))
+    rows = _ranges(spark, d).select("length", ch.percent_observed("seen_storage_range", "storage_range").alias("percent_storage"))
+    rows = cut_lineage(rows)  # read several times
     return rounded(tb.box_stats(rows, "length", "percent_storage"))

@@ -89,9 +89,10 @@ def window_ranges(ts: DataFrame, windows: DataFrame, keys, t, truth: str, level:
     placed = windows.select(*keys, "length", "sample", "first_day", "offset",
                             F.explode(F.array(F.floor(F.col("offset") / F.col("length")), F.floor(F.col("offset") / F.col("length")) + 1)).alias("_bucket"))
     plan = windows.select(*keys, "length", "first_day").distinct()
-    days = daily.join(plan, keys).withColumn("_at", F.datediff("_day", "first_day"))
+    days = daily.hint("merge").join(plan.hint("merge"), keys).withColumn("_at", F.datediff("_day", "first_day"))
     days = days.withColumn("_bucket", F.floor(F.col("_at") / F.col("length"))).drop("first_day")
-    pairs = placed.join(days, [*keys, "length", "_bucket"]).where(
+    # The plan sees the size of the rows before they were expanded and would send all windows to every executor.
+    pairs = placed.hint("merge").join(days, [*keys, "length", "_bucket"]).where(
         (F.col("_at") >= F.col("offset")) & (F.col("_at") < F.col("offset") + F.col("length")))
 
     def reach(n: str) -> Column:
