@@ -13,6 +13,10 @@ from hydroseries.functions.orderstats import ordered_totals, quantiles
 from hydroseries.functions.special import signed_rank_p
 
 
+#: Decimals of a difference. Averages carry rounding in their last places, which must not part ties.
+DIGITS = 10
+
+
 def paired(df: DataFrame, ids, category: str, categories: Sequence[str], value: str) -> DataFrame:
     """One row per id with a column per category; ids lacking a category are dropped."""
     wide = df.groupBy(*names(ids)).pivot(category, list(categories)).agg(F.avg(value))
@@ -37,7 +41,7 @@ def signed_ranks(df: DataFrame, ids, category: str, pairs: Sequence[tuple[str, s
             va, vb = F.col(f"{m}|{a}"), F.col(f"{m}|{b}")
             ok = whole if complete else known(va) & known(vb)
             items.append(F.when(ok, F.struct(F.lit(m).alias("metric"), F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), va.alias("va"), vb.alias("vb"))))
-    rows = wide.select(F.explode(F.array_compact(F.array(*items))).alias("_i")).select("_i.*").withColumn("d", F.col("va") - F.col("vb"))
+    rows = wide.select(F.explode(F.array_compact(F.array(*items))).alias("_i")).select("_i.*").withColumn("d", F.round(F.col("va") - F.col("vb"), DIGITS))
     by = ["metric", "group_a", "group_b"]
     base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("d") == 0).alias("n_zero"))
     for v, out in (("va", "median_a"), ("vb", "median_b")):
