@@ -14,7 +14,7 @@ from hydroseries.functions.special import signed_rank_p
 
 
 #: Decimals of a difference. Averages carry rounding in their last places, which must not part ties.
-DIGITS = 10
+DIGITS = 8
 
 
 def paired(df: DataFrame, ids, category: str, categories: Sequence[str], value: str) -> DataFrame:
