@@ -68,6 +68,7 @@ def otsu(images: DataFrame, image=IMAGE, width: float = 2, most: int = 255) -> D
 
     Buckets are ``width`` wide; an image whose values need more than ``most`` of them gets
     neighbours merged in pairs until they suffice, so its width is doubled as often as needed.
+    Cuts whose scores agree to three decimals are one tie, which goes to the larger value.
     """
     image = names(image)
     rows = images.where("clear_mask").select(*image, ndwi().alias("_v")).where("_v IS NOT NULL")
@@ -87,7 +88,7 @@ def otsu(images: DataFrame, image=IMAGE, width: float = 2, most: int = 255) -> D
     a_dev = F.col("asum") / F.col("an") - mean
     b_dev = F.when(rest > 0, (F.col("tsum") - F.col("asum")) / rest - mean).otherwise(0.0)
     between = F.col("an") * a_dev * a_dev + rest * b_dev * b_dev
-    return b.groupBy(*image).agg(F.max_by("_mean", F.struct(between, F.col("_mean"))).alias("threshold"))
+    return b.groupBy(*image).agg(F.max_by("_mean", F.struct(F.round(between, 3), F.col("_mean"))).alias("threshold"))
 
 
 def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
