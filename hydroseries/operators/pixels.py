@@ -91,11 +91,22 @@ def otsu(images: DataFrame, image=IMAGE, width: float = 2, most: int = 255) -> D
     return b.groupBy(*image).agg(F.max_by("_mean", F.struct(F.round(between, 3), F.col("_mean"))).alias("threshold"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: inside a lambda a plain column would be worked out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_near(side: Column, top: Column, at: Column) -> Column:
+    """Place, from 0, of the first count nearest to one tenth of the way from ``at`` up to ``top``."""
+    gaps = F.transform(side, lambda c: F.abs(c - (top - (top - at) * 0.9)))
+    return _let(gaps, lambda g: F.array_position(g, F.array_min(g)).cast("int") - 1)
+
+
 def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
     """Index values that stand for no and full water, from the peaks on both sides of the threshold.
 
-    Works on a histogram of 200 fixed bins per image.  On each side the level is the
-    first bin whose count is nearest to one tenth of the way from the count at the
+    Works on a histogram of 200 fixed bins per image, held as one array of its row.  On each side
+    the level is the first bin whose count is nearest to one tenth of the way from the count at the
     threshold up to the peak; places are counted from the peak (land) and from the
     threshold (water). An image whose threshold leaves no bin on one side keeps its row without
     levels.
@@ -105,25 +116,23 @@ def water_levels(images: DataFrame, image=IMAGE) -> DataFrame:
     thr = every.withColumn("k", ((F.col("threshold") + 1000) / 10).cast("int")).where("k >= 1 AND k < 198")
     inside = images.select(*image, ndwi().alias("_v")).where("_v >= -1000 AND _v <= 1000")
     bins = inside.groupBy(*image, F.least(F.floor((F.col("_v") + 1000) / 10), F.lit(199)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    grid = thr.select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).join(bins, [*image, "b"], "left")
-    grid = grid.withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
-    one = Window.partitionBy(*image)
-    k, n, b = F.col("k"), F.col("n"), F.col("b")
-    land, water = b < k, (b > k) & (b <= 198)
-
-    def peak(side: Column) -> Column:
-        return F.min(F.when(side, F.struct((-n).alias("m"), b.alias("b")))).over(one)
-    rows = grid.select("*", peak(land).alias("_l"), peak(water).alias("_w"), F.max(F.when(b == k, n)).over(one).alias("_at"))
-    low = lambda top: top - (top - F.col("_at")) * 0.9
-    start = F.greatest(F.col("_l.b") - 1, F.lit(1))
-    end = F.col("_w.b") + 1
-    near_land = F.when(land & (b >= start) & (b <= k - 2), F.struct(F.abs(n - low(-F.col("_l.m"))).alias("d"), b.alias("b")))
-    near_water = F.when(water & (b < end), F.struct(F.abs(n - low(-F.col("_w.m"))).alias("d"), b.alias("b")))
-    out = rows.groupBy(*image).agg(F.first("threshold").alias("threshold"), F.first("k").alias("k"), F.first(F.col("_l.b")).alias("_peak"),
-                                   F.first(start).alias("_start"), F.min(near_land).alias("_nl"), F.min(near_water).alias("_nw"))
-    li = F.col("_nl.b") - F.col("_start") + F.col("_peak")
-    wi = F.col("_nw.b") - 1
-    levels = out.where("_nl IS NOT NULL AND _nw IS NOT NULL").select(
+    seen = bins.groupBy(*image).agg(F.map_from_entries(F.collect_list(F.struct("b", F.col("n").cast("double")))).alias("_seen"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.coalesce(F.try_element_at(F.col("_seen"), i), F.lit(0.0)))
+    # Bin b is element b + 1; the land lies below bin k, the water above it up to bin 198.
+    k = F.col("k")
+    near = _let(counts, lambda h: _let(
+        F.struct(F.get(h, k).alias("at"), F.slice(h, F.lit(1), k).alias("land"), F.slice(h, k + 2, 198 - k).alias("water")), lambda p: _let(
+            F.struct(F.array_max(p["land"]).alias("land_top"), F.array_max(p["water"]).alias("water_top")), lambda top: _let(
+                F.struct((F.array_position(p["land"], top["land_top"]).cast("int") - 1).alias("peak"), F.array_position(p["water"], top["water_top"]).cast("int").alias("far")), lambda m: F.struct(
+                    m["peak"].alias("peak"),
+                    _first_near(F.slice(p["land"], F.greatest(m["peak"] - 1, F.lit(1)) + 1, F.greatest(k - 1 - F.greatest(m["peak"] - 1, F.lit(1)), F.lit(0))),
+                                top["land_top"], p["at"]).alias("land"),
+                    _first_near(F.slice(p["water"], F.lit(1), m["far"]), top["water_top"], p["at"]).alias("water"))))))
+    rows = thr.join(seen, image, "left").select(*image, "k", near.alias("_m")).select(
+        *image, "k", F.col("_m.peak").alias("_peak"), F.col("_m.land").alias("_nl"), F.col("_m.water").alias("_nw"))
+    li = F.col("_nl") + F.col("_peak")
+    wi = F.col("_nw") + k
+    levels = rows.where("_nl IS NOT NULL AND _nw IS NOT NULL").select(
         *image, (li * 10 - 1000 + 5).cast("double").alias("land_level"), (wi * 10 - 1000 + 5).cast("double").alias("water_level"))
     return every.join(levels, image, "left")
 
@@ -145,8 +154,13 @@ def water_area(fractions: DataFrame, image=IMAGE, cuts=(25, 50)) -> DataFrame:
 
 
 def water_series(images: DataFrame, image=IMAGE, min_coverage: float = 5) -> DataFrame:
-    good = covered(images, min_coverage, image)
-    return water_area(water_fraction(good, image), image).join(coverage(images, image), list(image))
+    """Areas of images with enough clear pixels.
+
+    An image's areas depend on its own pixels alone, so whole images are left out at the end, where
+    each is one row, instead of joining all pixels with their image's coverage first.
+    """
+    enough = coverage(images, image).where(F.col("coverage") > min_coverage)
+    return water_area(water_fraction(images, image), image).join(enough, list(image))
 
 
 def ice_fraction(images: DataFrame, image=IMAGE, threshold: float = 975) -> DataFrame:
