@@ -368,26 +368,27 @@ _CYC = ["prep2 AS (SELECT lake, swot_wse AS wse, swot_cycle_id AS cycle_id, swot
 
 
 def _cycle(spark, d):
-    o = obs(spark, d).select("lake", F.col("swot_wse").alias("wse"), F.col("swot_cycle_id").alias("cycle_id"), F.col("swot_pass_id").alias("pass_id"),
+    return obs(spark, d).select("lake", F.col("swot_wse").alias("wse"), F.col("swot_cycle_id").alias("cycle_id"), F.col("swot_pass_id").alias("pass_id"),
                              F.col("swot_wsa").alias("area_total"), F.col("date").alias("day"), *ORDER)
-    return cy.cycle_adjust(o, "lake")
 
 
 @query("c25_cycle_means", shape(with_(OBS, *_CYC) + "\nFINAL SELECT lake, cycle_id, lv AS cycle_level, mid AS mid_day FROM cm", "lake", "cycle_id", "cycle_level mid_day"))
 def cycle_means(spark, d):
-    return rounded(_cycle(spark, d)[0])
+    return rounded(cy.cycle_means(_cycle(spark, d), "lake").drop("cycle_std"))
 
 
 @query("c25_best_pass", shape(with_(OBS, *_CYC) + """
 FINAL SELECT p.lake, count(*) AS n, avg(wse) AS mean_level FROM prep2 p JOIN ver USING (lake) JOIN bp ON bp.lake = p.lake
 WHERE NOT adjust OR p.pass_id = bp.pass_id GROUP BY p.lake""", "lake", "n", "mean_level"))
 def best_pass(spark, d):
-    return rounded(_cycle(spark, d)[1].groupBy("lake").agg(F.count(F.lit(1)).alias("n"), F.avg("wse").alias("mean_level")))
+    o = _cycle(spark, d)
+    return rounded(cy.best_pass(o, cy.cycle_verdict(o, "lake")[1], "lake").groupBy("lake").agg(F.count(F.lit(1)).alias("n"), F.avg("wse").alias("mean_level")))
 
 
 @query("c25_pass_bias", shape(with_(OBS, *_CYC) + """
 FINAL SELECT lake, count(*) AS n, avg(wa) AS mean_level, stddev_samp(wa) AS spread FROM adj JOIN fq USING (lake)
 WHERE NOT adjust OR wa BETWEEN ql - 3 * (qh - ql) AND qh + 3 * (qh - ql) GROUP BY lake""", "lake", "n", "mean_level spread"))
 def pass_bias(spark, d):
-    return rounded(_cycle(spark, d)[2].groupBy("lake").agg(F.count(F.lit(1)).alias("n"), F.avg("wse_adjusted").alias("mean_level"),
+    o = _cycle(spark, d)
+    return rounded(cy.without_pass_bias(o, cy.cycle_verdict(o, "lake")[1], "lake").groupBy("lake").agg(F.count(F.lit(1)).alias("n"), F.avg("wse_adjusted").alias("mean_level"),
                                                            F.stddev_samp("wse_adjusted").alias("spread")))

@@ -16,25 +16,25 @@ def check_quantiles(lo: float, hi: float) -> None:
         raise ValueError("quantiles must satisfy 0 <= lo < hi <= 1")
 
 
-def tukey_bounds(df: DataFrame, keys, value: str, mult: float = 3, lo: float = 0.25, hi: float = 0.75) -> DataFrame:
-    """Fence per key: quantiles widened by ``mult`` times their distance."""
+def tukey_bounds(df: DataFrame, keys, value: str, mult: float = 3, lo: float = 0.25, hi: float = 0.75, largest: int | None = None) -> DataFrame:
+    """Fence per key: quantiles widened by ``mult`` times their distance; ``largest`` as in ``quantiles``."""
     check_quantiles(lo, hi)
     keys = names(keys)
     if (lo, hi) == (0, 1):
         q = df.where(known(value)).groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     else:
-        q = quantiles(df, keys, value, {"_lo": lo, "_hi": hi})
+        q = quantiles(df, keys, value, {"_lo": lo, "_hi": hi}, largest=largest)
     width = F.col("_hi") - F.col("_lo")
     return q.select(*keys, (F.col("_lo") - mult * width).alias("lower_bound"), (F.col("_hi") + mult * width).alias("upper_bound"))
 
 
 def tukey(df: DataFrame, keys, value: str, mult: float = 3, lo: float = 0.25, hi: float = 0.75,
-          side: str = "both", action: str = "drop", keep_bounds: bool = False) -> DataFrame:
+          side: str = "both", action: str = "drop", keep_bounds: bool = False, largest: int | None = None) -> DataFrame:
     """Drop (or blank) values outside the fence; rows without a value are dropped too."""
     if side not in ("both", "low", "high") or action not in ("drop", "null"):
         raise ValueError("side is both, low or high; action is drop or null")
     keys = names(keys)
-    joined = attach(df, tukey_bounds(df, keys, value, mult, lo, hi), keys)
+    joined = attach(df, tukey_bounds(df, keys, value, mult, lo, hi, largest), keys)
     inside = F.lit(True)
     if side in ("both", "low"):
         inside = inside & holds(F.col(value) >= F.col("lower_bound"))
