@@ -6,6 +6,10 @@ that similar documents meet and others part. Small nodes are compared exhaustive
 large node two leaders are compared with every member, which joins groups of copies without
 all their pairs; the members go on to deeper nodes, and a node stops as soon as all its members
 are known to hang together. Every link is confirmed on the full sets.
+
+A shingle that no other class holds is in no intersection. A class with more such shingles than a
+link leaves room for has no links: it is left out, first by a fixed quarter of all shingles, then, in
+large nodes, by all shingles of their members. Both bounds are exact.
 """
 
 from __future__ import annotations
@@ -25,6 +29,14 @@ from hydroseries.llm.store import Store
 #: Tokens by which similarity is estimated and deeper nodes branch, as bytes of so many numbers.
 POSITIONS = 128
 BYTES = [f"s{j}" for j in range(POSITIONS // 8)]
+#: Tokens of one bit by which members of large nodes are estimated once more, and by how much the estimate
+#: may fall below the limit: four standard deviations at a similarity of 0.85, 3.7 at 0.8.
+FINE, FINE_SLACK = 1024, 0.07
+BITS = [f"t{j}" for j in range(FINE // 64)]
+#: Members of a node that are compared with as many others in one group.
+BLOCK = 512
+#: Slots of the filter that keeps most texts without a candidate out of the shuffle.
+SLOTS = 1 << 23
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -53,9 +65,9 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.
 
 
 def _scan(words: int, roots: int, seed: int):
-    """Minwise tokens of each set: ``roots`` of 32 bits for the first level, then POSITIONS of 8 bits, eight to a number."""
+    """Minwise tokens of each set: ``roots`` of 32 bits for the first level, then POSITIONS of 8 bits, eight to a number; and 32 bits of a quarter of its shingles."""
     multipliers = np.random.default_rng(seed).integers(1, 2**63, roots + POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    names = ["doc_id", "n_shingles", "f1", "f2", "roots", *BYTES]
+    names = ["doc_id", "n_shingles", "f1", "f2", "roots", "some", *BYTES]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
@@ -73,19 +85,57 @@ def _scan(words: int, roots: int, seed: int):
                     token[full, k] = np.minimum.reduceat(((flat * m) >> np.uint64(32)).astype(np.uint32), at)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * roots), pa.array(token[:, :roots].copy().view(np.int32).ravel()))
             packed = mix(token[:, roots:].astype(np.uint64)).astype(np.uint8).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists,
+            low = [x[:np.searchsorted(x, np.uint64(1 << 62))] for x in sets]  # sets are sorted
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int32)
+            some = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(low) >> np.uint64(30)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, some,
                                               *[pa.array(packed[:, j].copy()) for j in range(len(BYTES))]], names)
-    return scan, "doc_id long, n_shingles long, f1 long, f2 long, roots array<int>, " + ", ".join(f"{b} long" for b in BYTES)
+    return scan, "doc_id long, n_shingles long, f1 long, f2 long, roots array<int>, some array<int>, " + ", ".join(f"{b} long" for b in BYTES)
+
 
+def _full_sets(words: int, seed: int):
+    """Sets of (rep, text, crowd), and FINE tokens of one bit, 64 to a number, of those in a crowd (others: null)."""
+    multipliers = np.random.default_rng(seed + 1).integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def _full_sets(words: int):
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
             found = document_sets(data, offsets, words)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))],
-                                             ["rep", "shingles"])
-    return sets
+            size = np.array([len(x) for x in found], np.int64)
+            ends, flat = np.concatenate(([0], np.cumsum(size))), np.concatenate(found)
+            crowd = rows.column(2).to_numpy(zero_copy_only=False).astype(bool) & (size > 0)
+            token = np.zeros((len(found), FINE), np.uint8)
+            if crowd.any():
+                here = np.concatenate([x for x, c in zip(found, crowd, strict=True) if c])
+                at = np.concatenate(([0], np.cumsum(size[crowd])[:-1])).astype(np.int64)
+                for k, m in enumerate(multipliers):
+                    token[crowd, k] = mix(np.minimum.reduceat(here * m, at)).astype(np.uint8) & 1
+            packed = np.packbits(token, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64))), rows.column(2),
+                                              *[pa.array(packed[:, j].copy(), mask=~crowd) for j in range(len(BITS))]], ["rep", "shingles", "crowd", *BITS])
+    return sets, "rep long, shingles array<long>, crowd boolean, " + ", ".join(f"{b} long" for b in BITS)
+
+
+def _lonely(held: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name): how many of the rows (by, shingle) have a shingle that no other ``by`` has."""
+    alone = held.groupBy("shingle").agg(F.min(by).alias(by), F.max(by).alias("__other")).where(F.col(by) == F.col("__other"))
+    return alone.groupBy(by).agg(F.count(F.lit(1)).alias(name))
+
+
+def _may_link(percent: int, other: str = "") -> Column:
+    """Whether lonely shingles leave room for a link: with any class, or with that of the columns with suffix ``other``."""
+    size, alone, size_2, alone_2 = F.col("n_shingles"), F.col("lonely"), F.col("n_shingles" + other), F.col("lonely" + other)
+    both = F.least(size - alone, size_2 - alone_2)
+    union = F.greatest(size + alone_2, size_2 + alone) if other else size
+    return F.lit(100) * both >= F.lit(percent) * union
+
+
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, crowd) of ``wanted`` (doc_id, crowd); a bitmap of at most SLOTS / 64 rows keeps other texts from being shuffled."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    place = lambda df: df.withColumn("__slot", slot).withColumn("__word", F.floor(F.col("__slot") / 64).cast("int")).withColumn("__bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("__slot", F.lit(64)).cast("int")))
+    filled = place(wanted).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    texts = place(docs.select("doc_id", "text")).join(F.broadcast(filled), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0)
+    return texts.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "crowd")
 
 
 def _agreement(other: str) -> Column:
@@ -99,6 +149,53 @@ def _agreement(other: str) -> Column:
     return F.lit(POSITIONS) - differ
 
 
+def _compared(few: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidates (a, b) between components of each node, every pair of blocks of BLOCK members in a group of its own.
+
+    ``few``: node, size, rep, comp, homes, n_shingles, lonely and BITS. A pair that shares several
+    nodes is compared in the first of them only. With ``best`` each member has only its most alike one.
+    """
+    count_ = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = few.withColumn("mine", F.pmod(F.xxhash64("rep"), count_).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), count_ - 1)))
+    dealt = dealt.select("node", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "rep", "comp", "homes", "n_shingles", "lonely", *BITS)
+
+    def compare(table: pa.Table) -> pa.Table:
+        whole = table.combine_chunks()
+        get = lambda name: whole[name].to_numpy()
+        rep, comp, mine, size, alone = (get(c) for c in ("rep", "comp", "mine", "n_shingles", "lonely"))
+        node, i, j = (whole[c][0].as_py() for c in ("node", "i", "j"))
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        near = comp[left][:, None] != comp[right][None, :]
+        if i == j:
+            near &= np.triu(np.ones(near.shape, bool), 1)
+        homes = whole["homes"].combine_chunks() if isinstance(whole["homes"], pa.ChunkedArray) else whole["homes"]
+        homes = homes.combine_chunks() if isinstance(homes, pa.ChunkedArray) else homes
+        home, owner = homes.flatten().to_numpy(), np.repeat(np.arange(len(rep)), homes.value_lengths().to_numpy())
+        before = home < node
+        _, where, times = np.unique(home[before], return_inverse=True, return_counts=True)
+        if (times > 1).any():
+            column, shared = np.cumsum(times > 1) - 1, (times > 1)[where]
+            at = np.zeros((len(rep), int((times > 1).sum())), np.float32)
+            at[owner[before][shared], column[where[shared]]] = 1
+            near &= at[left] @ at[right].T == 0
+        both = np.minimum((size - alone)[left][:, None], (size - alone)[right][None, :])
+        union = np.maximum(size[left][:, None] + alone[right][None, :], size[right][None, :] + alone[left][:, None])
+        near &= 100 * both >= percent * union
+        x, y = np.nonzero(near)
+        x, y, differ = left[x], right[y], np.zeros(len(x), np.uint16)
+        for b in BITS:
+            bits = get(b).view(np.uint64)  # of a negative number, the bits of its absolute value would be counted
+            differ += np.bitwise_count(bits[x] ^ bits[y])
+        alike = np.flatnonzero(1 - differ * (2 / FINE) >= percent / 100 - FINE_SLACK)
+        if best:
+            alike = alike[np.argsort(differ[alike], kind="stable")]
+            alike = alike[np.unique(np.concatenate([np.unique(side[alike], return_index=True)[1] for side in (x, y)]))]
+        one, two = rep[x[alike]], rep[y[alike]]
+        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    return dealt.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _byte(position: Column) -> Column:
     """The 8-bit token at a position from 0."""
     number = F.get(F.array(*BYTES), F.floor(position / 8).cast("int"))
@@ -131,16 +228,17 @@ def components(links: DataFrame, store: Store, start: DataFrame | None = None) -
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 24,
-                    middle: int = 256, depth: int = 3, slack: float = 0.12, seed: int = 7) -> DataFrame:
+                    middle: int = 4096, depth: int = 3, slack: float = 0.12, seed: int = 7) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked where ``100 * intersection >= percent * union`` of their shingle
     sets. A pair of similarity s meets in one tree with probability 1 - (1 - s)^tokens a level;
-    Nodes of up to ``small`` members are compared exhaustively at the first level, of up to ``middle``
-    below it, where the leaders' links have joined most copies. ``trees`` independent trees are built (at 0.85 and the defaults a pair that parts in small
+    Nodes of up to ``small`` members are compared exhaustively at the first level. What is left of larger
+    ones, once the leaders' links have joined most copies and members without a link are out, is compared
+    exhaustively, in blocks, where it has up to ``middle`` members, and goes down otherwise. ``trees`` independent trees are built (at 0.85 and the defaults a pair that parts in small
     nodes of the first level is missed once in four million). ``slack`` is how far the estimate
     from POSITIONS tokens may fall below the limit (nearly four standard deviations) before a
-    pair is not confirmed on full sets. Nodes that ``depth`` levels have not parted are compared
+    pair is not confirmed on full sets; between blocks the FINE tokens of one bit, with FINE_SLACK, do that. Nodes that ``depth`` levels have not parted are compared
     exhaustively between their components.
 
     A null or wordless text has an empty set and no links. A row without doc_id takes no part:
@@ -151,17 +249,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     scan, schema = _scan(words, trees * tokens, seed)
     rows = store.keep(docs.select("doc_id", "text").mapInArrow(scan, schema))
     same, carried = ["n_shingles", "f1", "f2"], ["roots", *BYTES]
-    classes = store.keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(
-        F.min("doc_id").alias("rep"), F.first(F.struct(*carried)).alias("of")).select(*same, "rep", "of.*"))
-    signed = classes.select("rep", *BYTES)
+    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    alone = _lonely(full.select("f1", F.explode("some").alias("shingle")), "f1", "lonely")
+    classes = store.keep(full.groupBy(*same).agg(
+        F.min("doc_id").alias("rep"), F.first(F.struct(*carried)).alias("of")).join(alone, "f1", "left").select(*same, "rep", "of.*", F.coalesce("lonely", F.lit(0)).alias("lonely")))
+    open_ = classes.where(_may_link(percent))
+    signed = open_.select("rep", "n_shingles", "lonely", *BYTES)
 
     def children(parents: DataFrame) -> DataFrame:
         """Every member of a node goes to one child for each of the tokens that the node chooses."""
         places = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(POSITIONS)) for j in range(tokens)]
         return parents.select("rep", F.explode(F.array(*[F.xxhash64("node", place, _byte(place)) for place in places])).alias("node"))
 
-    frontier = classes.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(k), F.get("roots", F.lit(k))) for k in range(trees * tokens)])).alias("node"))
-    links = comp = sets = tested = None
+    links = comp = sets = tested = crowd = None
+
+    def fresh(candidates: DataFrame) -> DataFrame:
+        nonlocal tested
+        pairs = store.keep(candidates.distinct() if tested is None else candidates.distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        return pairs
+
+    def confirm(pairs: DataFrame) -> None:
+        nonlocal links, comp
+        found = store.keep(pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+                           .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+                           .withColumn("both", F.size(F.array_intersect("sa", "sb")))
+                           .where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
+        links = found if links is None else links.union(found)
+        if comp is None or not found.isEmpty():
+            comp = components(links, store, comp)
+
+    frontier = open_.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(k), F.get("roots", F.lit(k))) for k in range(trees * tokens)])).alias("node"))
     for level in count(1):
         if comp is not None:
             frontier = frontier.join(comp, "rep", "left").select("rep", "node", F.coalesce("comp", "rep").alias("comp"))
@@ -172,34 +290,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
                                               F.min(drawn).alias("first"), F.max(drawn).alias("last"))
                  .where("low < high").select("node", "size", F.col("first.rep").alias("first"), F.col("last.rep").alias("last")))
         live = store.keep(frontier.join(nodes, "node").join(signed, "rep"))
-        is_small = (F.col("size") <= (small if level == 1 else middle)) if level <= depth else F.lit(True)
+        is_small = (F.col("size") <= (small if level == 1 else middle)) if level <= depth + 1 else F.lit(True)
         few, many = live.where(is_small), live.where(~is_small)
         # A pair that shares several small nodes is compared in the first of them only.
         few = few.withColumn("homes", F.collect_set("node").over(Window.partitionBy("rep")))
-        renamed = [F.col(b).alias(f"{b}_2") for b in BYTES]
-        other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), F.col("homes").alias("homes_2"), *renamed)
-        first_home = F.array_min(F.array_intersect("homes", "homes_2"))
-        close = few.join(other, "node").where((F.col("rep") < F.col("rep_2")) & (F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least) & (F.col("node") == first_home)).select(
-            F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+        told = ["n_shingles", "lonely", *BYTES]
+        renamed = [F.col(b).alias(f"{b}_2") for b in told]
+        alike = _may_link(percent, "_2") & (_agreement("_2") >= least)
+        if level == 1:
+            other = few.select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), F.col("homes").alias("homes_2"), *renamed)
+            first_home = F.array_min(F.array_intersect("homes", "homes_2"))
+            close = few.join(other, "node").where((F.col("rep") < F.col("rep_2")) & (F.col("comp") != F.col("comp_2")) & alike & (F.col("node") == first_home)).select(
+                F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+        else:
+            close = _compared(few, percent, best=True)
         lead = many.where("rep = first OR rep = last").select("node", F.col("rep").alias("rep_2"), F.col("comp").alias("comp_2"), *renamed)
-        stars = many.join(lead, "node").where((F.col("comp") != F.col("comp_2")) & (_agreement("_2") >= least)).select(
+        stars = many.join(lead, "node").where((F.col("comp") != F.col("comp_2")) & alike).select(
             F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
-        pairs = close.union(stars).distinct()
-        pairs = store.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = fresh(close.union(stars))
         if sets is None:
-            wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(many.select("rep")).distinct()
-            sets = store.keep(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_full_sets(words), "rep long, shingles array<long>"))
-        found = store.keep(pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-                           .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-                           .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-                           .where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
-        links = found if links is None else links.union(found)
-        if comp is None or not found.isEmpty():
-            comp = components(links, store, comp)
+            wanted = store.keep(pairs.select(F.col("a").alias("doc_id"), F.lit(False).alias("crowd")).union(pairs.select("b", F.lit(False))).union(many.select("rep", F.lit(True)))
+                                .groupBy("doc_id").agg(F.max("crowd").alias("crowd")))
+            sets = store.keep(_wanted_texts(docs, wanted).mapInArrow(*_full_sets(words, seed)))
+        confirm(pairs)
+        if level > 1:  # the best pairs have joined most components; what still lies apart is compared in full
+            apart = few.drop("comp").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            confirm(fresh(_compared(apart, percent, best=False)))
         if many.isEmpty():
             break
-        frontier = children(many)
+        if crowd is None:
+            held = sets.where("crowd")
+            alone = _lonely(held.select("rep", F.explode("shingles").alias("shingle")), "rep", "lonely")
+            # A doc_id that stands for several texts has several sets: its shingles are not counted as those of one.
+            one = held.groupBy("rep").agg(F.count(F.lit(1)).alias("__sets")).where("__sets = 1").join(alone, "rep").drop("__sets")
+            crowd = signed.drop("lonely").join(held.select("rep", *BITS), "rep").join(one, "rep", "left").withColumn("lonely", F.coalesce("lonely", F.lit(0)))
+            signed = store.keep(crowd.where(_may_link(percent)))
+            frontier = many.join(signed.select("rep"), "rep", "left_semi").select("rep", "node")
+        else:
+            frontier = children(many)
 
     ends = classes.select(*same, "rep").join(comp, "rep", "left").select(*same, F.coalesce("comp", "rep").alias("component_id"))
     found = rows.select("doc_id", *same).join(ends, same, "left")
