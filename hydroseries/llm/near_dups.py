@@ -202,18 +202,14 @@ def _byte(position: Column) -> Column:
     return F.call_function("shiftrightunsigned", number, F.pmod(position, F.lit(8)).cast("int") * 8).bitwiseAND(F.lit(255))
 
 
-def components(links: DataFrame, store: Store, start: DataFrame | None = None) -> DataFrame:
-    """(rep, comp): the smallest id reachable over links (a, b). ``start`` has labels found so far.
+def components(links: DataFrame, store: Store) -> DataFrame:
+    """(rep, comp): the smallest id reachable over links (a, b).
 
     Labels spread to neighbours and then jump to the label of their label, so the rounds grow
     with the logarithm of the longest chain. A label is always an id of the same component.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.select(F.col("a").alias("rep")).distinct()
-    if start is None:
-        labels = labels.withColumn("comp", F.col("rep"))
-    else:
-        labels = labels.join(start, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    labels = both.select(F.col("a").alias("rep")).distinct().withColumn("comp", F.col("rep"))
 
     def spread(labels: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("rep").alias("a"), "comp"), "a").groupBy(F.col("b").alias("rep")).agg(F.min("comp").alias("near"))
@@ -227,6 +223,20 @@ def components(links: DataFrame, store: Store, start: DataFrame | None = None) -
             return step.select("rep", "comp")
 
 
+def merged(comp: DataFrame, links: DataFrame, store: Store) -> DataFrame:
+    """``comp`` (rep, comp) with further links (a, b): these are looked at between components only, each once."""
+    own = lambda side: F.coalesce(f"comp_{side}", side)
+    sides = links
+    for side in ("a", "b"):
+        sides = sides.join(comp.select(F.col("rep").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
+    between = store.keep(sides.select(F.least(own("a"), own("b")).alias("a"), F.greatest(own("a"), own("b")).alias("b")).where("a < b").distinct())
+    if between.isEmpty():
+        return comp
+    joined = components(between, store)
+    old = comp.join(joined.select(F.col("rep").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
+    return store.keep(old.union(joined.join(comp, "rep", "left_anti").select("rep", "comp")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, tokens: int = 2, small: int = 24,
                     middle: int = 4096, depth: int = 3, slack: float = 0.12, seed: int = 7) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
@@ -261,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         places = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(POSITIONS)) for j in range(tokens)]
         return parents.select("rep", F.explode(F.array(*[F.xxhash64("node", place, _byte(place)) for place in places])).alias("node"))
 
-    links = comp = sets = tested = crowd = None
+    comp = sets = tested = crowd = None
 
     def fresh(candidates: DataFrame) -> DataFrame:
         nonlocal tested
@@ -270,14 +280,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         return pairs
 
     def confirm(pairs: DataFrame) -> None:
-        nonlocal links, comp
+        nonlocal comp
         found = store.keep(pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
                            .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
                            .withColumn("both", F.size(F.array_intersect("sa", "sb")))
                            .where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
-        links = found if links is None else links.union(found)
-        if comp is None or not found.isEmpty():
-            comp = components(links, store, comp)
+        comp = components(found, store) if comp is None else merged(comp, found, store)
 
     frontier = open_.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(k), F.get("roots", F.lit(k))) for k in range(trees * tokens)])).alias("node"))
     for level in count(1):
