@@ -19,53 +19,108 @@ from pyspark.sql import functions as F
 WIDTH, GROWTH, FIRST, SHARE = 2.0, 1.06, 0.2, 0.615
 
 
+#: Parts into which the ranks of a projection are cut; windows are widened to whole parts. Queries searched at a time.
+PARTS, TOGETHER = 128, 64
+
+
 class SortedArrays:
-    """Sorted projections of unit vectors."""
+    """Sorted projections of unit vectors.
+
+    For each projection and each of PARTS + 1 marks along it a row of bits says which vectors lie before
+    the mark. A window between two marks is then one exclusive or, and the windows of all projections
+    are added up in binary, 64 vectors at a time.
+    """
 
     def __init__(self, vectors: np.ndarray, projections: int, seed: int):
         self.vectors, self.length = vectors, np.sqrt((vectors * vectors).sum(1))
         axes = np.random.default_rng(seed).normal(size=(vectors.shape[1], projections))
-        self.axes = axes
-        places = (vectors / self.length[:, None]) @ axes
-        self.order = np.argsort(places, axis=0, kind="stable").T.copy()
-        self.places = np.take_along_axis(places.T, self.order, 1)
+        self.axes, n = axes, len(vectors)
+        places = ((vectors / self.length[:, None]) @ axes).T
+        order = np.argsort(places, axis=1, kind="stable")
+        self.places = np.take_along_axis(places, order, 1)
+        rank = np.empty((projections, n), np.int32)
+        np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[None, :], 1)
+        self.marks = np.unique(np.linspace(0, n, PARTS + 1).astype(np.int64))
+        self.before = np.zeros((projections, len(self.marks), -(-n // 64) * 8), np.uint8)
+        for k, mark in enumerate(self.marks):
+            bits = np.packbits(rank < mark, axis=1, bitorder="little")
+            self.before[:, k, :bits.shape[1]] = bits
+        self.before = self.before.view(np.uint64)
+
+    def collided(self, at: np.ndarray, half: np.ndarray, need: int) -> np.ndarray:
+        """Bits (queries x vectors) of what lies in at least ``need`` windows of ``half`` on either side of ``at``."""
+        planes: list[list[np.ndarray]] = [[] for _ in range(len(self.places).bit_length() + 1)]
+
+        def add(bits: np.ndarray, weight: int) -> None:
+            planes[weight].append(bits)
+            if len(planes[weight]) == 3:
+                x, y, z = planes[weight]
+                both = x ^ y
+                planes[weight] = [both ^ z]
+                add((x & y) | (both & z), weight + 1)
+
+        for i, places in enumerate(self.places):
+            low = np.searchsorted(self.marks, np.searchsorted(places, at[:, i] - half), "right") - 1
+            high = np.searchsorted(self.marks, np.searchsorted(places, at[:, i] + half, "right"))
+            add(self.before[i, high] ^ self.before[i, low], 0)
+        total = []
+        for weight in range(len(planes)):
+            while len(planes[weight]) == 2:
+                x, y = planes[weight]
+                planes[weight] = [x ^ y]
+                add(x & y, weight + 1)
+            total.append(planes[weight][0] if planes[weight] else np.zeros((len(at), self.before.shape[2]), np.uint64))
+        more, same = np.zeros_like(total[0]), np.full_like(total[0], 2**64 - 1)
+        for weight in reversed(range(len(total))):
+            if need >> weight & 1:
+                same &= total[weight]
+            else:
+                more |= same & total[weight]
+                same &= ~total[weight]
+        return more | same
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, cosines) of what each query verified; rows where ``own`` says so are the query itself."""
-        m, n = self.places.shape
+        out = []
+        for start in range(0, len(queries), TOGETHER):
+            out += self._search(queries[start:start + TOGETHER], own[start:start + TOGETHER], k)
+        return out
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        (m, n), number = self.places.shape, len(queries)
         need = int(np.ceil(SHARE * m))
         length = np.sqrt((queries * queries).sum(1))
         at = (queries / length[:, None]) @ self.axes
-        count = np.zeros((len(queries), n), np.uint8 if m < 256 else np.uint16)
-        low = np.stack([np.searchsorted(self.places[i], at[:, i]) for i in range(m)], 1)
-        high, found = low.copy(), [([], []) for _ in queries]
-        seen, open_, radius = np.zeros((len(queries), n), bool), np.arange(len(queries)), FIRST
-        for q in open_:
+        mine = [len(o) for o in own]
+        # Windows only grow with the step, so the first step that can have k rows is found by halving.
+        reach = np.maximum(at.max(1) - self.places[:, 0].min(), self.places[:, -1].max() - at.min(1))
+        last = np.maximum(0, np.ceil(np.log(np.maximum(2 * reach / WIDTH, FIRST) / FIRST) / np.log(GROWTH)).astype(np.int64) + 1)
+        low, high = np.zeros(number, np.int64), last.copy()
+        while (low < high).any():
+            middle = (low + high) // 2
+            found = np.bitwise_count(self.collided(at, WIDTH * FIRST * GROWTH**middle / 2, need)).sum(1)
+            enough = found >= np.minimum(k + np.array(mine), n)
+            high, low = np.where(enough, middle, high), np.where(enough, low, np.minimum(middle + 1, high))
+        step, open_ = low, np.arange(number)
+        seen = np.zeros((number, n), bool)
+        for q in range(number):
             seen[q, own[q]] = True
+        rows_, scores = [[] for _ in range(number)], [[] for _ in range(number)]
         while len(open_):
-            half = WIDTH * radius / 2
-            for i in range(m):
-                new_low = np.searchsorted(self.places[i], at[open_, i] - half)
-                new_high = np.searchsorted(self.places[i], at[open_, i] + half, "right")
-                for q, a, b in zip(open_.tolist(), new_low.tolist(), new_high.tolist(), strict=True):
-                    if a < low[q, i]:
-                        count[q, self.order[i, a:low[q, i]]] += 1
-                    if b > high[q, i]:
-                        count[q, self.order[i, high[q, i]:b]] += 1
-                low[open_, i], high[open_, i] = np.minimum(low[open_, i], new_low), np.maximum(high[open_, i], new_high)
+            radius = FIRST * GROWTH**step[open_]
+            bits = np.unpackbits(self.collided(at[open_], WIDTH * radius / 2, need).view(np.uint8), axis=1, count=n, bitorder="little").view(bool)
             left = []
-            for q in open_:
-                rows = np.flatnonzero((count[q] >= need) & ~seen[q])
+            for q, r, hit in zip(open_.tolist(), radius.tolist(), bits, strict=True):
+                rows = np.flatnonzero(hit & ~seen[q])
                 seen[q, rows] = True
-                if len(rows):
-                    found[q][0].append(rows)
-                    found[q][1].append((self.vectors[rows] * queries[q]).sum(1) / (self.length[rows] * length[q]))
-                best = np.concatenate(found[q][1]) if found[q][1] else np.zeros(0)
-                near = int((np.sqrt(np.maximum(2 - 2 * best, 0)) <= radius).sum())
+                rows_[q].append(rows)
+                scores[q].append((self.vectors[rows] * queries[q]).sum(1) / (self.length[rows] * length[q]))
+                near = sum(int((np.sqrt(np.maximum(2 - 2 * s, 0)) <= r).sum()) for s in scores[q])
                 if near < k and not seen[q].all():
                     left.append(q)
-            open_, radius = np.array(left, np.int64), radius * GROWTH
-        return [(np.concatenate(r) if r else np.zeros(0, np.int64), np.concatenate(c) if c else np.zeros(0)) for r, c in found]
+            open_ = np.array(left, np.int64)
+            step[open_] += 1
+        return [(np.concatenate(r), np.concatenate(c)) for r, c in zip(rows_, scores, strict=True)]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
