@@ -20,25 +20,22 @@ wr AS (SELECT w.lake, length, sample, any_value(off) AS "offset", CASE WHEN coun
  FROM win w JOIN ob2 o ON o.lake = w.lake AND o.date >= w.f + CAST(off AS INT) AND o.date < w.f + CAST(off + length AS INT) GROUP BY w.lake, length, sample)"""
 
 
-def _windows(spark, d):
-    o = obs(spark, d)
-    rows = o.withColumns({"sl": F.when(F.col("flag") == "N", F.col("swot_wse_anomaly")), "ss": F.when(F.col("flag") == "N", F.col("swot_area_total"))})
-    return rows, ch.sample_windows(o, "lake", "date", n=N, number=F.col("lake"))
+def _rows(spark, d):
+    return obs(spark, d).withColumns({"sl": F.when(F.col("flag") == "N", F.col("swot_wse_anomaly")), "ss": F.when(F.col("flag") == "N", F.col("swot_area_total"))})
 
 
 def _ranges(spark, d):
-    rows, win = _windows(spark, d)
-    return ch.window_ranges(rows, win, "lake", "date", "swot_wsa", "stage_anomaly", "sl", "ss")
+    return ch.key_ranges(_rows(spark, d), "lake", "date", "swot_wsa", "stage_anomaly", "sl", "ss", n=N, number=F.col("lake"))
 
 
 @query("h1_sample_windows", shape(with_(OBS, WIN) + '\nFINAL SELECT lake, length, sample, off AS "offset", f AS first_day FROM win', "lake first_day", 'length sample "offset"'))
 def sample(spark, d):
-    return rounded(_windows(spark, d)[1])
+    return rounded(ch.sample_windows(obs(spark, d), "lake", "date", n=N, number=F.col("lake")))
 
 
 @query("h2_window_ranges", shape(with_(OBS, WIN, RNG) + "\nFINAL SELECT * FROM wr", "lake", 'length sample "offset" n_seen', "storage_range wse_range seen_wse_range seen_storage_range"))
 def ranges(spark, d):
-    return rounded(_ranges(spark, d))
+    return rounded(ch.single_ranges(_ranges(spark, d), "lake"))
 
 
 _KINDS = "value, value * 2 AS height, CASE WHEN sensor THEN value * 2 END AS sl, CASE WHEN sensor THEN value END AS ss"
@@ -108,6 +105,6 @@ FINAL SELECT wp.length, count(*) AS n, avg(percent_storage) AS mean, any_value(q
  count(*) FILTER (WHERE percent_storage NOT BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS n_outliers FROM wp JOIN q ON wp.length = q.length GROUP BY wp.length""",
     "", "length n n_outliers", "mean q25 median q75 whisker_low whisker_high"))
 def boxes(spark, d):
-    rows = _ranges(spark, d).select("length", ch.percent_observed("seen_storage_range", "storage_range").alias("percent_storage"))
+    rows = ch.single_ranges(_ranges(spark, d), "lake").select("length", ch.percent_observed("seen_storage_range", "storage_range").alias("percent_storage"))
     rows = cut_lineage(rows)  # read several times
     return rounded(tb.box_stats(rows, "length", "percent_storage"))

@@ -7,12 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroseries.functions.keyed import day, known, names
+from hydroseries.functions.keyed import col, day, known, names
 
 # Window lengths in days.
 LENGTHS = (3, 7, 14, 21, 30, 45, 60, 90, 120, 180, 270, 365, 455, 545, 635, 725)
 
 
+def _number(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1_000_003))
+
+
+def _offset(sample: Column, length: Column, number: Column, seed: int, free: Column) -> Column:
+    mixed = F.lit(7919) * sample + F.lit(104729) * length + F.lit(1299709) * number + F.lit(seed)
+    return F.pmod(mixed, free + 1).cast("int")
+
+
 def sample_windows(ts: DataFrame, keys, t, lengths: Sequence[int] = LENGTHS, n: int | None = 100, seed: int = 42,
                    number: Column | None = None) -> DataFrame:
     """Start days of ``n`` windows per length (all starts when ``n`` is None).
@@ -21,7 +30,7 @@ def sample_windows(ts: DataFrame, keys, t, lengths: Sequence[int] = LENGTHS, n:
     another engine draws the same windows.  A length needs to be shorter than the span.
     """
     keys = names(keys)
-    number = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) if number is None else number
+    number = _number(keys) if number is None else number
     span = ts.groupBy(*keys).agg(F.min(day(t)).alias("first_day"), F.max(day(t)).alias("_last"))
     span = span.withColumn("_free", F.datediff("_last", "first_day"))
     rows = span.select("*", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length"))
@@ -29,9 +38,8 @@ def sample_windows(ts: DataFrame, keys, t, lengths: Sequence[int] = LENGTHS, n:
     if n is None:
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_free"))).alias("sample")).withColumn("offset", F.col("sample"))
     else:
-        mixed = F.lit(7919) * F.col("sample") + F.lit(104729) * F.col("length") + F.lit(1299709) * number + F.lit(seed)
         rows = (rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
-                .withColumn("offset", F.pmod(mixed, F.col("_free") + 1).cast("int")))
+                .withColumn("offset", _offset(F.col("sample"), F.col("length"), number, seed, F.col("_free"))))
     return rows.select(*keys, "length", "sample", "first_day", "offset")
 
 
@@ -78,55 +86,137 @@ def all_window_ranges(ts: DataFrame, keys, t, truth: str, level: str, seen_level
     return rows.select(*keys, "length", F.col("offset").alias("sample"), "offset", "storage_range", "wse_range", "n_seen", "seen_wse_range", "seen_storage_range")
 
 
+def _day_arrays(ts: DataFrame, keys: list[str], t, *values: str) -> DataFrame:
+    """One row per key, whose arrays answer any window of days by a few lookups.
+
+    ``_days``: days with rows in order; ``_place``: number of the first such day at or after each calendar
+    day; ``_r_*``: running counts; ``_lo_*`` and ``_hi_*``: limits of 1, 2, 4, … days in a row.
+    """
+    daily = _by_day(ts, keys, t, *values).where("_day IS NOT NULL")
+    sofar = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    limits = [f"_{x}_{n}" for n in _PARTS for x in ("lo", "hi")]
+    counts = {"_r_seen": "_seen", **{f"_r_{n}": f"_n_{n}" for n in _PARTS}}
+    daily = daily.select(*keys, "_day", *limits, *[F.sum(c).over(sofar).alias(r) for r, c in counts.items()])
+    one = daily.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_day", *limits, *counts))).alias("_d"))
+    one = one.select(*keys, F.col("_d._day").alias("_days"), *[F.col("_d")[c].alias(c) for c in (*limits, *counts)])
+    place = F.transform("_days", lambda x, i: F.array_repeat(i, F.when(i == 0, F.lit(1)).otherwise(F.datediff(x, F.get("_days", i - F.lit(1))))))
+    # Limits are needed up to the span of a key.
+    steps = F.filter(F.array(*[F.lit(2 ** i) for i in range(17)]), lambda h: h * 2 <= F.size("_days"))
+
+    def doubled(c: str) -> Column:
+        pick = F.least if c.startswith("_lo") else F.greatest
+
+        def merge(done: Column, half: Column) -> Column:
+            last = F.element_at(done, F.lit(-1))
+            return F.concat(done, F.array(F.transform(last, lambda x, i: pick(x, F.get(last, i + half)))))
+        return F.aggregate(steps, F.array(F.col(c)), merge)
+    return one.select(*keys, "_days", F.flatten(place).alias("_place"), *counts, *[doubled(c).alias(c) for c in limits])
+
+
+def _found(windows: Column) -> Column:
+    """Windows (length, sample, offset from the key's first day) with their ranges; empty ones are left out."""
+    def at(d: Column) -> Column:
+        return F.coalesce(F.get("_place", F.greatest(d, F.lit(0)).cast("int")), F.size("_days"))
+    w = F.transform(windows, lambda x: F.struct(x["length"].alias("length"), x["sample"].alias("sample"), x["offset"].alias("offset"),
+                                                at(x["at"]).alias("i"), at(x["at"] + x["length"]).alias("j")))
+    w = F.transform(F.filter(w, lambda x: x["j"] > x["i"]), lambda x: F.struct(
+        *[x[c].alias(c) for c in ("length", "sample", "offset", "i", "j")], F.floor(F.log2(x["j"] - x["i"] + F.lit(0.5))).cast("int").alias("k")))
+    # Two runs of 2^k days cover a window; the second one ends with it.
+    w = F.transform(w, lambda x: F.struct(*[x[c].alias(c) for c in ("length", "sample", "offset", "i", "j", "k")],
+                                          (x["j"] - F.get(F.lit([2 ** i for i in range(17)]), x["k"])).alias("h")))
+
+    def count(x: Column, n: str) -> Column:
+        return F.get(f"_r_{n}", x["j"] - F.lit(1)) - F.coalesce(F.get(f"_r_{n}", F.nullif(x["i"], F.lit(0)) - F.lit(1)), F.lit(0))
+
+    def limit(x: Column, side: str, n: str) -> Column:
+        row = F.get(f"_{side}_{n}", x["k"])
+        return (F.least if side == "lo" else F.greatest)(F.get(row, x["i"]), F.get(row, x["h"]))
+
+    def reach(x: Column, n: str) -> Column:
+        return F.when(count(x, n) >= 2, limit(x, "hi", n) - limit(x, "lo", n)).otherwise(F.lit(0.0))
+
+    def ranges(x: Column) -> Column:
+        enough = count(x, "seen") >= 2
+        return F.struct(x["length"].alias("length"), x["sample"].alias("sample"), x["offset"].alias("offset"), reach(x, "truth").alias("storage_range"),
+                        reach(x, "level").alias("wse_range"), count(x, "seen").alias("n_seen"), F.when(enough, reach(x, "seen_level")).otherwise(F.lit(0.0)).alias("seen_wse_range"),
+                        F.when(enough, reach(x, "seen_storage")).otherwise(F.lit(0.0)).alias("seen_storage_range"))
+    return F.transform(w, ranges)
+
+
 def window_ranges(ts: DataFrame, windows: DataFrame, keys, t, truth: str, level: str, seen_level: str, seen_storage: str) -> DataFrame:
     """Ranges inside each window; fewer than two values count as no change; empty windows are left out.
 
-    Rows are reduced to days first.  Days meet windows by equality on a time bucket as
-    long as the window, so only neighbouring days are paired with a window.
+    The days and the windows of a key are arrays of its row; no window is paired with its days.
+    """
+    keys = names(keys)
+    own = windows.groupBy(*keys).agg(F.collect_list(F.struct("length", "sample", "offset", "first_day")).alias("_w"))
+    days = _day_arrays(ts, keys, t, truth, level, seen_level, seen_storage).hint("merge").join(own.hint("merge"), keys)
+    first = F.get("_days", F.lit(0))
+    placed = F.transform("_w", lambda x: F.struct(x["length"].alias("length"), x["sample"].alias("sample"), x["offset"].alias("offset"),
+                                                  (x["offset"] + F.datediff(x["first_day"], first)).alias("at")))
+    return days.select(*keys, F.explode(_found(placed)).alias("_w")).select(*keys, "_w.*")
+
+
+def key_ranges(ts: DataFrame, keys, t, truth: str, level: str, seen_level: str, seen_storage: str, lengths: Sequence[int] = LENGTHS, n: int = 100,
+               seed: int = 42, number: Column | None = None) -> DataFrame:
+    """``window_ranges`` of the windows of ``sample_windows``: one row per (key, length) with an array ``windows``.
+
+    A key's days are shuffled once, however many lengths there are, and its windows are drawn inside its row.
     """
     keys = names(keys)
-    daily = _by_day(ts, keys, t, truth, level, seen_level, seen_storage)
-    placed = windows.select(*keys, "length", "sample", "first_day", "offset",
-                            F.explode(F.array(F.floor(F.col("offset") / F.col("length")), F.floor(F.col("offset") / F.col("length")) + 1)).alias("_bucket"))
-    plan = windows.select(*keys, "length", "first_day").distinct()
-    days = daily.hint("merge").join(plan.hint("merge"), keys).withColumn("_at", F.datediff("_day", "first_day"))
-    days = days.withColumn("_bucket", F.floor(F.col("_at") / F.col("length"))).drop("first_day")
-    # The plan sees the size of the rows before they were expanded and would send all windows to every executor.
-    pairs = placed.hint("merge").join(days, [*keys, "length", "_bucket"]).where(
-        (F.col("_at") >= F.col("offset")) & (F.col("_at") < F.col("offset") + F.col("length")))
-
-    def reach(n: str) -> Column:
-        return F.when(F.sum(f"_n_{n}") >= 2, F.max(f"_hi_{n}") - F.min(f"_lo_{n}")).otherwise(F.lit(0.0))
-    out = pairs.groupBy(*keys, "length", "sample").agg(
-        F.min("offset").alias("offset"), reach("truth").alias("storage_range"), reach("level").alias("wse_range"), F.sum("_seen").alias("n_seen"),
-        reach("seen_level").alias("_sl"), reach("seen_storage").alias("_ss"))
-    enough = F.col("n_seen") >= 2
-    return out.select(*keys, "length", "sample", "offset", "storage_range", "wse_range", "n_seen",
-                      F.when(enough, F.col("_sl")).otherwise(0.0).alias("seen_wse_range"),
-                      F.when(enough, F.col("_ss")).otherwise(0.0).alias("seen_storage_range"))
-
-
-def percent_observed(seen: str, true: str) -> Column:
-    return F.when(F.col(true) > 0, F.col(seen) / F.col(true) * 100).otherwise(F.lit(0.0))
-
-
-def range_stats(ranges: DataFrame, keys) -> DataFrame:
-    """All window statistics per (key, length).  A group holds the windows of one key and length."""
+    number = _number(keys) if number is None else number
+    days = _day_arrays(ts, keys, t, truth, level, seen_level, seen_storage)
+    span = F.datediff(F.element_at("_days", F.lit(-1)), F.get("_days", F.lit(0)))
+
+    def drawn(length: Column) -> Column:
+        def one(sample: Column) -> Column:
+            offset = _offset(sample, length, number, seed, span - length)
+            return F.struct(length.alias("length"), sample.alias("sample"), offset.alias("offset"), offset.alias("at"))
+        return F.struct(length.alias("length"), _found(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)).alias("windows"))
+    wanted = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: span > x)
+    return days.select(*keys, F.explode(F.transform(wanted, drawn)).alias("_l")).select(*keys, "_l.*").where("size(windows) > 0")
+
+
+def single_ranges(per_key: DataFrame, keys) -> DataFrame:
+    """The windows of ``key_ranges``, one row each."""
+    return per_key.select(*names(keys), F.explode("windows").alias("_w")).select(*names(keys), "_w.*")
+
+
+def percent_observed(seen: str | Column, true: str | Column) -> Column:
+    return F.when(col(true) > 0, col(seen) / col(true) * 100).otherwise(F.lit(0.0))
+
+
+def range_stats(per_key: DataFrame, keys) -> DataFrame:
+    """All window statistics per (key, length), from the windows of ``key_ranges``; these are an array of the row, so nothing is sorted or moved."""
     by = [*names(keys), "length"]
-    rows = ranges.withColumns({"percent_storage": percent_observed("seen_storage_range", "storage_range"),
-                               "percent_wse": percent_observed("seen_wse_range", "wse_range")})
-    strict = F.when((F.col("n_seen") >= 2) & (F.col("storage_range") > 0), F.col("percent_storage"))
-    rows = rows.withColumn("percent_storage_v2", strict)
-    aggs = [F.count(F.lit(1)).alias("n_windows"), F.count("percent_storage_v2").alias("n_valid_percent")]
-    for c in ("storage_range", "wse_range", "n_seen", "seen_wse_range", "seen_storage_range"):
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_std"),
-                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    for tag, cond in (("2plus", F.col("n_seen") >= 2), ("0", F.col("n_seen") == 0), ("1", F.col("n_seen") == 1)):
-        aggs.append((F.avg(cond.cast("int")) * 100).alias(f"pct_windows_{tag}"))
-    for c in ("percent_storage", "percent_wse", "percent_storage_v2"):
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_std")]
-    aggs += [F.sum(c).alias(f"total_{c}") for c in ("storage_range", "seen_storage_range", "wse_range", "seen_wse_range")]
-    return rows.groupBy(*by).agg(*aggs)
+    ranges = ("storage_range", "wse_range", "n_seen", "seen_wse_range", "seen_storage_range")
+    rows = per_key.select(*by, F.transform("windows", lambda x: x.withField("percent_storage", percent_observed(x["seen_storage_range"], x["storage_range"])).withField(
+        "percent_wse", percent_observed(x["seen_wse_range"], x["wse_range"]))).alias("_w"))
+    strict = F.filter("_w", lambda x: (x["n_seen"] >= 2) & (x["storage_range"] > 0))
+    shares = ("percent_storage", "percent_wse")
+    rows = rows.select(*by, *[F.sort_array(F.col("_w")[c]).alias(c) for c in (*ranges, *shares)], F.sort_array(strict["percent_storage"]).alias("percent_storage_v2"))
+    every = (*ranges, *shares, "percent_storage_v2")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumns({f"_sum_{c}": total(c) for c in every})
+    rows = rows.withColumns({f"{c}_mean": F.col(f"_sum_{c}") / F.nullif(F.size(c), F.lit(0)) for c in every})
+    n = F.size("n_seen")
+
+    def middle(c: str) -> Column:
+        half = F.size(c) - F.lit(1)
+        return (F.get(c, F.floor(half / 2).cast("int")) + F.get(c, F.ceil(half / 2).cast("int"))) / 2
+
+    def spread(c: str) -> Column:
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + (x - F.col(f"{c}_mean")) * (x - F.col(f"{c}_mean"))) / F.nullif(F.size(c), F.lit(0)))
+
+    def share(ok) -> Column:
+        return F.size(F.filter("n_seen", ok)) / n * 100
+    out = [n.alias("n_windows"), F.size("percent_storage_v2").alias("n_valid_percent")]
+    for c in ranges:
+        out += [F.col(f"{c}_mean"), middle(c).alias(f"{c}_median"), spread(c).alias(f"{c}_std"), F.array_min(c).alias(f"{c}_min"), F.array_max(c).alias(f"{c}_max")]
+    out += [share(lambda x: x >= 2).alias("pct_windows_2plus"), share(lambda x: x == 0).alias("pct_windows_0"), share(lambda x: x == 1).alias("pct_windows_1")]
+    for c in (*shares, "percent_storage_v2"):
+        out += [F.col(f"{c}_mean"), middle(c).alias(f"{c}_median"), spread(c).alias(f"{c}_std")]
+    return rows.select(*by, *out, *[F.col(f"_sum_{c}").alias(f"total_{c}") for c in ("storage_range", "seen_storage_range", "wse_range", "seen_wse_range")])
 
 
 def range_summary(stats: DataFrame) -> DataFrame:
