@@ -89,19 +89,24 @@ def all_window_ranges(ts: DataFrame, keys, t, truth: str, level: str, seen_level
 def _day_arrays(ts: DataFrame, keys: list[str], t, *values: str) -> DataFrame:
     """One row per key, whose arrays answer any window of days by a few lookups.
 
-    ``_days``: days with rows in order; ``_place``: number of the first such day at or after each calendar
+    ``_first``, ``_last``, ``_size``: limits and number of days with rows; ``_place``: number of the first such day at or after each calendar
     day; ``_r_*``: running counts; ``_lo_*`` and ``_hi_*``: limits of 1, 2, 4, … days in a row.
     """
     daily = _by_day(ts, keys, t, *values).where("_day IS NOT NULL")
     sofar = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
     limits = [f"_{x}_{n}" for n in _PARTS for x in ("lo", "hi")]
     counts = {"_r_seen": "_seen", **{f"_r_{n}": f"_n_{n}" for n in _PARTS}}
-    daily = daily.select(*keys, "_day", *limits, *[F.sum(c).over(sofar).alias(r) for r, c in counts.items()])
-    one = daily.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_day", *limits, *counts))).alias("_d"))
-    one = one.select(*keys, F.col("_d._day").alias("_days"), *[F.col("_d")[c].alias(c) for c in (*limits, *counts)])
-    place = F.transform("_days", lambda x, i: F.array_repeat(i, F.when(i == 0, F.lit(1)).otherwise(F.datediff(x, F.get("_days", i - F.lit(1))))))
+    gap = F.coalesce(F.datediff("_day", F.lag("_day").over(Window.partitionBy(*keys).orderBy("_day"))), F.lit(1))
+    daily = daily.select(*keys, "_day", gap.alias("_gap"), *limits, *[F.sum(c).over(sofar).alias(r) for r, c in counts.items()])
+    one = daily.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_day", "_gap", *limits, *counts))).alias("_d"), F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+
+    def field(c: str) -> Column:
+        # A plain field of the array would be taken out anew at each lookup.
+        return F.transform("_d", lambda x: x[c])
+    one = one.select(*keys, "_first", "_last", F.size("_d").alias("_size"), F.transform("_d", lambda x, i: F.array_repeat(i, x["_gap"])).alias("_place"),
+                     *[field(c).alias(c) for c in (*limits, *counts)])
     # Limits are needed up to the span of a key.
-    steps = F.filter(F.array(*[F.lit(2 ** i) for i in range(17)]), lambda h: h * 2 <= F.size("_days"))
+    steps = F.filter(F.array(*[F.lit(2 ** i) for i in range(17)]), lambda h: h * 2 <= F.col("_size"))
 
     def doubled(c: str) -> Column:
         pick = F.least if c.startswith("_lo") else F.greatest
@@ -110,13 +115,13 @@ def _day_arrays(ts: DataFrame, keys: list[str], t, *values: str) -> DataFrame:
             last = F.element_at(done, F.lit(-1))
             return F.concat(done, F.array(F.transform(last, lambda x, i: pick(x, F.get(last, i + half)))))
         return F.aggregate(steps, F.array(F.col(c)), merge)
-    return one.select(*keys, "_days", F.flatten(place).alias("_place"), *counts, *[doubled(c).alias(c) for c in limits])
+    return one.select(*keys, "_first", "_last", "_size", F.flatten("_place").alias("_place"), *counts, *[doubled(c).alias(c) for c in limits])
 
 
 def _found(windows: Column) -> Column:
     """Windows (length, sample, offset from the key's first day) with their ranges; empty ones are left out."""
     def at(d: Column) -> Column:
-        return F.coalesce(F.get("_place", F.greatest(d, F.lit(0)).cast("int")), F.size("_days"))
+        return F.coalesce(F.get("_place", F.greatest(d, F.lit(0)).cast("int")), F.col("_size"))
     w = F.transform(windows, lambda x: F.struct(x["length"].alias("length"), x["sample"].alias("sample"), x["offset"].alias("offset"),
                                                 at(x["at"]).alias("i"), at(x["at"] + x["length"]).alias("j")))
     w = F.transform(F.filter(w, lambda x: x["j"] > x["i"]), lambda x: F.struct(
@@ -151,9 +156,8 @@ def window_ranges(ts: DataFrame, windows: DataFrame, keys, t, truth: str, level:
     keys = names(keys)
     own = windows.groupBy(*keys).agg(F.collect_list(F.struct("length", "sample", "offset", "first_day")).alias("_w"))
     days = _day_arrays(ts, keys, t, truth, level, seen_level, seen_storage).hint("merge").join(own.hint("merge"), keys)
-    first = F.get("_days", F.lit(0))
     placed = F.transform("_w", lambda x: F.struct(x["length"].alias("length"), x["sample"].alias("sample"), x["offset"].alias("offset"),
-                                                  (x["offset"] + F.datediff(x["first_day"], first)).alias("at")))
+                                                  (x["offset"] + F.datediff(x["first_day"], F.col("_first"))).alias("at")))
     return days.select(*keys, F.explode(_found(placed)).alias("_w")).select(*keys, "_w.*")
 
 
@@ -161,12 +165,12 @@ def key_ranges(ts: DataFrame, keys, t, truth: str, level: str, seen_level: str,
                seed: int = 42, number: Column | None = None) -> DataFrame:
     """``window_ranges`` of the windows of ``sample_windows``: one row per (key, length) with an array ``windows``.
 
-    A key's days are shuffled once, however many lengths there are, and its windows are drawn inside its row.
+    Days are shuffled by day and by key, however many lengths there are; windows are drawn inside a key's row.
     """
     keys = names(keys)
     number = _number(keys) if number is None else number
     days = _day_arrays(ts, keys, t, truth, level, seen_level, seen_storage)
-    span = F.datediff(F.element_at("_days", F.lit(-1)), F.get("_days", F.lit(0)))
+    span = F.datediff("_last", "_first")
 
     def drawn(length: Column) -> Column:
         def one(sample: Column) -> Column:
